@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, classifier, quality, urls
+from . import chat, classifier, neardup, quality, urls
 from .common import doc_fold, sha, table
 
 
@@ -38,6 +38,10 @@ SELECT conv_id, count(*) AS n_turns,
 FROM t GROUP BY conv_id
 """
 
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
+
+
 # The contract's rules.
 URL_RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 
@@ -71,7 +75,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_chat_formatting, op3_url_filters, op4_quality_rules, op10_quality_classifier)}
+    return {f.__name__: f for f in (op1_chat_formatting, op2_minhash_near_dedup, op3_url_filters, op4_quality_rules, op10_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
