@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, classifier, neardup, quality, suffixes, urls
+from . import chat, classifier, decontaminate, neardup, quality, sharding, suffixes, urls
 from .common import doc_fold, sha, table
 
 
@@ -68,11 +68,32 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *[f"v.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "ratio", "n_chunks", "bad_chunks", "reason")])
 
 
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "start", "n_words", "n_agree", "n_item")
+
+
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffixes.remove_repeats(table(spark, sf_dir, "documents"))
     return out.select("doc_id", *[f"__cut.{c}" for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")])
 
 
+def op8_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shards(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return placed.select("doc_id", "row_bytes", "depth", "shard")
+
+
+OP8_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(octet_length(encode(text)), 0) + {sharding.ROW_BYTES} AS row_bytes,
+                  CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || chr(10) || coalesce(text, '')), 1, 15) AS BIGINT) AS h FROM documents),
+t AS (SELECT greatest(0, CAST(ceil(log2(greatest(1, coalesce(sum(row_bytes), 0)) / {sharding.SHARD_BYTES}.0)) AS BIGINT)) AS low FROM d),
+w AS (SELECT doc_id, row_bytes, h, depth, sum(row_bytes) OVER b AS total, count(*) OVER b AS n
+      FROM d, t, generate_series(t.low, {sharding.BITS}) g(depth) WINDOW b AS (PARTITION BY depth, h >> CAST({sharding.BITS} - depth AS INTEGER)))
+SELECT doc_id, CAST(row_bytes AS BIGINT) AS row_bytes, CAST(min(depth) AS INTEGER) AS depth, substr(lpad(bin(h), {sharding.BITS}, '0'), 1, CAST(min(depth) AS INTEGER)) AS shard
+FROM w WHERE total <= {sharding.SHARD_BYTES} OR n = 1 GROUP BY doc_id, row_bytes, h
+"""
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     scored = classifier.classify(docs, labels, lambda doc_id: doc_fold(doc_id, classifier.FOLDS) != 0)
@@ -80,8 +101,8 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_chat_formatting, op2_minhash_near_dedup, op3_url_filters, op4_quality_rules, op6_suffix_array_dedup, op10_quality_classifier)}
+    return {f.__name__: f for f in (op1_chat_formatting, op2_minhash_near_dedup, op3_url_filters, op4_quality_rules, op5_benchmark_decontamination, op6_suffix_array_dedup, op8_extendible_sharding, op10_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": OP1_SQL, "op3_url_filters": OP3_SQL}
+    return {"op1_chat_formatting": OP1_SQL, "op3_url_filters": OP3_SQL, "op8_extendible_sharding": OP8_SQL}
