@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, classifier, decontaminate, neardup, quality, sharding, suffixes, urls
+from . import chat, classifier, decontaminate, neardup, pieces, quality, sharding, suffixes, urls
 from .common import doc_fold, sha, table
 
 
@@ -78,6 +78,10 @@ def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *[f"__cut.{c}" for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")])
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_tokens", "ids", "round_trip")
+
+
 def op8_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shards(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return placed.select("doc_id", "row_bytes", "depth", "shard")
@@ -101,7 +105,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_chat_formatting, op2_minhash_near_dedup, op3_url_filters, op4_quality_rules, op5_benchmark_decontamination, op6_suffix_array_dedup, op8_extendible_sharding, op10_quality_classifier)}
+    return {f.__name__: f for f in (op1_chat_formatting, op2_minhash_near_dedup, op3_url_filters, op4_quality_rules, op5_benchmark_decontamination, op6_suffix_array_dedup, op7_sentencepiece, op8_extendible_sharding, op10_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
