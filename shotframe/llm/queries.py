@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, classifier, decontaminate, neardup, pieces, quality, sharding, suffixes, urls
+from . import chat, classifier, decontaminate, mixing, neardup, pieces, quality, sharding, suffixes, urls
 from .common import doc_fold, sha, table
 
 
@@ -98,6 +98,10 @@ FROM w WHERE total <= {sharding.SHARD_BYTES} OR n = 1 GROUP BY doc_id, row_bytes
 """
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.score_documents(table(spark, sf_dir, "documents"), doc_fold(F.col("doc_id"), 7) != 2)
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     scored = classifier.classify(docs, labels, lambda doc_id: doc_fold(doc_id, classifier.FOLDS) != 0)
@@ -105,7 +109,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_chat_formatting, op2_minhash_near_dedup, op3_url_filters, op4_quality_rules, op5_benchmark_decontamination, op6_suffix_array_dedup, op7_sentencepiece, op8_extendible_sharding, op10_quality_classifier)}
+    return {f.__name__: f for f in (op1_chat_formatting, op2_minhash_near_dedup, op3_url_filters, op4_quality_rules, op5_benchmark_decontamination, op6_suffix_array_dedup, op7_sentencepiece, op8_extendible_sharding, op9_lm_scoring, op10_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
