@@ -86,7 +86,7 @@ def nested_paths(schema: T.StructType) -> dict[str, Column]:
         elif isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType):
             for f in kind.elementType.fields:
                 if not isinstance(f.dataType, (T.StructType, T.ArrayType)):
-                    found[f"{path}[].{f.name}"] = has(lambda x, n=f.name, get=get: F.exists(get(x), lambda e: e[n].isNotNull()))
+                    found[f"{path}[].{f.name}"] = has(lambda x, n=f.name, get=get: F.exists(get(x), _has_field(n)))
         else:
             found[path] = has(lambda x, get=get: get(x).isNotNull())
 
@@ -96,15 +96,25 @@ def nested_paths(schema: T.StructType) -> dict[str, Column]:
     return found
 
 
+def _element(rule: Each, fields: set[str]):
+    def turn(e: Column) -> Column:
+        text = e[rule.text] if rule.text in fields else F.lit(None)
+        return F.struct(e[rule.role].cast("string").alias("role"), text.cast("string").alias("text"))
+
+    return turn
+
+
+def _has_field(name: str):
+    return lambda e: e[name].isNotNull()
+
+
 def _turns(layout: Layout, schema: T.StructType) -> Column:
     kind = T.ArrayType(T.StructType([T.StructField("role", T.StringType()), T.StructField("text", T.StringType())]))
     names = set(schema.fieldNames())
     parts = []
     for rule in layout.turns:
         if isinstance(rule, Each):
-            fields = {f.name for f in schema[rule.array].dataType.elementType.fields}
-            text = (lambda e, rule=rule, fields=fields: e[rule.text] if rule.text in fields else F.lit(None))
-            parts.append(F.transform(F.col(f"`{rule.array}`"), lambda e, rule=rule, text=text: F.struct(e[rule.role].alias("role"), text(e).cast("string").alias("text"))))
+            parts.append(F.transform(F.col(f"`{rule.array}`"), _element(rule, {f.name for f in schema[rule.array].dataType.elementType.fields})))
             continue
         texts = [F.col(f"`{p}`").cast("string") for p in rule.texts if p in names]
         joined = F.concat_ws("\n\n", *texts) if texts else F.lit("")

@@ -101,16 +101,19 @@ def _scanner(known: np.ndarray, short: list[int]):
 
 
 def best_overlap(doc: np.ndarray, item: np.ndarray, diagonal: int) -> tuple[int, int, int] | None:
-    """(start in doc, words, agreeing words) of the longest verified overlap on a diagonal (place in doc less place in item)."""
+    """(start in doc, words, agreeing words) of the longest verified overlap on a diagonal (place in doc less place in item).
+
+    It begins and ends with agreeing words."""
     first, last = max(0, diagonal), min(len(doc), len(item) + diagonal)
     agree = doc[first:last] == item[first - diagonal : last - diagonal]
     # Scaled so that a stretch with IDENTITY or more agreeing words sums to 0 or more.
     score = np.concatenate([[0.0], np.cumsum(np.where(agree, 1 - IDENTITY, -IDENTITY))]) + 1e-9 * np.arange(len(agree) + 1)
-    lowest = np.minimum.accumulate(score)
-    ends = np.arange(len(score))
+    if not agree.any():
+        return None
+    lowest = np.minimum.accumulate(np.where(np.append(agree, False), score, np.inf))
     # The earliest start whose prefix sum is not above that of the end.
     starts = np.searchsorted(-lowest, -score, side="left")
-    length = ends - starts
+    length = np.where(np.append(False, agree), np.arange(len(score)) - starts, 0)
     i = int(np.argmax(length))
     if length[i] < min(MIN_OVERLAP, len(item)):
         return None

@@ -336,11 +336,11 @@ def _cut_outs(texts: pd.Series, runs: pd.Series) -> pd.DataFrame:
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with a struct column ``__cut``: n_bytes, n_removed, n_spans, kept_sha256, kept_text."""
-    runs = removable(docs, id_col, text_col)
+    runs = removable(docs, id_col, text_col).select("id", "digest", F.col("runs").alias("__runs"))
     keyed = _keyed(docs, id_col, text_col)
     joined = keyed.join(runs.hint("shuffle_hash"), [keyed["__id"] == runs["id"], keyed["__digest"] == runs["digest"]], "left")
     cut = F.pandas_udf(_cut_outs, "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
-    return joined.select(*[keyed[f"`{c}`"] for c in docs.columns], cut("__text", "runs").alias("__cut"))
+    return joined.select(*[keyed[f"`{c}`"] for c in docs.columns], cut("__text", "__runs").alias("__cut"))
 
 
 def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
