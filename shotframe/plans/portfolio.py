@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +17,9 @@ def query(sql: str | None = None):
     def register(f):
         QUERIES[f.__name__] = f
         if sql:
-            SQL[f.__name__] = sql
+            # A rounded value of 0 has no sign in either engine.
+            names = dict.fromkeys(re.findall(r", [46]\) AS (\w+)", sql))
+            SQL[f.__name__] = f"SELECT * REPLACE ({', '.join(f'{n} + 0.0::DOUBLE AS {n}' for n in names)}) FROM ({sql})" if names else sql
         return f
 
     return register
@@ -26,7 +30,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def rounded(df: DataFrame, *columns: str) -> DataFrame:
-    return df.withColumns({c: F.round(F.col(c), 6) for c in columns})
+    return df.withColumns({c: F.round(F.col(c), 6) + 0.0 for c in columns})
 
 
 def events(spark, d) -> DataFrame:
@@ -67,7 +71,7 @@ def trace_classes(spark, d):
 
 @query(f"""WITH {LONG} SELECT vec_id, round(list_sort(list(abs(x)))[60], 6) AS norm FROM s GROUP BY vec_id""")
 def trace_norm_p95(spark, d):
-    return table(spark, d, "embeddings").select("vec_id", F.round(traces.norm_percentile(traces.as_doubles(F.col("embedding"))), 6).alias("norm"))
+    return table(spark, d, "embeddings").select("vec_id", (F.round(traces.norm_percentile(traces.as_doubles(F.col("embedding"))), 6) + 0.0).alias("norm"))
 
 
 @query(f"""WITH {LONG}, n AS (SELECT vec_id, any_value(label) AS label, list_sort(list(abs(x)))[60] AS norm FROM s GROUP BY vec_id),

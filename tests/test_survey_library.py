@@ -133,3 +133,22 @@ def test_kernels_against_closed_forms(spark):
     e, m = geodesy.transverse_mercator(F.col("lon"), F.col("lat"), 33.0)
     assert row.select(e.alias("e"), m.alias("n")).first() == (500000.0, pytest.approx(4982950.4003, abs=1e-3))
     assert generate.sweep(spark, 8.0, 80.0, 4.0, 2000).count() == 2001
+
+
+def test_formats_and_exports(spark, tmp_path):
+    from shotframe.sources import formats
+
+    d = tmp_path / "f"
+    d.mkdir()
+    (d / "a.sgy").write_bytes(b"x")
+    (d / "b.bin").write_bytes(bytes([0x55, 0x3A]) + bytes(10))
+    (d / "c.bin").write_bytes(b"H00SPS format")
+    (d / "d.bin").write_bytes(bytes(4000))
+    (d / "e.bin").write_bytes(b"?")
+    got = {os.path.basename(r.path): r.format for r in formats.detect(spark, str(d)).collect()}
+    assert got == {"a.sgy": "segy", "b.bin": "seg2", "c.bin": "sps", "d.bin": "segy", "e.bin": None}
+    rows = spark.createDataFrame([(1.5, 2.5, "a<b"), (None, 1.0, "c")], "lon double, lat double, name string")
+    formats.geojson_lines(rows, "lon", "lat", "name").write.text(f"{tmp_path}/g")
+    back = formats.read_geojson_lines(spark, f"{tmp_path}/g").collect()
+    assert [(r.lon, r.lat, r.properties["name"]) for r in back] == [(1.5, 2.5, "a<b")]
+    assert [r.value for r in formats.kml_placemarks(rows, "lon", "lat", "name").collect()] == ["<Placemark><name>a&lt;b</name><Point><coordinates>1.50000000,2.50000000</coordinates></Point></Placemark>"]
