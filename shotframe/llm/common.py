@@ -32,6 +32,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of rows that go to a Python worker at once, so that its memory doesn't follow the length of texts.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession | None = None) -> None:
+    """Bound the session's Arrow batches by bytes (they are bounded by rows only by default); a smaller bound stays."""
+    spark, name = spark or SparkSession.active(), "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name).rstrip("bB")
+    if now.isdigit() and int(now) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def partitions(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

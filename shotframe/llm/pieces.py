@@ -14,6 +14,7 @@ repeated rows are encoded one by one; an empty table gives no rows. The model's
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
@@ -23,13 +24,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
 from .words import mix
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MAX_MODEL_BYTES = 16 << 20
 SPACE = "▁"
 #: Bytes of distinct units that one suffix array indexes, and units whose pieces a worker remembers.
-INDEX_BYTES, REMEMBER = 1 << 20, 500_000
+INDEX_BYTES, REMEMBER = 256 << 10, 400_000
 #: Bytes of a suffix that the binary search compares at first.
 KEY = 16
 _UNIT = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
@@ -98,30 +100,40 @@ class Pieces:
         self.strange: list[str] = []  # characters outside the vocabulary, numbered from self.size
         self.strange_at: dict[str, int] = {}
         self.pairs = PairTable()
-        self.known: dict[str, np.ndarray] = {}
+        self._forget()
         self.bytes_of = {i: x.replace(SPACE, " ").encode() for i, x in self.names.items()} | {i: bytes([b]) for b, i in self.byte_ids.items()} | {self.unknown: " ⁇ ".encode()}
 
+    def _forget(self) -> None:
+        """Empty the store: unit -> row, and the rows' ids, one after another."""
+        self.known: dict[str, int] = {}
+        self.stored, self.counts, self.firsts = [np.empty(0, np.int32)], np.empty(0, np.int64), np.empty(0, np.int64)
+
     def text_of(self, piece: int) -> str:
         return self.names[piece] if piece < self.size else self.strange[piece - self.size]
 
     def stays_apart(self, left: str, right: str) -> bool:
         """Whether merging the characters of left + right by score gives just these two."""
-        parts, border = [*left, *right], len(left)
+        parts, border, get, never = [*left, *right], len(left), self.score.get, -math.inf
+        scores = [get(a + b, never) for a, b in zip(parts, parts[1:], strict=False)]
         while True:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                s = self.score.get(parts[i] + parts[i + 1])
-                if s is not None and (best is None or s > best):
-                    best, at = s, i
-            if best is None:
+            best = max(scores)
+            if best == never:
                 return True
+            at = scores.index(best)
             if at == border - 1:
                 return False
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            parts[at] += parts.pop(at + 1)
+            del scores[at]
             border -= at < border
+            if at:
+                scores[at - 1] = get(parts[at - 1] + parts[at], never)
+            if at < len(scores):
+                scores[at] = get(parts[at] + parts[at + 1], never)
+            if not scores:
+                return True
 
     def fits(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        keys = left * np.int64(1 << 24) + right
+        keys = left.astype(np.int64) * np.int64(1 << 24) + right
         at = self.pairs.places(keys)
         new = self.pairs.keys[at] == -1
         if new.any():
@@ -165,16 +177,17 @@ class Pieces:
             low[i], high[i] = low[i] + bisect_left(inside, name), low[i] + bisect_right(inside, name)
         count = high - low
         at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)
-        return sa[at], np.repeat(self.ids, count)
+        return sa[at].astype(np.int32), np.repeat(self.ids.astype(np.int32), count)
 
-    def _index(self, units: list[str]) -> list[np.ndarray]:
+    def _index(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the units, one after another, and how many each has."""
         raw = [u.encode("utf-8", "surrogatepass") for u in units]
         size = np.array([len(x) for x in raw])
         t = np.frombuffer(b"\xff".join(raw) + b"\xff", np.uint8)
         begin = np.concatenate([[0], np.cumsum(size + 1)[:-1]])
         starts = np.flatnonzero(((t & 0xC0) != 0x80) & (t != 0xFF))
         start, piece = self.edges(t, starts)
-        length = self.length[piece]
+        length = self.length[piece].astype(np.int32)
         # Characters that are no piece get an edge of their own.
         wide = np.append(starts, len(t))
         char = np.zeros(len(t) + 1, np.int64)
@@ -191,10 +204,10 @@ class Pieces:
                     self.strange_at[c] = self.size + len(self.strange)
                     self.strange.append(c)
                 more.append(self.strange_at[c])
-            start, piece, length = np.append(start, odd), np.append(piece, more), np.append(length, char[odd])
+            start, piece, length = (np.append(x, y).astype(np.int32) for x, y in ((start, odd), (piece, more), (length, char[odd])))
         del wide
-        unit = np.searchsorted(begin, start, side="right") - 1
-        step = start + length - begin[unit]
+        unit = (np.searchsorted(begin, start, side="right") - 1).astype(np.int32)
+        step = (start + length - begin[unit]).astype(np.int32)
         by = np.argsort(step, kind="stable")
         start, piece, length, unit, step = start[by], piece[by], length[by], unit[by], step[by]
         last, back = np.full(len(t) + 1, -1, np.int64), np.zeros(len(t) + 1, np.int64)
@@ -205,7 +218,7 @@ class Pieces:
             inner = np.flatnonzero(~ok & (before >= 0))
             if len(inner):
                 ok[inner] = self.fits(before[inner], p[inner])
-            end = s[ok] + length[group][ok]
+            end = s[ok] + length[group[ok]]
             last[end], back[end] = p[ok], s[ok]
         # All units are read back at once, a piece a round.
         rows, tokens = [], []
@@ -219,36 +232,52 @@ class Pieces:
         of, token = np.concatenate(rows)[::-1], np.concatenate(tokens)[::-1]
         by = np.argsort(of, kind="stable")
         token = token[by]
-        cut = np.cumsum(np.bincount(of, minlength=len(units)))[:-1]
-        out = np.split(token.astype(np.int32), cut)
-        for i in np.unique(of[by][token >= self.size]):
-            out[i] = np.array([x for p in out[i] for x in ([p] if p < self.size else self._bytes(self.strange[p - self.size]))], np.int32)
-        return out
+        counts = np.bincount(of, minlength=len(units))
+        if (token >= self.size).any():
+            spelt = [self._bytes(self.strange[p - self.size]) if p >= self.size else [p] for p in token.tolist()]
+            sizes = np.fromiter(map(len, spelt), np.int64, len(spelt))
+            counts = np.bincount(of[by], sizes, len(units)).astype(np.int64)
+            token = np.fromiter((x for xs in spelt for x in xs), np.int64, int(sizes.sum()))
+        return token.astype(np.int32), counts
 
     def _bytes(self, char: str) -> list[int]:
         raw = char.encode("utf-8", "surrogatepass")
         return [self.byte_ids[b] for b in raw] if len(self.byte_ids) == 256 else [self.unknown]
 
+    def _remember(self, units: list[str]) -> None:
+        """Encode units and append their ids to the store."""
+        at = 0
+        while at < len(units):
+            end, size = at, 0
+            while end < len(units) and (end == at or size < INDEX_BYTES):
+                size += len(units[end]) * 2
+                end += 1
+            ids, counts = self._index(units[at:end])
+            self.known.update(zip(units[at:end], range(len(self.known), len(self.known) + end - at), strict=True))
+            self.stored.append(ids)
+            self.counts = np.append(self.counts, counts)
+            at = end
+        self.stored = [np.concatenate(self.stored)]
+        self.firsts = np.cumsum(self.counts) - self.counts
+
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         units = [_UNIT.findall(SPACE + x.replace(" ", SPACE)) if x else [] for x in texts]
-        known = self.known
-        new = list(dict.fromkeys(u for us in units for u in us if u not in known))
-        if len(known) + len(new) > REMEMBER:
-            known.clear()
-            new = list(dict.fromkeys(u for us in units for u in us))
+        flat = [u for us in units for u in us]
+        new = list(dict.fromkeys(u for u in flat if u not in self.known))
+        if len(self.known) + len(new) > REMEMBER:
+            self._forget()
+            new = list(dict.fromkeys(flat))
         if len(self.strange) > 100_000:
             self.strange, self.strange_at = [], {}
             self.pairs.clear()
-        at = 0
-        while at < len(new):
-            end, size = at, 0
-            while end < len(new) and (end == at or size < INDEX_BYTES):
-                size += len(new[end]) * 2
-                end += 1
-            known.update(zip(new[at:end], self._index(new[at:end]), strict=True))
-            at = end
-        empty = np.empty(0, np.int32)
-        return [np.concatenate([known[u] for u in us]) if us else empty for us in units]
+        if new:
+            self._remember(new)
+        row = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
+        count = self.counts[row]
+        before = np.cumsum(count) - count
+        ids = self.stored[0][np.arange(count.sum()) + np.repeat(self.firsts[row] - before, count)] if len(row) else np.empty(0, np.int32)
+        ends = np.append(before, count.sum())[np.cumsum([len(us) for us in units])] if units else []
+        return [ids[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
     def decode(self, ids) -> str:
         out = b"".join([self.bytes_of.get(i, b"") for i in (ids.tolist() if isinstance(ids, np.ndarray) else ids)]).decode("utf-8", "replace")
@@ -271,8 +300,8 @@ def _coder(model: bytes):
         pieces = loaded(model)
         for texts in parts:
             ids, back = [], []
-            for at in range(0, len(texts), 512):
-                some = list(texts.iloc[at : at + 512])
+            for at in range(0, len(texts), 256):
+                some = list(texts.iloc[at : at + 256])
                 found = pieces.encode(some)
                 ids += found
                 back += [pieces.decode(i) == (x or "") for i, x in zip(found, some, strict=True)]
@@ -283,6 +312,7 @@ def _coder(model: bytes):
 
 def encoded(text: Column, path: str = MODEL) -> Column:
     """A struct of the text's piece ids and whether decoding them gives the text."""
+    small_batches()
     return _coder(model_bytes(path))(text.cast("string"))
 
 
