@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_side, written
+from .common import small_batches, small_side, written
 
 SHRINK_POOLED, SHRINK_DIAGONAL, FLOOR = 0.2, 0.05, 1e-3
 THRESHOLD, FOLDS = 0.3, 5
@@ -130,6 +130,7 @@ def score_rows(stats: DataFrame, model: dict) -> DataFrame:
 
 def classify(docs: DataFrame, labels: DataFrame, training, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """(doc_id, score) for every row; ``training`` is a predicate on the column doc_id that says which rows may train."""
+    small_batches(docs.sparkSession)
     stats = written(document_statistics(docs, id_col, text_col), "qda-statistics")
     known = labels.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{label_col}`").cast("int").alias("label")).where("doc_id IS NOT NULL AND label IN (0, 1)")
     seen = stats.where(training(F.col("doc_id"))).join(small_side(known), "doc_id")

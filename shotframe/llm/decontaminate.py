@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_side, written
+from .common import small_batches, small_side, written
 from .words import WordHashes, mix, words_of
 
 # The masks.
@@ -127,6 +127,7 @@ def _verify(docs: pd.Series, items: pd.Series, diagonals: pd.Series) -> pd.DataF
 
 def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, digest, item_id, start, n_words, n_agree, n_item): the longest verified overlap of each pair that has one."""
+    small_batches(docs.sparkSession)
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     base = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.unhex(F.md5(text.cast("binary"))).alias("digest"), text.alias("text"))
     known = written(item_seeds(items, item_id, item_text), "item-seeds")

@@ -20,6 +20,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 MIN_WORDS, WINDOW, REPEAT_PERCENT = 20, 8, 30
 LEVEL, CHUNK, CHUNK_SHARE = 3, 4096, 0.34
 # Fixed values: (from bytes, lowest ratio, highest ratio); a document takes the last line that it reaches.
@@ -95,6 +97,7 @@ def _judged(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 
 def compression_bands(text: Column) -> Column:
     """The verdict on a text as a struct of SCHEMA."""
+    small_batches()
     return F.pandas_udf(_judged, SCHEMA)(text.cast("string"))
 
 

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, written
+from .common import partitions, small_batches, written
 from .words import mix
 
 LENGTH, GRAM = 100, 20
@@ -286,6 +286,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def removable(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, digest, runs): for each document that loses bytes, its runs of removable windows (p0, n)."""
     spark = docs.sparkSession
+    small_batches(spark)
     keyed = _keyed(docs, id_col, text_col).select(F.col("__id").alias("id"), F.col("__digest").alias("digest"), F.col("__text").cast("binary").alias("raw"))
     rows = keyed.mapInPandas(_cut, "kind byte, h long, d long, id long, digest long, p0 long, n int, lead int")
     # Content that has come earlier goes; anchors with several contents are to be sorted.
