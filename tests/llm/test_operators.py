@@ -316,7 +316,7 @@ def test_bit_probabilities_sum_to_one():
     assert abs(sum(2.0**-n for n in code.length) - 1) < 1e-9
     learner = mixing.Learner(code, mixing.word_odds([(b"ab", 9), (b"ba", 4)], code))
     learner.learn([b"ab ba ab", b"ab"] * 20)
-    model = mixing.Model(code, [t.reshape(-1, 2) for t in learner.tables], np.concatenate([(learner.weights * learner.seen[:, None]).ravel(), learner.seen, learner.table]), learner.words)
+    model = mixing.Model(code, [mixing.packed_odds(t.reshape(-1, 2)) for t in learner.tables], np.concatenate([(learner.weights * learner.seen[:, None]).ravel(), learner.seen, learner.table]), learner.words)
     whole = sum(10 ** model.log10([bytes([a])])[0] for a in range(255)) + 10 ** model.log10([b""])[0]
     assert 0 < whole <= 1.0001  # texts of at most one byte
     assert model.log10([b"ab ba"])[0] > model.log10([b"zq xv"])[0]
