@@ -164,10 +164,13 @@ def middle(ranked: Column) -> Column:
     return F.when(n > 0, (F.try_element_at(ranked, low) + F.try_element_at(ranked, high)) / 2)
 
 
-def robust_z(rows: DataFrame, value: str, *groups: str) -> DataFrame:
-    """Adds z = (x - median) / (1.4826 MAD), 0 where the MAD is 0. Two grouped passes, joined back; no global window."""
+def robust_z(rows: DataFrame, value: str, group: str, *groups: str) -> DataFrame:
+    """Adds z = (x - median) / (1.4826 MAD), 0 where the MAD is 0. Two grouped passes, joined back; no global window.
+
+    Exact medians are kept by group (a record, a line), never over all rows, where one task would hold every value."""
+    groups = (group, *groups)
     centre = rows.groupBy(*groups).agg(F.expr(f"percentile(`{value}`, 0.5)").alias("centre"))
-    at = rows.join(centre, list(groups)) if groups else rows.crossJoin(F.broadcast(centre))
+    at = rows.join(centre, list(groups))
     spread = at.withColumn("__d", F.abs(F.col(value) - F.col("centre"))).groupBy(*groups).agg(F.expr("percentile(__d, 0.5)").alias("mad"))
-    at = at.join(spread, list(groups)) if groups else at.crossJoin(F.broadcast(spread))
+    at = at.join(spread, list(groups))
     return at.withColumn("z", F.when(F.col("mad") > 0, (F.col(value) - F.col("centre")) / (1.4826 * F.col("mad"))).otherwise(0.0))

@@ -68,10 +68,10 @@ def norm_percentile(xs: Column, p: float = 0.95) -> Column:
     return F.when(found > 1e-12, found).otherwise(1.0)
 
 
-def evidence(traces: DataFrame, id_col: str, samples_col: str, rail: float = 0.985) -> DataFrame:
-    """rms, peak, standard deviation, zero crossings and their rate, longest run at the rail, percentile norm."""
+def evidence(traces: DataFrame, id_col: str, samples_col: str, *kept: str, rail: float = 0.985) -> DataFrame:
+    """rms, peak, standard deviation, zero crossings and their rate, longest run at the rail, percentile norm; with the columns kept."""
     x = F.col("__x")
-    base = traces.select(F.col(id_col), as_doubles(F.col(samples_col)).alias("__x"))
+    base = traces.select(F.col(id_col), *kept, as_doubles(F.col(samples_col)).alias("__x"))
     base = base.withColumns({"n_samples": F.size(x).cast("long"), "rms": rms(x), "peak": peak(x), "mean": mean(x), "std": population_std(x), "crossings": zero_crossings(x).cast("long"), "norm_p95": norm_percentile(x)})
     base = base.withColumn("rail_run", F.when(F.col("peak") > 0, longest_run(x, F.col("peak") * rail)).otherwise(0).cast("long"))
     return base.withColumn("crossing_rate", F.when(F.col("n_samples") > 1, F.col("crossings") / (F.col("n_samples") - 1)).otherwise(0.0)).drop("__x")

@@ -53,19 +53,26 @@ def trace_evidence(spark, d):
     return rounded(out, "rms", "peak", "std", "crossing_rate", "norm_p95")
 
 
-@query(f"""WITH {LONG}, e AS (SELECT vec_id, any_value(label) AS label, sqrt(sum(x * x) / count(*)) AS rms FROM s GROUP BY vec_id),
-c AS (SELECT label, median(rms) AS centre FROM e GROUP BY label), m AS (SELECT label, median(abs(rms - centre)) AS mad FROM e JOIN c USING (label) GROUP BY label)
-SELECT vec_id, label, round(rms, 6) AS rms, round(CASE WHEN mad > 0 THEN (rms - centre) / (1.4826 * mad) ELSE 0 END, 6) AS z, round(rms / centre, 6) AS ratio FROM e JOIN c USING (label) JOIN m USING (label)""")
+@query(f"""WITH {LONG}, e AS (SELECT vec_id, any_value(label) AS label, max(abs(x)) AS peak FROM s GROUP BY vec_id),
+c AS (SELECT label, median(peak) AS centre FROM e GROUP BY label), m AS (SELECT label, median(abs(peak - centre)) AS mad FROM e JOIN c USING (label) GROUP BY label)
+SELECT vec_id, label, round(peak, 6) AS peak, round(CASE WHEN mad > 0 THEN (peak - centre) / (1.4826::DOUBLE * mad) ELSE 0 END, 6) AS z, round(peak / centre, 6) AS ratio FROM e JOIN c USING (label) JOIN m USING (label)""")
 def trace_health_scores(spark, d):
-    e = table(spark, d, "embeddings").select("vec_id", "label", traces.rms(traces.as_doubles(F.col("embedding"))).alias("rms"))
-    out = survey.robust_z(e, "rms", "label").withColumn("ratio", F.col("rms") / F.col("centre"))
-    return rounded(out.select("vec_id", "label", "rms", "z", "ratio"), "rms", "z", "ratio")
+    # The tables' traces have unit energy, so their peaks are scored.
+    e = table(spark, d, "embeddings").select("vec_id", "label", traces.peak(traces.as_doubles(F.col("embedding"))).alias("peak"))
+    out = survey.robust_z(e, "peak", "label").withColumn("ratio", F.col("peak") / F.col("centre"))
+    return rounded(out.select("vec_id", "label", "peak", "z", "ratio"), "peak", "z", "ratio")
 
 
-@query()
+@query(f"""WITH {LONG}, m AS (SELECT *, avg(x) OVER (PARTITION BY vec_id) AS mu, max(abs(x)) OVER (PARTITION BY vec_id) AS pk FROM s),
+r AS (SELECT *, i - row_number() OVER (PARTITION BY vec_id, abs(x) >= pk * 0.985 ORDER BY i) AS run, abs(x) >= pk * 0.985 AS high FROM m),
+runs AS (SELECT vec_id, max(n) AS rail_run FROM (SELECT vec_id, run, count(*) AS n FROM r WHERE high GROUP BY vec_id, run) GROUP BY vec_id),
+e AS (SELECT vec_id, any_value(label) AS label, max(pk) AS pk, sqrt(sum((x - mu) * (x - mu)) / count(*)) AS sd, any_value(rail_run) AS rail_run FROM m JOIN runs USING (vec_id) GROUP BY vec_id),
+c AS (SELECT label, median(pk) AS centre FROM e GROUP BY label), d AS (SELECT label, median(abs(pk - centre)) AS mad FROM e JOIN c USING (label) GROUP BY label),
+z AS (SELECT *, CASE WHEN mad > 0 THEN (pk - centre) / (1.4826::DOUBLE * mad) ELSE 0 END AS zz, pk / centre AS q FROM e JOIN c USING (label) JOIN d USING (label))
+SELECT vec_id, CASE WHEN pk <= 0 OR sd <= 0 OR q < 0.02 THEN 'dead' WHEN rail_run / 64.0 >= 0.04 THEN 'clipped' WHEN zz >= 6 AND q >= 2.5 THEN 'hot' WHEN zz <= -5 AND q <= 0.4 THEN 'weak' ELSE 'good' END AS class, round(zz, 6) AS z, round(q, 6) AS ratio FROM z""")
 def trace_classes(spark, d):
-    e = traces.evidence(table(spark, d, "embeddings"), "vec_id", "embedding")
-    scored = survey.robust_z(e, "rms").withColumn("ratio", F.col("rms") / F.col("centre"))
+    e = traces.evidence(table(spark, d, "embeddings"), "vec_id", "embedding", "label")
+    scored = survey.robust_z(e, "peak", "label").withColumn("ratio", F.col("peak") / F.col("centre"))
     return rounded(traces.classify(scored).select("vec_id", "class", "z", "ratio"), "z", "ratio")
 
 
@@ -545,9 +552,9 @@ def helmert(spark, d):
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Evidence of every trace, with robust scores and a class."""
-    e = traces.evidence(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
-    return traces.classify(survey.robust_z(e, "rms").withColumn("ratio", F.col("rms") / F.col("centre")))
+    """Evidence of every trace, with robust scores within its record and a class."""
+    e = traces.evidence(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label")
+    return traces.classify(survey.robust_z(e, "peak", "label").withColumn("ratio", F.col("peak") / F.col("centre")))
 
 
 def queries() -> dict:
