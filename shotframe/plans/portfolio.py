@@ -199,22 +199,33 @@ def semblance(spark, d):
     return rounded(traces.semblance(gathers, "label", "offset", "embedding", 0.004, [1500.0, 2000.0, 2500.0, 3000.0]), "value")
 
 
-@query()
+@query(f"""WITH {LONG}, t AS (SELECT vec_id, any_value(label) AS label, k, sum(x * cos(2 * pi() * k * i / 64)) AS re, -sum(x * sin(2 * pi() * k * i / 64)) AS im FROM s, generate_series(0, 31) g(k) GROUP BY vec_id, k),
+n AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS j, CAST(pow(2, ceil(log2(count(*) OVER (PARTITION BY label)))) AS BIGINT) AS nx FROM embeddings),
+w AS (SELECT label, nx, unnest(generate_series(-(nx // 2), nx - nx // 2 - 1)) AS kx FROM (SELECT DISTINCT label, nx FROM n)),
+z AS (SELECT n.label, w.kx, t.k, sum(re * cos(2 * pi() * kx * j / n.nx) + im * sin(2 * pi() * kx * j / n.nx)) AS a, sum(im * cos(2 * pi() * kx * j / n.nx) - re * sin(2 * pi() * kx * j / n.nx)) AS b FROM n JOIN t ON t.vec_id = n.vec_id JOIN w ON w.label = n.label GROUP BY n.label, w.kx, t.k)
+SELECT label, CAST(kx AS INTEGER) AS kx, CAST(k AS INTEGER) AS f, round(sqrt(a * a + b * b), 6) AS amplitude FROM z""")
 def fk_spectrum(spark, d):
     return rounded(kernels.fk_spectrum(table(spark, d, "embeddings"), "label", "vec_id", "embedding", "int"), "amplitude")
 
 
-@query()
+ANALYTIC = f"""{LONG}, f AS (SELECT vec_id, k, sum(x * cos(2 * pi() * k * i / 64)) AS re, -sum(x * sin(2 * pi() * k * i / 64)) AS im, CASE WHEN k IN (0, 32) THEN 1 ELSE 2 END AS m FROM s, generate_series(0, 32) g(k) GROUP BY vec_id, k),
+z AS (SELECT vec_id, i, sum(m * (re * cos(2 * pi() * k * i / 64) - im * sin(2 * pi() * k * i / 64))) / 64 AS a, sum(m * (re * sin(2 * pi() * k * i / 64) + im * cos(2 * pi() * k * i / 64))) / 64 AS b FROM f, generate_series(0, 63) h(i) GROUP BY vec_id, i)"""
+
+
+@query(f"WITH {ANALYTIC} SELECT vec_id, CAST(i AS INTEGER) AS i, round(sqrt(a * a + b * b), 6) AS y FROM z")
 def trace_envelope(spark, d):
     return rounded(table(spark, d, "embeddings").select("vec_id", F.posexplode(kernels.envelope(F.col("embedding"))).alias("i", "y")), "y")
 
 
-@query()
+@query(f"""WITH {ANALYTIC}, p AS (SELECT vec_id, i, atan2(b, a) AS p, atan2(b, a) - lag(atan2(b, a)) OVER (PARTITION BY vec_id ORDER BY i) AS d FROM z)
+SELECT vec_id, CAST(i AS INTEGER) AS i, round(p + sum(CASE WHEN d > pi() THEN -2 * pi() WHEN d < -pi() THEN 2 * pi() ELSE 0 END) OVER (PARTITION BY vec_id ORDER BY i), 6) AS y FROM p""")
 def trace_phase(spark, d):
     return rounded(table(spark, d, "embeddings").select("vec_id", F.posexplode(kernels.instantaneous_phase(F.col("embedding"))).alias("i", "y")), "y")
 
 
-@query()
+@query(f"""WITH {LONG}, y AS (SELECT vec_id, frame, i - frame * 16 AS j, x * (0.5 - 0.5 * cos(2 * pi() * (i - frame * 16) / 31)) AS v FROM s, generate_series(0, 2) f(frame) WHERE i >= frame * 16 AND i < frame * 16 + 32),
+t AS (SELECT vec_id, frame, k, sum(v * cos(2 * pi() * k * j / 32)) AS re, sum(v * sin(2 * pi() * k * j / 32)) AS im FROM y, generate_series(0, 15) g(k) GROUP BY vec_id, frame, k)
+SELECT vec_id, CAST(frame AS INTEGER) AS frame, CAST(k AS INTEGER) AS bin, round(sqrt(re * re + im * im), 6) AS magnitude FROM t""")
 def spectrogram(spark, d):
     frames = table(spark, d, "embeddings").select("vec_id", F.posexplode(kernels.spectrogram(F.col("embedding"), 32, 16)).alias("frame", "m"))
     return rounded(frames.select("vec_id", "frame", F.posexplode("m").alias("bin", "magnitude")), "magnitude")
