@@ -152,3 +152,19 @@ def test_formats_and_exports(spark, tmp_path):
     back = formats.read_geojson_lines(spark, f"{tmp_path}/g").collect()
     assert [(r.lon, r.lat, r.properties["name"]) for r in back] == [(1.5, 2.5, "a<b")]
     assert [r.value for r in formats.kml_placemarks(rows, "lon", "lat", "name").collect()] == ["<Placemark><name>a&lt;b</name><Point><coordinates>1.50000000,2.50000000</coordinates></Point></Placemark>"]
+
+
+def test_segp1_round_trip(spark, tmp_path):
+    from shotframe.sources import segp1
+
+    rows = spark.createDataFrame([("S", "LINE 1", 101.0, 29.5, -95.25, 500000.1, 326400.5, 12.5), (None, "L2", 7.0, -0.5, 179.99, 1.0, 2.0, None), ("R", "L3", 8.0, None, None, None, None, 3.0)], "kind string, line string, point double, lat double, lon double, easting double, northing double, elevation double")
+    segp1.point_lines(rows).write.text(f"{tmp_path}/p1")
+    (tmp_path / "p1" / "head.txt").write_text("H SEG-P1 header\n\n")
+    got = {r.line: r for r in segp1.read_points(spark, f"{tmp_path}/p1/*").collect()}
+    assert set(got) == {"LINE 1", "L2", "L3"}
+    for r in rows.collect():
+        g = got[r.line]
+        assert g.point == r.point and g.kind == r.kind
+        for n in ("lat", "lon", "easting", "northing", "elevation"):
+            assert (g[n] is None and r[n] is None) or g[n] == pytest.approx(r[n], abs=0.051 if n not in ("lat", "lon") else 2e-6)
+    assert spark.range(1).select(segp1.grid_metres(F.lit("660000.0")).alias("a"), segp1.packed_degrees(F.lit("299900.00N"), 2).alias("b")).first() == (660000.0, None)
