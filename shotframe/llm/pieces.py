@@ -306,6 +306,7 @@ def _coder(model: bytes):
                 ids += found
                 back += [pieces.decode(i) == (x or "") for i, x in zip(found, some, strict=True)]
             yield pd.DataFrame({"ids": ids, "round_trip": back})
+        pieces._forget()  # the worker may wait for other stages' tasks; the pairs' table stays
 
     return F.pandas_udf(coded, "ids array<int>, round_trip boolean")
 

@@ -34,7 +34,7 @@ from .words import mix
 
 LENGTH, GRAM = 100, 20
 #: Bytes of text that a task holds at once: of one piece (for arrays of 8 bytes each) and of one block of fragments.
-PIECE, BLOCK = 1 << 20, 24 << 20
+PIECE, BLOCK = 1 << 19, 12 << 20
 #: Bytes of fragments in a bucket, and of one sorted part of it.
 BUCKET, PART = 4 << 20, 1 << 20
 # A difference cover modulo 7.
