@@ -8,9 +8,11 @@ probability of their weighted Jaccard similarity, at a cost of about n + k log k
 Plan: texts that are equal become one node (grouped by digest). Nodes meet in buckets, one for each band of the
 signature. In each bucket the most central member (that with the most bucket mates, summed over its buckets) is linked
 with each of the others, exactly verified on the shingle sets, and the links' components are found. Buckets that then
-still hold several components are compared in blocks by their signatures inside tasks, and the strongest links across
-components are verified as well, until no more are found; all members of a bucket take part, in blocks that share the
-central member. No list of all pairs arises and nothing but counts reaches the driver.
+still hold several components are compared in blocks by their signatures inside tasks, and the strongest links of each
+member across components are verified as well. A block that has more such links is compared again, with more of them and
+the components found by then, until every link above the estimate's floor is verified or lies within a component; pairs
+once rejected stay rejected and hide no others. All members of a bucket take part, in blocks that share the central
+member. Nothing but counts reaches the driver.
 
 Defined results: a null text equals an empty one; equal texts (also without any word) are one class; a text of under
 five words has one shingle of all its words; a null doc_id is answered with its text's class, and a class of only null
@@ -34,6 +36,9 @@ COORDINATES, BAND_ROWS, SIMILARITY = 128, 4, 0.8
 BLOCK = 1024
 #: Signatures of 128 coordinates estimate 0.8 with a standard deviation of 0.035; four of them are allowed for.
 ESTIMATE_SLACK = 0.15
+#: Estimated links that each member of a block may propose in the first round, and the factor of each further round.
+MOST, MORE = 4, 16
+GROUP = ["key", "block"]
 _BASE = 1 / 16  # height of the lowest rank stratum; each next one doubles the height reached
 
 
@@ -159,32 +164,59 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _strongest(similarity: float):
-    """Of one block of a bucket: the strongest estimated links that join its components into fewer (a spanning forest)."""
+def _cross_pairs(part: np.ndarray, apart: np.ndarray, end: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs (left, right) of rows of one group and different parts, some 2**16 at a time. end: where each row's group ends."""
+    later = end - np.arange(len(end)) - 1
+    for rows in np.split(np.arange(len(end)), np.flatnonzero(np.diff(np.cumsum(later) >> 16)) + 1):
+        left = np.repeat(rows, later[rows])
+        right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(later[rows]) - later[rows], later[rows])
+        use = (part[left] != part[right]) & (apart[left] != apart[right])
+        yield left[use], right[use]
 
-    def linked(rows: pd.DataFrame) -> pd.DataFrame:
-        sig = np.stack([np.frombuffer(x, np.uint16) for x in rows["sig"]])
-        part = pd.factorize(rows["label"])[0]
-        found = []
-        for i in range(len(rows)):
-            alike = (sig[i + 1 :] == sig[i]).mean(axis=1)
-            at = np.flatnonzero((alike >= similarity - ESTIMATE_SLACK) & (part[i + 1 :] != part[i]))
-            found += [(-alike[j], i, i + 1 + j) for j in at]
-        root = list(range(part.max() + 1))
-
-        def top(x: int) -> int:
-            while root[x] != x:
-                root[x] = x = root[root[x]]
-            return x
 
-        kept = []
-        for _, i, j in sorted(found):
-            if (p := top(part[i])) != (q := top(part[j])):
-                root[p] = q
-                kept.append((rows["node"].iloc[i], rows["node"].iloc[j]))
-        return pd.DataFrame(kept, columns=["a", "b"])
+def _strongest(similarity: float, most: int):
+    """Of the blocks of buckets, in order of GROUP: the estimated links across components that are among the ``most`` strongest
+    of either end; ``cut`` says that their block has more."""
 
-    return linked
+    def linked(rows: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        sig = np.frombuffer(b"".join(rows["sig"]), np.uint16).reshape(len(rows), -1)
+        part = pd.factorize(rows["label"])[0]
+        sizes = np.diff(np.append(starts, len(rows)))
+        left, right, alike = [], [], []
+        for i, j in _cross_pairs(part, np.arange(len(rows)), np.repeat(starts + sizes, sizes)):
+            n = (sig[i] == sig[j]).sum(axis=1)
+            use = n >= (similarity - ESTIMATE_SLACK) * sig.shape[1]
+            left.append(i[use])
+            right.append(j[use])
+            alike.append(n[use])
+        left, right, alike = np.concatenate(left), np.concatenate(right), np.concatenate(alike)
+        # Each link's place among those of either end, the strongest first.
+        ends = np.concatenate([left, right])
+        by = np.lexsort((-np.tile(alike, 2), ends))
+        place = np.arange(len(by)) - np.searchsorted(ends[by], ends[by])
+        kept = np.zeros(len(left), bool)
+        kept[by[place < most] % max(1, len(left))] = True
+        group = np.repeat(np.arange(len(starts)), sizes)
+        cut = np.isin(group[left[kept]], group[left[~kept]])
+        node = rows["node"].to_numpy()
+        return pd.DataFrame({"key": rows["key"].to_numpy()[left[kept]], "a": node[left[kept]], "b": node[right[kept]], "cut": cut})
+
+    def blocks(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for part in parts:
+            if not len(part):
+                continue
+            held = part if held is None else pd.concat([held, part], ignore_index=True)
+            starts = np.flatnonzero((held[GROUP] != held[GROUP].shift()).any(axis=1))
+            # The last block may go on; the others are taken by some thousand rows.
+            for some in np.split(starts[:-1], np.flatnonzero(np.diff(starts[:-1] // (2 * BLOCK))) + 1):
+                if len(some):
+                    yield linked(held.iloc[some[0] : starts[np.searchsorted(starts, some[-1]) + 1]], some - some[0])
+            held = held.iloc[starts[-1] :].reset_index(drop=True)
+        if held is not None:
+            yield linked(held, np.zeros(1, np.int64))
+
+    return blocks
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, weight: str = "set", k: int = COORDINATES, rows: int = BAND_ROWS) -> DataFrame:
@@ -203,25 +235,31 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     texts = base.join(small_side(nodes.join(multi.select("node").distinct(), "node", "left_semi").select("node", F.col("rep").alias("doc_id"))), ["node", "doc_id"], "left_semi").select("node", "text")
     links = written(verified(written(edges, "edges"), texts, similarity), "verified")
     labels = components(links)
+    # Every pair that was verified, also those that were rejected.
+    ordered = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
+    tried, again, most = edges.select(*ordered), multi, MOST
     while True:
-        placed = multi.join(labels, "node", "left").select("key", "n", "node", F.coalesce("label", "node").alias("label"))
+        placed = again.join(labels, "node", "left").select("key", "n", "node", F.coalesce("label", "node").alias("label"))
         mixed = placed.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("key")
         held = placed.join(mixed, "key").join(pivots, "key")
         blocks = F.ceil(F.col("n") / BLOCK).cast("int")
         # The central member goes to each block of its bucket, the others to one.
         salt = F.when(F.col("node") == F.col("pivot"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array((F.crc32("node") % blocks).cast("int")))
         rows_ = held.select("key", "node", "label", F.explode(salt).alias("block")).join(nodes.select("node", "sig"), "node")
-        more = rows_.groupBy("key", "block").applyInPandas(_strongest(similarity), "a binary, b binary")
-        more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        tried = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        more = written(more.join(tried, ["a", "b"], "left_anti"), "edges")
-        if more.isEmpty():
-            break
-        new = written(verified(more, texts, similarity), "verified")
-        if new.isEmpty():
+        rows_ = rows_.repartition(*GROUP).sortWithinPartitions(*GROUP)
+        found = written(rows_.mapInPandas(_strongest(similarity, most), "key long, a binary, b binary, cut boolean"), "candidates")
+        more = written(found.select(*ordered).distinct().join(tried, ["a", "b"], "left_anti"), "edges")
+        if not more.isEmpty():
+            tried = tried.union(more)
+            new = written(verified(more, texts, similarity), "verified")
+            if not new.isEmpty():
+                links = links.union(new)
+                labels = components(links)
+        cut = found.where("cut").select("key").distinct()
+        if cut.isEmpty():
             break
-        links = links.union(new)
-        labels = components(links)
+        # A cut block is compared again, with the components as they are now and more links of each end.
+        again, most = multi.join(small_side(cut), "key", "left_semi"), most * MORE
     ids = nodes.join(labels, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label"))
     classes = ids.join(ids.groupBy("label").agg(F.min("rep").alias("class_id")), "label").select("node", "class_id")
     return base.select("doc_id", "node").join(classes, "node")

@@ -135,6 +135,18 @@ def test_hot_group_of_near_copies(spark):
     assert {x.class_id for x in neardup.near_classes(df).collect()} == {0}
 
 
+def pairs_near_the_threshold(spark, n=30):
+    """Texts 2i and 2i + 1 have a similarity of 0.806, all others 0.790: estimates don't tell them apart."""
+    base = prose(21, 357)
+    texts = [(i, f"{base} {' '.join(f'p{i // 2}x{j}' for j in range(4))} {' '.join(f'o{i}x{j}' for j in range(43))}") for i in range(2 * n)]
+    return spark.createDataFrame(texts, "doc_id long, text string")
+
+
+def test_rejected_links_hide_no_others(spark):
+    got = {r.doc_id: r.class_id for r in neardup.near_classes(pairs_near_the_threshold(spark)).collect()}
+    assert got == {i: i - i % 2 for i in got} and len(got) == 60
+
+
 # 3
 def test_urls(spark):
     pages = [(1, "http://A.Example.ORG/es/x?q"), (2, None), (3, "no scheme"), (4, "https://example.org"), (5, "x://fr.com/de/1#z"), (6, "http://org/"), (6, "http://org/"), (7, "http://notexample.org/en/12"), (None, "http://example.org/en/1"), (8, "http://com/fr/é")]
