@@ -11,8 +11,9 @@ with each of the others, exactly verified on the shingle sets, and the links' co
 still hold several components are compared in blocks by their signatures inside tasks, and the strongest links of each
 member across components are verified as well. A block that has more such links is compared again, with more of them and
 the components found by then, until every link above the estimate's floor is verified or lies within a component; pairs
-once rejected stay rejected and hide no others. All members of a bucket take part, in blocks that share the central
-member. Nothing but counts reaches the driver.
+once rejected stay rejected and hide no others. A bucket of over BLOCK members is cut into blocks of about half as many, and
+every two blocks (and each by itself) are compared in one task, so that all its members meet; only the members of its
+largest component need not meet one another. Nothing but counts reaches the driver.
 
 Defined results: a null text equals an empty one; equal texts (also without any word) are one class; a text of under
 five words has one shingle of all its words; a null doc_id is answered with its text's class, and a class of only null
@@ -38,7 +39,7 @@ BLOCK = 1024
 ESTIMATE_SLACK = 0.15
 #: Estimated links that each member of a block may propose in the first round, and the factor of each further round.
 MOST, MORE = 4, 16
-GROUP = ["key", "block"]
+GROUP = ["key", "x", "y"]
 _BASE = 1 / 16  # height of the lowest rank stratum; each next one doubles the height reached
 
 
@@ -164,26 +165,28 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _cross_pairs(part: np.ndarray, apart: np.ndarray, end: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The pairs (left, right) of rows of one group and different parts, some 2**16 at a time. end: where each row's group ends."""
+def _cross_pairs(part: np.ndarray, side: np.ndarray, end: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs (left, right) of rows of one group, different parts and different sides (or none: -1), some 2**16 at a time.
+    end: where each row's group ends."""
     later = end - np.arange(len(end)) - 1
     for rows in np.split(np.arange(len(end)), np.flatnonzero(np.diff(np.cumsum(later) >> 16)) + 1):
         left = np.repeat(rows, later[rows])
         right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(later[rows]) - later[rows], later[rows])
-        use = (part[left] != part[right]) & (apart[left] != apart[right])
+        use = (part[left] != part[right]) & ((side[left] < 0) | (side[left] != side[right]))
         yield left[use], right[use]
 
 
 def _strongest(similarity: float, most: int):
-    """Of the blocks of buckets, in order of GROUP: the estimated links across components that are among the ``most`` strongest
-    of either end; ``cut`` says that their block has more."""
+    """Of the pairs of blocks of buckets, in order of GROUP: the estimated links across components that are among the ``most`` strongest
+    of either end; ``cut`` says that their pair of blocks has more."""
 
     def linked(rows: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
         sig = np.frombuffer(b"".join(rows["sig"]), np.uint16).reshape(len(rows), -1)
         part = pd.factorize(rows["label"])[0]
         sizes = np.diff(np.append(starts, len(rows)))
+        side = np.where(rows["x"] == rows["y"], -1, rows["mine"])
         left, right, alike = [], [], []
-        for i, j in _cross_pairs(part, np.arange(len(rows)), np.repeat(starts + sizes, sizes)):
+        for i, j in _cross_pairs(part, side, np.repeat(starts + sizes, sizes)):
             n = (sig[i] == sig[j]).sum(axis=1)
             use = n >= (similarity - ESTIMATE_SLACK) * sig.shape[1]
             left.append(i[use])
@@ -239,13 +242,19 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ordered = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
     tried, again, most = edges.select(*ordered), multi, MOST
     while True:
-        placed = again.join(labels, "node", "left").select("key", "n", "node", F.coalesce("label", "node").alias("label"))
-        mixed = placed.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("key")
-        held = placed.join(mixed, "key").join(pivots, "key")
-        blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-        # The central member goes to each block of its bucket, the others to one.
-        salt = F.when(F.col("node") == F.col("pivot"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array((F.crc32("node") % blocks).cast("int")))
-        rows_ = held.select("key", "node", "label", F.explode(salt).alias("block")).join(nodes.select("node", "sig"), "node")
+        placed = again.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+        parts = placed.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
+        mixed = parts.groupBy("key").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+        # A large bucket is dealt into blocks, those of its largest component last; every two blocks meet, but for two of that.
+        dealt = lambda n: F.ceil(n / (BLOCK // 2)).cast("int")
+        held = placed.join(mixed, "key").withColumn("rest", dealt(F.col("n") - F.col("most.n"))).withColumn("all", F.col("rest") + dealt(F.col("most.n")))
+        inner = F.col("label") == F.col("most.label")
+        mine = F.crc32("node") % F.when(inner, F.col("all") - F.col("rest")).otherwise(F.col("rest")) + F.when(inner, F.col("rest")).otherwise(0)
+        whole = F.col("n") <= BLOCK
+        held = held.withColumn("mine", F.when(whole, 0).otherwise(mine).cast("int"))
+        met = F.when(whole, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.when(inner, F.col("rest")).otherwise(F.col("all")) - 1))
+        rows_ = held.select("key", "node", "label", "mine", F.explode(met).alias("other")).withColumns({"x": F.least("mine", "other"), "y": F.greatest("mine", "other")})
+        rows_ = rows_.drop("other").join(nodes.select("node", "sig"), "node")
         rows_ = rows_.repartition(*GROUP).sortWithinPartitions(*GROUP)
         found = written(rows_.mapInPandas(_strongest(similarity, most), "key long, a binary, b binary, cut boolean"), "candidates")
         more = written(found.select(*ordered).distinct().join(tried, ["a", "b"], "left_anti"), "edges")

@@ -147,6 +147,22 @@ def test_rejected_links_hide_no_others(spark):
     assert got == {i: i - i % 2 for i in got} and len(got) == 60
 
 
+def test_all_members_of_large_buckets_meet(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    got = {r.doc_id: r.class_id for r in neardup.near_classes(pairs_near_the_threshold(spark)).collect()}
+    assert got == {i: i - i % 2 for i in got} and len(got) == 60
+
+
+def test_chain_in_a_bucket_of_thousands(spark):
+    """A chain of texts: each is within 0.8 of the next one only, beside hundreds of copies of the middle that fill its buckets."""
+    base = prose(22, 500).split()
+    chain = [" ".join(f"c{j}" if j < 25 * i else w for j, w in enumerate(base)) for i in range(8)]
+    r = random.Random(6)
+    crowd = [" ".join(base[:i] + [f"n{i}"] + base[i + 1 :]) + f" z{k}" for k, i in enumerate(r.randrange(250, 500) for _ in range(1500))]
+    df = spark.createDataFrame(list(enumerate(chain + crowd)), "doc_id long, text string")
+    assert {x.class_id for x in neardup.near_classes(df).collect()} == {0}
+
+
 # 3
 def test_urls(spark):
     pages = [(1, "http://A.Example.ORG/es/x?q"), (2, None), (3, "no scheme"), (4, "https://example.org"), (5, "x://fr.com/de/1#z"), (6, "http://org/"), (6, "http://org/"), (7, "http://notexample.org/en/12"), (None, "http://example.org/en/1"), (8, "http://com/fr/é")]
