@@ -4,7 +4,7 @@ A record's fingerprint is the SHA-256 of its sorted nested field paths (``messag
 layout, whose mapping turns the record into canonical (role, text) turns. Turns are then rendered into one marked
 string per conversation with a loss mask over the assistant texts.
 
-Defined results: a null text is empty, a null role is the empty role; records whose fingerprint no layout knows get
+Defined results: a null text is empty, a null role is the empty role (a turn row may have both); records whose fingerprint no layout knows get
 ``layout`` null and no turns (``canonical_turns`` keeps them when ``keep_unmapped``); turns of one conversation that tie
 in order are ordered by role, then text; repeated rows stay repeated turns; a null conversation id is a conversation
 like any other; an empty table gives no rows; columns beyond the layouts' paths are ignored, whatever their names.
@@ -51,6 +51,8 @@ class Layout:
     turns: tuple[Say | Each, ...]
     optional: tuple[str, ...] = ()
     roles: dict[str, str] = field(default_factory=dict, hash=False)
+    #: Records without any path are also of this layout where the schema has all of its paths.
+    blank: bool = False
 
     def fingerprints(self) -> list[str]:
         return [fingerprint_of([*self.required, *some]) for n in range(len(self.optional) + 1) for some in combinations(self.optional, n)]
@@ -60,7 +62,7 @@ class Layout:
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "chatbot": "assistant"}
 
 LAYOUTS = (
-    Layout("turn_row", ("role",), (Say("role", ("text",), role_field=True),), optional=("text",)),
+    Layout("turn_row", ("role",), (Say("role", ("text",), role_field=True),), optional=("text",), blank=True),
     Layout("turn_row_no_role", ("text",), (Say("role", ("text",), role_field=True),)),
     Layout("prompt_response", ("prompt", "response"), (Say("system", ("system",)), Say("user", ("prompt",)), Say("assistant", ("response",))), optional=("system",)),
     Layout("prompt_completion", ("prompt", "completion"), (Say("user", ("prompt",)), Say("assistant", ("completion",)))),
@@ -142,7 +144,8 @@ def canonical_turns(records: DataFrame, id_col: str, order_col: str | None = Non
     for layout in layouts:
         if not set(layout.required) <= set(used):
             continue
-        fits = F.col("__fp").isin(layout.fingerprints())
+        blank = [fingerprint_of([])] if layout.blank and {*layout.required, *layout.optional} <= set(used) else []
+        fits = F.col("__fp").isin(layout.fingerprints() + blank)
         value = _turns(layout, records.schema)
         turns = F.when(fits, value) if turns is None else turns.when(fits, value)
         name = F.when(fits, F.lit(layout.name)) if name is None else name.when(fits, F.lit(layout.name))

@@ -79,6 +79,12 @@ def test_chat_turn_rows(spark):
     assert chat.format_chats(chat.canonical_turns(df.limit(0), "conv_id", "turn")).count() == 0
 
 
+def test_chat_turn_rows_without_role_and_text(spark):
+    df = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, None, None), (2, 0, None, None)], "conv_id long, turn long, role string, text string")
+    out = {r.conv_id: r for r in chat.read_back(chat.format_chats(chat.canonical_turns(df, "conv_id", "turn"))).collect()}
+    assert {i: [(t.role, t.text) for t in r.turns] for i, r in out.items()} == {1: [("user", "a"), ("", "")], 2: [("", "")]}
+
+
 # 2
 def test_dart_signatures_estimate_weighted_similarity():
     r = np.random.default_rng(1)
