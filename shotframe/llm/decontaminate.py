@@ -2,7 +2,8 @@
 
 A mask is a fixed pattern of word positions; the words at its ones are hashed and those at its zeros ignored, so a hit
 survives substitutions. The three masks were chosen so that every overlap of 13 words with two substitutions has a hit.
-Items shorter than the longest mask are hashed whole. Seeds of documents meet those of items by an equi-join; each hit's
+Items shorter than the longest mask have masks of their own length, which leave out every place (of 10
+words: every two places) between the ends. Seeds of documents meet those of items by an equi-join; each hit's
 diagonal is then verified on a window of words around it: an overlap counts if it has MIN_OVERLAP words (or the whole of
 a shorter item) and at least IDENTITY of them agree.
 
@@ -27,6 +28,14 @@ from .words import WordHashes, mix, words_of
 
 # The masks.
 MASKS = ("110110011", "1011100011", "10010011011")
+SHORT_MASKS = {
+    5: ("10111", "11011", "11101"),
+    6: ("101111", "110111", "111011", "111101"),
+    7: ("1001111", "1110011", "1111101"),
+    8: ("10001111", "11110001"),
+    9: ("100001111", "111110001"),
+    10: ("1000001111", "1000010111", "1000111001", "1111000001"),
+}
 MIN_OVERLAP, IDENTITY, MIN_ITEM = 13, 0.8, 5
 #: Words on either side of a hit that its verification looks at.
 AROUND = 48
@@ -45,8 +54,9 @@ def _seeds(h: np.ndarray, shape: tuple[int, ...], salt: int) -> np.ndarray:
 
 
 def shapes(short: list[int]) -> list[tuple[int, tuple[int, ...]]]:
-    """(salt, positions) of the masks and of whole windows of the short lengths."""
-    return [(i + 1, tuple(j for j, c in enumerate(m) if c == "1")) for i, m in enumerate(MASKS)] + [(100 + n, tuple(range(n))) for n in short]
+    """(salt, positions) of the masks and of those of the short lengths."""
+    masks = [*enumerate(MASKS, 1), *((8 * n + i, m) for n in short for i, m in enumerate(SHORT_MASKS[n]))]
+    return [(salt, tuple(j for j, c in enumerate(m) if c == "1")) for salt, m in masks]
 
 
 def item_seeds(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -58,7 +68,7 @@ def item_seeds(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
             h = hashes(words_of(text))
             found = []
             for salt, shape in shapes([len(h)] if MIN_ITEM <= len(h) < _SPAN else []) if len(h) >= MIN_ITEM else []:
-                if len(h) < _SPAN and salt < 100:
+                if len(h) < _SPAN and salt <= len(MASKS):
                     continue
                 found += [{"h": int(x), "q": q} for q, x in enumerate(_seeds(h, shape, salt).view(np.int64))]
             out.append((h.view(np.int64), found))

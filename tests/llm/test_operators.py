@@ -237,6 +237,16 @@ def test_masks_hit_every_overlap_with_two_substitutions():
     for gone in combinations(range(decontaminate.MIN_OVERLAP), 2):
         assert any(all(p + i not in gone for i in s) for s in shapes for p in range(decontaminate.MIN_OVERLAP - s[-1]))
 
+def test_items_with_substitutions(spark):
+    lost = {5: [2], 6: [3], 7: [1], 8: [6], 9: [4], 10: [3, 6]}
+    items = {n: [f"i{n}w{j}" for j in range(n)] for n in lost}
+    docs = {n: [f"d{n}" if j in lost[n] else w for j, w in enumerate(x)] for n, x in items.items()}
+    worse = {100 + n: [*x[:-2], "worse", x[-1]] if n != 10 else [x[0], "worse", *x[2:]] for n, x in docs.items() if n != 8}
+    frame = lambda rows, name: spark.createDataFrame([(i, " ".join([prose(i, 9), *x, prose(i + 50, 9)] if name == "doc_id" else x)) for i, x in rows.items()], f"{name} long, text string")
+    got = {(r.doc_id, r.item_id, r.n_words, r.n_agree) for r in decontaminate.overlaps(frame(docs | worse, "doc_id"), frame(items, "item_id")).collect()}
+    assert {x for x in got if x[0] < 100} == {(n, n, n, n - len(lost[n])) for n in items}
+    assert not {x for x in got if x[0] in range(105, 113)}
+
 
 # 6
 def brute_cut(rows):
