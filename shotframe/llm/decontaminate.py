@@ -1,8 +1,10 @@
 """Benchmark decontamination by spaced-seed hashing.
 
 A mask is a fixed pattern of word positions; the words at its ones are hashed and those at its zeros ignored, so a hit
-survives substitutions. The three masks were chosen so that every overlap of 13 words with two substitutions has a hit.
-Items shorter than the longest mask have masks of their own length, which leave out every place (of 10
+survives substitutions. The four masks were chosen by enumeration so that every overlap of 11 words or more with 20 %
+substitutions has a hit: 11 and 12 words (whole items, both ends of which agree) with 2, and at any places 13 with 2, 15
+with 3, 20 with 4 and 25 with 5, thus all lengths from 13 to 25; a longer overlap parts into such lengths, of which one has
+at most 20 %. Items shorter than the longest mask have masks of their own length, which leave out every place (of 10
 words: every two places) between the ends. Seeds of documents meet those of items by an equi-join; each hit's
 diagonal is then verified on a window of words around it: an overlap counts if it has MIN_OVERLAP words (or the whole of
 a shorter item) and at least IDENTITY of them agree.
@@ -27,7 +29,7 @@ from .common import small_batches, small_side, written
 from .words import WordHashes, mix, words_of
 
 # The masks.
-MASKS = ("110110011", "1011100011", "10010011011")
+MASKS = ("1111011", "110010111", "1101100101", "11010001101")
 SHORT_MASKS = {
     5: ("10111", "11011", "11101"),
     6: ("101111", "110111", "111011", "111101"),

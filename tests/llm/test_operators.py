@@ -237,8 +237,23 @@ def test_masks_hit_every_overlap_with_two_substitutions():
     for gone in combinations(range(decontaminate.MIN_OVERLAP), 2):
         assert any(all(p + i not in gone for i in s) for s in shapes for p in range(decontaminate.MIN_OVERLAP - s[-1]))
 
+def test_masks_hit_every_overlap_of_any_length():
+    from itertools import combinations
+
+    def missed(masks, n, gone, inner):
+        ones = [sum(1 << i for i, c in enumerate(m) if c == "1") << p for m in masks for p in range(n - len(m) + 1)]
+        lost = (sum(1 << i for i in x) for x in combinations(range(1, n - 1) if inner else range(n), gone))
+        return [x for x in lost if all(x & o for o in ones)]
+
+    for n in range(decontaminate.MIN_ITEM, 13):
+        assert not missed(decontaminate.SHORT_MASKS.get(n, decontaminate.MASKS), n, n // 5, True)
+    # The lengths between have as many substitutions and more places; longer ones part into these.
+    for n in (13, 15, 20, 25):
+        assert not missed(decontaminate.MASKS, n, n // 5, False)
+
+
 def test_items_with_substitutions(spark):
-    lost = {5: [2], 6: [3], 7: [1], 8: [6], 9: [4], 10: [3, 6]}
+    lost = {5: [2], 6: [3], 7: [1], 8: [6], 9: [4], 10: [3, 6], 11: [2, 7], 12: [4, 9], 15: [2, 7, 9]}
     items = {n: [f"i{n}w{j}" for j in range(n)] for n in lost}
     docs = {n: [f"d{n}" if j in lost[n] else w for j, w in enumerate(x)] for n, x in items.items()}
     worse = {100 + n: [*x[:-2], "worse", x[-1]] if n != 10 else [x[0], "worse", *x[2:]] for n, x in docs.items() if n != 8}
