@@ -1,28 +1,33 @@
-"""LM scoring by logistic context mixing over bits.
-
-A text's words (A-Z lower-cased, parted by single spaces) and one end mark are coded by a prefix code built from the training bytes' counts, so a
-common byte is a few binary decisions. Several predictors give the log-odds of each bit from counts under a hashed
-context (the last 2, 3 or 4 bytes or those of the word so far, and the place in the code). A gate (how well each predictor knows its context) selects a
-set of weights; the weighted sum is squashed, and an adaptive table (by gate and squashed probability) refines it. While
-a text is scored, its copy of the weights goes on learning after each SEGMENT bytes. A word's probability is the mean,
-with a weight that also adapts, of its bits' and of its own among the training tokens (which the join below brings), so
-that frequent words are exact at any size of the vocabulary. The score is the text's log10 probability; ``bits_per_byte`` follows from it.
-
-Plan: (1) one scan sums token and byte counts of the training rows; (2) each task goes through its training rows online
-(it predicts a batch, corrects its weights and refining table, then counts the batch) and sends its tables, of fixed
-size, in compressed pieces; they are added up in rounds of FAN_IN, so that no task reads more than that many, and the
-weights are averaged by the bits they saw; (3) all rows are dealt into chunks of bounded size, each chunk's distinct
-tokens meet their counts by a join, and each chunk is scored with them and the broadcast model, whose size is fixed by
-TABLE_BITS whatever the input (2 bytes x 2**TABLE_BITS for each predictor).
-
-Defined results: a null text is empty and scores its end mark; without training rows every bit is even and every token
-unknown; repeated rows are scored one by one; a null id counts as the empty text for the fold; an empty table gives no
+"""LM scoring by online logistic context mixing over bits.
+
+A text's tokens (A-Z lower-cased words and one end mark) are coded by the training tokens' own counts: each distinct count
+n takes a stretch of the line [0, N) as long as its tokens' occurrences, the most frequent first, and a token's hash places it
+inside its stretch. The line is cut into 2**depth cells, about the square root of N. The cell is coded bit by bit from
+the root of the binary tree over all cells, with a first bit for unknown words, which are spelled by the bits of their bytes; bits whose
+other side holds no token are not coded. Three predictors give the log-odds of each bit: the exact occurrences of
+all training tokens on either side, and counts under two hashed contexts (the word's cell before or the two before, or the last bytes
+spelled; and the place in the tree). A gate (how well the contexts are known, and whether a byte is coded) selects a set of weights; the weighted sum is squashed,
+and an adaptive table (by gate and squashed probability) refines it. While a text is scored, its copy of the weights goes
+on learning after each SEGMENT symbols. What is left of a known token's bits, below its cell, has the exact counts as its only predictor; their
+product is n / (occurrences in the cell). ``score`` is the text's log10 probability; ``bits_per_byte`` follows from it.
+
+What is learned grows with the input: every token's count (no token is left out, and counts meet the texts by a join), the tree's depth
+and the tables of contexts, up to a broadcast of 2**MOST_BITS slots of 2 bytes for each context.
+
+Plan: (1) one scan sums token and byte counts of the training rows; (2) the rows are dealt by hash into chunks of bounded size,
+each chunk's distinct tokens meet their counts and cells by a join, and each chunk is coded; its training rows, in the order of a hash of
+their id and text, are learned online (a batch is predicted, corrects the weights and the refining table, and is then counted, tokens that occur
+once as unknown ones, as they would be in a new text); (3) the chunks' tables are added up in rounds of FAN_IN, the weights averaged by
+the bits they saw, and the coded rows are scored with the broadcast model. Chunks and orders follow from the rows alone, so scores don't
+change with partitions, cluster or retries.
+
+Defined results: a null text is empty and scores its end mark; without training rows every token is unknown and all bits are
+even; repeated rows are scored one by one; a null id counts as the empty text for the fold; an empty table gives no
 rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import heapq
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -30,128 +35,127 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, small_batches, written
+from .common import release, releasing, small_batches, small_side, written
 
-#: Bytes of the counted predictors' contexts; the last predictor takes the bytes since the last white space.
-ORDERS, TABLE_BITS = (3, 5), 22
-#: Tokens, the most frequent of all, that the last predictor knows; their counts are of all training rows.
-MOST_WORDS = 1 << 18
-PRIOR, RATE, DOC_RATE, SEGMENT, BUCKETS = 0.4, 0.3, 0.002, 1024, 65
-#: Bytes of text in a chunk and in one numpy batch; tables that one task adds up.
-CHUNK, BATCH, FAN_IN = 12 << 20, 32 << 10, 32
-END = 256
+PRIOR, RATE, DOC_RATE, SEGMENT, BUCKETS = 0.4, 0.5, 0.02, 256, 33
+#: Bytes of text in a chunk, of texts coded at once, symbols of one numpy batch, and tables that one task adds up.
+CHUNK, CODED, BATCH, FAN_IN = 12 << 20, 1 << 20, 4096, 32
+#: Bits of a table of contexts beyond the tree's depth, and at most.
+MORE_BITS, MOST_BITS = 9, 24
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 END_TOKEN = b""  # no word is empty
-#: Levels of how often a predictor has met its context: never, once or twice, up to 15 times, more often.
+#: Bytes of a spelled word that its next byte's contexts take.
+SPELT = (2, 3)
+#: Levels of how often a context has been met: never, once or twice, up to 15 times, more often.
 LEVELS = 4
-INPUTS = len(ORDERS) + 1
-GATES = LEVELS**INPUTS
-_MASK = np.uint32((1 << TABLE_BITS) - 1)
-_WORD_BASE = np.uint64(0x9E3779B97F4A7C15)
+CONTEXTS, INPUTS, GATES = 2, 3, 2 * LEVELS**2
 _TOP = (1 << 16) - 1
 _LOG = np.log(np.arange(_TOP + 1) + PRIOR).astype(np.float32)
 _LEVEL = np.where(np.arange(17) > 15, 3, np.where(np.arange(17) > 2, 2, np.arange(17) > 0)).astype(np.uint8)
+_NODE = np.uint64(0x9E3779B1)
+PIECES = 32
 
 
 def lowered(text: str | None) -> bytes:
-    """The text's words, lower-cased and parted by one space: what is scored."""
-    return b" ".join((text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split())
-
-
-class PrefixCode:
-    """A Huffman code over 257 symbols; for each symbol its bits and the tree nodes where they are decided."""
-
-    def __init__(self, counts: dict[int, int]):
-        heap = [(counts.get(s, 0) * 257 + 1, s, (s,)) for s in range(257)]
-        heapq.heapify(heap)
-        paths: list[list[tuple[int, int]]] = [[] for _ in range(257)]
-        node = 0
-        while len(heap) > 1:
-            (a, i, left), (b, j, right) = heapq.heappop(heap), heapq.heappop(heap)
-            for s in left:
-                paths[s].append((node, 0))
-            for s in right:
-                paths[s].append((node, 1))
-            heapq.heappush(heap, (a + b, min(i, j), left + right))
-            node += 1
-        self.length = np.array([len(p) for p in paths])
-        outer = [9, 10, 11, 12, 13, 32, END]
-        self.after = np.zeros(257)  # log10 shares of what follows a word
-        self.after[outer] = np.log10([counts.get(s, 0) + 1 for s in outer]) - math.log10(sum(counts.get(s, 0) + 1 for s in outer))
-        self.first = np.concatenate([[0], np.cumsum(self.length)[:-1]])
-        self.node = np.array([n * 0x9E3779B1 & 0xFFFFFFFF for p in paths for n, _ in p[::-1]], np.uint32)
-        self.bit = np.array([b for p in paths for _, b in p[::-1]], np.int8)
-
-
-def contexts(joined: np.ndarray, place: np.ndarray) -> list[np.ndarray]:
-    """A 32-bit hash of each predictor's context for every byte: its last bytes, or those since the last white space."""
-    n, pad = len(joined), max(ORDERS)
-    wide = np.concatenate([np.zeros(pad, np.uint8), joined]).astype(np.uint64) + np.uint64(1)
-    out = []
-    for order in (*ORDERS, 0):
-        h = np.full(n, np.uint64(order), np.uint64)
-        for back in range(1, (order or 1) + 1) if order else ():
-            h = h * np.uint64(0x9E3779B97F4A7C15) + np.where(place >= back, wide[pad - back : pad - back + n], np.uint64(0))
-        if not order:
-            power = np.full(n + 1, _WORD_BASE, np.uint64)
-            power[0] = 1
-            np.multiply.accumulate(power, out=power)
-            inverse = np.full(n + 1, np.uint64(pow(int(_WORD_BASE), -1, 2**64)), np.uint64)
-            inverse[0] = 1
-            np.multiply.accumulate(inverse, out=inverse)
-            sums = np.zeros(n + 1, np.uint64)
-            np.cumsum(wide[pad:] * power[:n], out=sums[1:])
-            space = (joined == 32) | ((joined >= 9) & (joined <= 13))
-            at = np.arange(n)
-            since = np.maximum(np.maximum.accumulate(np.where(np.append(False, space[:-1]), at, 0)), at - place)
-            h = (sums[at] - sums[since]) * inverse[since] + h
-        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
-        out.append(((h ^ (h >> np.uint64(29))) >> np.uint64(7)).astype(np.uint32))
-    return out
-
-
-def bits_of(texts: list[bytes], code: PrefixCode) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
-    """(bit, slot of each predictor, document, segment in its document) for the bits of texts, in order."""
-    size = np.array([len(x) + 1 for x in texts])
-    joined = np.frombuffer(b"\xff".join(texts) + b"\xff", np.uint8)
-    ends = np.cumsum(size)
-    doc = np.repeat(np.arange(len(texts), dtype=np.int32), size)
-    place = np.arange(len(joined)) - (ends - size)[doc]
-    symbol = joined.astype(np.int64)
-    symbol[ends - 1] = END
-    count = code.length[symbol]
-    of = np.repeat(np.arange(len(joined), dtype=np.int32), count)
-    at = np.arange(len(of)) + np.repeat(code.first[symbol] - (np.cumsum(count) - count), count)
-    node = code.node[at]
-    slots = [((h[of] + node) & _MASK).astype(np.int32) for h in contexts(joined, place)]
-    return code.bit[at], slots, doc[of], (place // SEGMENT).astype(np.int32)[of]
-
-
-def _batches(texts: list[bytes]) -> Iterator[list[int]]:
-    """Places of texts, up to BATCH bytes together (a longer text alone)."""
-    held, size = [], 0
-    for i, x in enumerate(texts):
-        if held and size + len(x) > BATCH:
-            yield held
-            held, size = [], 0
-        held.append(i)
-        size += len(x) + 1
-    if held:
-        yield held
+    return (text or "").encode("utf-8", "surrogatepass").translate(_LOWER)
+
+
+def depth_of(n_all: int) -> int:
+    """Bits of a cell: half of those of the number of training tokens."""
+    return max(1, int(math.log2(max(2, n_all)) / 2))
+
+
+class Tree:
+    """The symbols' bits: cells of known tokens, one symbol for unknown words, and the bytes (with a blank as their end) that spell those.
+
+    Symbol numbers: cells, ``unknown``, ``byte`` + byte; ``start`` stands before a text."""
+
+    def __init__(self, depth: int, cells: dict[int, int], singles: int, letters: dict[int, int]):
+        self.depth, cell = depth, 1 << depth
+        self.unknown, self.byte, self.start = cell, cell + 1, cell + 257
+        mass = np.zeros(4 * cell)
+        mass[2 * cell + np.array(list(cells), np.int64)] = list(cells.values())
+        for level in range(depth, 0, -1):
+            a = 1 << level
+            mass[a : a + a // 2] = mass[2 * a : 3 * a].reshape(-1, 2).sum(axis=1)
+        mass[3] = max(1, singles)
+        leaves = np.zeros(512)
+        leaves[256:] = [letters.get(b, 0) + 1 for b in range(256)]
+        for a in (128, 64, 32, 16, 8, 4, 2, 1):
+            leaves[a : 2 * a] = leaves[2 * a : 4 * a].reshape(-1, 2).sum(axis=1)
+        halves = np.concatenate([mass.reshape(-1, 2), leaves.reshape(-1, 2)])  # (node, side): occurrences
+        with np.errstate(divide="ignore", invalid="ignore"):
+            self.odds = np.nan_to_num(np.clip(np.log(halves[:, 1] / halves[:, 0]), -12, 12)).astype(np.float32)
+        known = (2 * cell + np.arange(cell))[:, None] >> np.arange(depth, -1, -1)
+        paths = [(known >> 1, known & 1), (np.array([[1]]), np.array([[1]]))]
+        spelt = (256 + np.arange(256))[:, None] >> np.arange(7, -1, -1)
+        paths.append(((spelt >> 1) + 2 * cell, spelt & 1))
+        open_ = [(halves[n] > 0).all(axis=2) for n, _ in paths]
+        self.node = np.concatenate([n[o] for (n, _), o in zip(paths, open_, strict=True)]).astype(np.int32)
+        self.bit = np.concatenate([b[o] for (_, b), o in zip(paths, open_, strict=True)]).astype(np.int8)
+        self.length = np.concatenate([o.sum(axis=1) for o in open_])
+        self.first = np.cumsum(self.length) - self.length
+
+    def bits_of(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(symbol's place, node, bit) of the symbols' bits, in order."""
+        count = self.length[symbols]
+        of = np.repeat(np.arange(len(symbols), dtype=np.int32), count)
+        at = np.arange(len(of)) + np.repeat(self.first[symbols] - (np.cumsum(count) - count), count)
+        return of, self.node[at], self.bit[at]
+
+    def contexts(self, symbols: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
+        """A hash of each symbol's two contexts: of the word before and of the two before; of a byte, what was spelled of its
+        word, the last SPELT bytes at most. starts: where texts begin (with a word)."""
+        spelt = symbols >= self.byte
+        words = np.flatnonzero(~spelt)
+        begin = np.searchsorted(words, starts)
+        before, second = np.empty(len(words), np.uint64), np.empty(len(words), np.uint64)
+        before[1:] = symbols[words[:-1]]
+        before[begin] = self.start
+        second[1:] = before[:-1]
+        second[begin] = self.start
+        hashes = np.empty((CONTEXTS, len(symbols)), np.uint64)
+        hashes[:, words] = before + np.uint64(1), before * np.uint64(0xD6E8FEB86659FD93) + second + np.uint64(1 << 40)
+        at = np.flatnonzero(spelt)
+        back = at - np.maximum.accumulate(np.where(spelt, 0, np.arange(len(symbols))))[at]
+        for k, order in enumerate(SPELT):
+            h = np.full(len(at), np.uint64(order) << np.uint64(50))
+            for i in range(1, order + 1):
+                h = h * np.uint64(0x9E3779B97F4A7C15) + np.where(back >= i, symbols[at - i], 0).astype(np.uint64)
+            hashes[k, at] = h
+        hashes *= np.uint64(0x9E3779B97F4A7C15)
+        hashes = (hashes ^ (hashes >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+        return list((hashes ^ (hashes >> np.uint64(29))) >> np.uint64(16))
+
+
+def symbols_of(words: list[bytes], cell: np.ndarray, known: np.ndarray, tree: Tree) -> tuple[np.ndarray, np.ndarray]:
+    """(symbols, place of each word's first): known words are their cells, unknown ones are spelled."""
+    size = np.ones(len(words), np.int64)
+    odd = np.flatnonzero(~known)
+    spelt = [words[i] for i in odd]
+    size[odd] += np.fromiter(map(len, spelt), np.int64, len(spelt)) + 1
+    first = np.cumsum(size) - size
+    out = np.empty(int(size.sum()), np.int32)
+    rest = np.ones(len(out), bool)
+    rest[first] = False
+    out[first] = np.where(known, cell, tree.unknown)
+    if len(odd):
+        out[rest] = np.frombuffer(b" ".join(spelt) + b" ", np.uint8).astype(np.int32) + tree.byte
+    return out, first
 
 
 def counted(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(kind, token, n): tokens (kind 0) and bytes (kind 1) of training texts."""
+    """(kind, token, n): tokens (kind 0) and bytes (kind 1; a blank for each word) of training texts."""
     words: Counter = Counter()
-    letters = np.zeros(257, np.int64)
+    letters = np.zeros(256, np.int64)
     for part in parts:
         for text in part["text"]:
-            raw = lowered(text)
-            words.update(raw.split())
-            letters += np.append(np.bincount(np.frombuffer(raw, np.uint8), minlength=256), 1)
+            found = lowered(text).split()
+            words.update(found)
+            letters += np.bincount(np.frombuffer(b" ".join(found) + b" ", np.uint8), minlength=256)
             words[END_TOKEN] += 1
         if len(words) > 400_000:
             yield pd.DataFrame({"kind": 0, "token": list(words.keys()), "n": list(words.values())})
@@ -171,56 +175,57 @@ def _unpack(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
-PIECES = 32
-#: Words after which the weight of a word's own probability follows what it was worth.
-WORDS = 64
-
-
-def word_odds(words: list[tuple[bytes, int]], code: PrefixCode) -> np.ndarray:
-    """The last predictor's table from tokens and their counts, each less one (so that a text's own token says nothing)."""
-    table = np.zeros(2 << TABLE_BITS, np.float32)
-    for at in range(0, len(words), 20_000):
-        some = words[at : at + 20_000]
-        text = b" ".join(t for t, _ in some) + b" "
-        size = np.array([len(t) + 1 for t, _ in some])
-        bit, slots, _, _ = bits_of([text], code)
-        count = np.repeat(np.append([n - 1 for _, n in some], 0), np.append([code.length[np.frombuffer(t + b" ", np.uint8)].sum() for t, _ in some], code.length[END]))
-        assert len(count) == len(bit) and size.sum() == len(text)
-        np.add.at(table, 2 * slots[-1].astype(np.int64) + bit, count.astype(np.float32))
-    return packed_odds(table.reshape(-1, 2))
-
-
 def packed_odds(counts: np.ndarray) -> np.ndarray:
     """Log-odds as half floats whose two lowest bits hold the level; large pairs of counts are scaled down together."""
-    if len(counts) > 1 << 17:
-        return np.concatenate([packed_odds(part) for part in np.array_split(counts, -(-len(counts) // (1 << 17)))])
     scale = np.maximum(1, counts.max(axis=1, keepdims=True) / _TOP)
     counts = np.minimum(_TOP, np.ceil(counts / scale)).astype(np.int64)
     level = _LEVEL[np.minimum(counts.sum(axis=1), 16)]
     return ((_LOG[counts[:, 1]] - _LOG[counts[:, 0]]).astype(np.float16).view(np.uint16) & np.uint16(0xFFFC)) | level
 
 
+def _mixed(weights: np.ndarray, gate: np.ndarray, x: np.ndarray) -> np.ndarray:
+    odds = np.zeros(x.shape[1], np.float32)
+    for k in range(len(x)):
+        odds += weights[:, k].take(gate) * x[k]
+    return np.clip(odds, -12, 12, out=odds)
+
+
+def _bucket(odds: np.ndarray, gate: np.ndarray) -> np.ndarray:
+    at = (np.clip(odds, -8, 8) * np.float32((BUCKETS - 1) / 16) + np.float32((BUCKETS - 1) / 2 + 0.5)).astype(np.int32)
+    return gate.astype(np.int32) * BUCKETS + at
+
+
+def _first_weights() -> np.ndarray:
+    """The exact counts are trusted at first, and the contexts, once met, a little."""
+    return np.tile(np.array([0.8, 0.2, 0.2], np.float32), (GATES, 1))
+
+
 class Learner:
-    """Counts, weights and the refining table of one task, learned online: each batch is predicted before it is counted."""
+    """Counts, weights and the refining table of one chunk, learned online: each batch is predicted before it is counted."""
 
-    def __init__(self, code: PrefixCode, words: np.ndarray):
-        self.code, self.words = code, words
-        self.tables = [np.zeros(2 << TABLE_BITS, np.int32) for _ in ORDERS]
-        self.weights = np.full((GATES, INPUTS), 0.3, np.float32)
+    def __init__(self, tree: Tree, bits: int):
+        self.tree, self.mask = tree, np.uint64((1 << bits) - 1)
+        self.tables = [np.zeros(2 << bits, np.int32) for _ in range(CONTEXTS)]
+        self.weights = _first_weights()
         self.seen = np.zeros(GATES)
         self.table = np.zeros(GATES * BUCKETS * 2)
 
-    def learn(self, texts: list[bytes]) -> None:
-        for held in _batches(texts):
-            bit, slots, _, _ = bits_of([texts[i] for i in held], self.code)
+    def learn(self, symbols: np.ndarray, starts: np.ndarray) -> None:
+        """symbols of texts, one after another, that begin at starts."""
+        context = self.tree.contexts(symbols, starts)
+        for a in range(0, len(symbols), BATCH):
+            some = symbols[a : a + BATCH]
+            of, node, bit = self.tree.bits_of(some)
+            hashed = node.astype(np.uint64) * _NODE
+            slots = [((c[a : a + BATCH][of] + hashed) & self.mask).astype(np.int64) for c in context]
+            gate = (some >= self.tree.byte).astype(np.uint8)[of] << np.uint8(4)
             x = np.empty((INPUTS, len(bit)), np.float32)
-            gate = np.zeros(len(bit), np.uint8)
-            x[-1] = _unpacked(self.words, slots[-1], gate, INPUTS - 1)
-            for k, s in enumerate(slots[:-1]):
+            x[0] = self.tree.odds[node]
+            for k, s in enumerate(slots):
                 pair = self.tables[k].view(np.int64)[s]  # both counts at once, that of 0 below
                 zero, one = pair & 0xFFFFFFFF, pair >> 32
-                gate |= _LEVEL[np.minimum(zero + one, 16)] << (2 * k)
-                x[k] = _LOG[np.minimum(one, _TOP)] - _LOG[np.minimum(zero, _TOP)]
+                gate |= _LEVEL[np.minimum(zero + one, 16)] << np.uint8(2 * k)
+                x[k + 1] = _LOG[np.minimum(one, _TOP)] - _LOG[np.minimum(zero, _TOP)]
             odds = _mixed(self.weights, gate, x)
             self.table += np.bincount(_bucket(odds, gate) * 2 + bit, minlength=len(self.table))
             wrong = bit - 1 / (1 + np.exp(-odds))
@@ -228,52 +233,19 @@ class Learner:
             self.seen += n
             for k in range(INPUTS):
                 self.weights[:, k] += RATE * np.bincount(gate, wrong * x[k], GATES) / np.maximum(256, n)
-            for k, s in enumerate(slots[:-1]):
-                np.add.at(self.tables[k], 2 * s.astype(np.int64) + bit, np.int32(1))
-
-    def rows(self, pid: int) -> Iterator[pd.DataFrame]:
-        sums = np.concatenate([(self.weights * self.seen[:, None]).ravel(), self.seen, self.table])
-        yield pd.DataFrame({"pid": [pid], "k": [-1], "piece": [0], "counts": [sums.tobytes()]})
-        for k in range(len(ORDERS)):
-            for i, piece in enumerate(np.split(self.tables[k], PIECES)):
-                yield pd.DataFrame({"pid": [pid], "k": [k], "piece": [i], "counts": [_pack(piece)]})
-
-
-def _unpacked(table: np.ndarray, slots: np.ndarray, gate: np.ndarray, k: int) -> np.ndarray:
-    """The log-odds of slots; their levels are added to the gate."""
-    both = table.take(slots)
-    gate |= (both & np.uint16(3)).astype(np.uint8) << np.uint8(2 * k)
-    return (both & np.uint16(0xFFFC)).view(np.float16)
-
-
-def _mixed(weights: np.ndarray, gate: np.ndarray, x: np.ndarray) -> np.ndarray:
-    odds = np.zeros(x.shape[1], np.float32)
-    for k in range(len(x)):
-        odds += weights[:, k].take(gate) * x[k]
-    return np.clip(odds, -12, 12, out=odds)
-
-
-def _bucket(odds: np.ndarray, gate: np.ndarray) -> np.ndarray:
-    at = (np.clip(odds, -8, 8) * np.float32((BUCKETS - 1) / 16) + np.float32((BUCKETS - 1) / 2 + 0.5)).astype(np.int32)
-    return gate.astype(np.int32) * BUCKETS + at
-
+            for k, s in enumerate(slots):
+                np.add.at(self.tables[k], 2 * s + bit, np.int32(1))
 
-def table_filler(code: PrefixCode, words):
-    """words: the last predictor's table, or what gives it in a task."""
+    def sums(self) -> np.ndarray:
+        return np.concatenate([(self.weights * self.seen[:, None]).ravel(), self.seen, self.table])
 
-    def fill(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        learner, pid = Learner(code, words() if callable(words) else words), None
-        for part in parts:
-            if len(part):
-                pid = int(part["pid"].iloc[0]) if pid is None else pid
-                learner.learn([lowered(x) for x in part["text"]])
-        if pid is not None:
-            yield from learner.rows(pid)
-
-    return fill
+    def rows(self) -> list[tuple[int, int, bytes]]:
+        """(k, piece, counts): the weights' sums (k -1) and the tables in pieces."""
+        return [(-1, 0, self.sums().tobytes()), *((k, i, _pack(piece)) for k in range(CONTEXTS) for i, piece in enumerate(np.split(self.tables[k], PIECES)))]
 
 
 def _added(rows: pd.DataFrame) -> pd.DataFrame:
+    rows = rows.sort_values("pid")
     k = int(rows["k"].iloc[0])
     if k < 0:
         total = sum(np.frombuffer(x, np.float64) for x in rows["counts"]).tobytes()
@@ -285,125 +257,143 @@ def _added(rows: pd.DataFrame) -> pd.DataFrame:
 class Model:
     """The log-odds and level of every slot, the weights of every gate and the refining table of probabilities."""
 
-    def __init__(self, code: PrefixCode, odds: list[np.ndarray], sums: np.ndarray, words: np.ndarray):
-        self.code, self.odds = code, [*odds, words]
+    def __init__(self, tree: Tree, tables: list[np.ndarray], sums: np.ndarray):
+        self.tree, self.tables, self.mask = tree, tables, np.uint64(len(tables[0]) - 1)
         w, seen, table = np.split(sums, [GATES * INPUTS, GATES * (INPUTS + 1)])
-        self.weights = np.where(seen[:, None] > 0, w.reshape(GATES, -1) / np.maximum(1, seen)[:, None], 0.3).astype(np.float32)
+        self.weights = np.where(seen[:, None] > 0, w.reshape(GATES, -1) / np.maximum(1, seen)[:, None], _first_weights()).astype(np.float32)
         middle = 1 / (1 + np.exp(-(np.arange(BUCKETS) * (16 / (BUCKETS - 1)) - 8)))
         table = table.reshape(GATES, BUCKETS, 2)
         self.refine = ((table[..., 1] + 32 * middle) / (table.sum(axis=2) + 32)).ravel().astype(np.float32)
 
-    def log10(self, texts: list[bytes], known: list[np.ndarray] | None = None) -> np.ndarray:
-        """log10 probability of each text with its end; its copy of the weights goes on learning after each segment.
-
-        known: for each text the log10 of its words' own probabilities (-inf: unknown), a second source for whole words."""
+    def log10(self, texts: list[np.ndarray]) -> np.ndarray:
+        """log10 probability of each text's symbols; its copy of the weights goes on learning after each segment."""
         total = np.zeros(len(texts))
-        for held in _batches(texts):
-            bit, slots, doc, segment = bits_of([texts[i] for i in held], self.code)
-            x = np.empty((INPUTS, len(bit)), np.float32)
-            gate = np.zeros(len(bit), np.uint8)
-            for k, s in enumerate(slots):
-                x[k] = _unpacked(self.odds[k], s, gate, k)
-            moved = np.zeros((len(held), INPUTS), np.float32)  # what each text has learned so far
-            last = int(segment.max())
-            by = np.argsort(segment, kind="stable") if last else None
-            cut = np.searchsorted(segment[by], np.arange(last + 2)) if last else [0, len(bit)]
-            logs = np.empty(len(bit), np.float32)
-            for i in range(last + 1):
-                part = by[cut[i] : cut[i + 1]] if last else slice(None)
-                xs, gs, bs, ds = x[:, part], gate[part], bit[part], doc[part]
-                odds = _mixed(self.weights, gs, xs)
-                if i:
-                    for k in range(INPUTS):
-                        odds += moved[:, k].take(ds) * xs[k]
-                p = 1 / (1 + np.exp(-odds))
-                mixed = np.float32(0.5) * (p + self.refine[_bucket(odds, gs)])
-                mixed = np.clip(np.where(bs == 1, mixed, 1 - mixed), 1e-6, 1)
-                first = np.flatnonzero(np.append(True, ds[1:] != ds[:-1]))
-                logs[part] = np.log(mixed) * np.float32(0.4342944819)
-                if i < last:
-                    wrong = bs - p
-                    n = np.sqrt(np.diff(np.append(first, len(ds))))
-                    for k in range(INPUTS):
-                        moved[ds[first], k] += DOC_RATE * np.add.reduceat(wrong * xs[k], first) / n
-            if known is None:
-                total[held] = np.bincount(doc, logs, len(held))
-            else:
-                total[held] = self._with_words([texts[j] for j in held], [known[j] for j in held], logs)
+        size = np.array([len(x) for x in texts], np.int64)
+        at = 0
+        while at < len(texts):
+            end = max(at + 1, int(np.searchsorted(np.cumsum(size[at:]), 2 * BATCH, side="right")) + at)
+            total[at:end] = self._scored(texts[at:end])
+            at = end
         return total
 
-    def _with_words(self, texts: list[bytes], known: list[np.ndarray], logs: np.ndarray) -> np.ndarray:
-        """Sums of bits' log10 by text, where each word and what follows it is the mean of its bits' and its own probability; the mean's
-        weight starts at 1/2 for a text and follows its words, WORDS at a time."""
-        joined = np.frombuffer(b"\xff".join(texts) + b"\xff", np.uint8)
-        size = np.array([len(x) + 1 for x in texts])
-        symbol = joined.astype(np.int64)
-        symbol[np.cumsum(size) - 1] = END
-        outer = (symbol == 32) | ((symbol >= 9) & (symbol <= 13)) | (symbol == END)
-        count = self.code.length[symbol]
-        begin = np.cumsum(count) - count
-        byte = np.add.reduceat(logs.astype(np.float64), begin)
-        doc = np.repeat(np.arange(len(texts)), size)
-        start = np.flatnonzero(~outer & np.append(True, outer[:-1]))
-        end = np.flatnonzero(~outer & np.append(outer[1:], True)) + 1
-        outer[end] = False  # what follows a word is taken with it
-        total = np.bincount(doc[outer], byte[outer], len(texts)).astype(np.float64)
-        if not len(start):
-            return total
-        sums = np.append(0, np.cumsum(byte))
-        bits, own = sums[end + 1] - sums[start], np.concatenate(known) + self.code.after[symbol[end]]
-        of = doc[start]
-        first = np.searchsorted(of, np.arange(len(texts)))
-        block = (np.arange(len(of)) - first[of]) // WORDS
-        weight = np.full(len(texts), 0.5)
-        by = np.argsort(block, kind="stable")
-        for part in np.split(by, np.flatnonzero(np.diff(block[by])) + 1):
-            a = np.log10(weight[of[part]]) + own[part]
-            b = np.log10(1 - weight[of[part]]) + bits[part]
-            top = np.maximum(a, b)
-            both = top + np.log10(10 ** (a - top) + 10 ** (b - top))
-            total += np.bincount(of[part], both, len(texts))
-            n = np.bincount(of[part], minlength=len(texts))
-            share = np.bincount(of[part], 10 ** (a - both), len(texts))
-            weight = np.where(n > 0, np.clip(0.5 * weight + 0.5 * share / np.maximum(1, n), 0.02, 0.98), weight)
+    def _scored(self, texts: list[np.ndarray]) -> np.ndarray:
+        size = np.array([len(x) for x in texts], np.int64)
+        symbols = np.concatenate(texts)
+        starts = (np.cumsum(size) - size)[size > 0]
+        context = self.tree.contexts(symbols, starts)
+        doc = np.repeat(np.arange(len(texts), dtype=np.int32), size)
+        segment = (np.arange(len(symbols)) - np.repeat(np.cumsum(size) - size, size)) // SEGMENT
+        by = np.argsort(segment, kind="stable")
+        cut = np.searchsorted(segment[by], np.arange(int(segment.max(initial=0)) + 2))
+        moved = np.zeros((len(texts), INPUTS), np.float32)  # what each text has learned so far
+        total = np.zeros(len(texts))
+        for i in range(len(cut) - 1):
+            part = by[cut[i] : cut[i + 1]]
+            some = symbols[part]
+            of, node, bit = self.tree.bits_of(some)
+            if not len(of):
+                continue
+            hashed = node.astype(np.uint64) * _NODE
+            gate = (some >= self.tree.byte).astype(np.uint8)[of] << np.uint8(4)
+            x = np.empty((INPUTS, len(of)), np.float32)
+            x[0] = self.tree.odds[node]
+            for k, c in enumerate(context):
+                both = self.tables[k].take(((c[part][of] + hashed) & self.mask).astype(np.int64))
+                gate |= (both & np.uint16(3)).astype(np.uint8) << np.uint8(2 * k)
+                x[k + 1] = (both & np.uint16(0xFFFC)).view(np.float16)
+            ds = doc[part][of]
+            odds = _mixed(self.weights, gate, x)
+            if i:
+                for k in range(INPUTS):
+                    odds += moved[:, k].take(ds) * x[k]
+            p = 1 / (1 + np.exp(-odds))
+            mixed = np.float32(0.5) * (p + self.refine[_bucket(odds, gate)])
+            mixed = np.clip(np.where(bit == 1, mixed, 1 - mixed), 1e-6, 1)
+            total += np.bincount(ds, np.log10(mixed), len(texts))
+            if i < len(cut) - 2:
+                wrong = bit - p
+                first = np.flatnonzero(np.append(True, ds[1:] != ds[:-1]))
+                n = np.sqrt(np.diff(np.append(first, len(ds))))
+                for k in range(INPUTS):
+                    moved[ds[first], k] += DOC_RATE * np.add.reduceat(wrong * x[k], first) / n
         return total
 
 
-def trained(train: DataFrame, code: PrefixCode, words: np.ndarray) -> Model:
-    """The model of all training rows: tasks' tables are added up in rounds, their weights averaged by the bits seen."""
-    schema = "pid long, k int, piece int, counts binary"
-    handed = train.sparkSession.sparkContext.broadcast(words)
-    rows = written(train.withColumn("pid", F.spark_partition_id().cast("long")).mapInPandas(table_filler(code, lambda: handed.value), schema), "count-tables")
-    most = rows.agg(F.max("pid").alias("n")).first()["n"] or 0
+def trained(rows: DataFrame, tree: Tree, bits: int, chunks: int) -> Model:
+    """The model of all chunks' tables (pid, k, piece, counts), which are added up in rounds."""
     while True:
-        rows = written(rows.groupBy("k", "piece", F.floor(F.col("pid") / FAN_IN).alias("next")).applyInPandas(lambda x: _added(x), schema), "count-tables")
-        most //= FAN_IN
-        if not most:
+        rows = written(rows.groupBy("k", "piece", F.floor(F.col("pid") / FAN_IN).alias("next")).applyInPandas(_added, "pid long, k int, piece int, counts binary"), "count-tables")
+        chunks = -(-chunks // FAN_IN)
+        if chunks <= 1:
             break
-    odds = [np.zeros((PIECES, (1 << TABLE_BITS) // PIECES), np.uint16) for _ in ORDERS]
+    tables = [np.zeros((PIECES, (1 << bits) // PIECES), np.uint16) for _ in range(CONTEXTS)]
+    none = packed_odds(np.zeros((1, 2)))
+    for t in tables:
+        t[:] = none
     sums = np.zeros(GATES * (INPUTS + 1 + 2 * BUCKETS))
-    for r in rows.toLocalIterator():  # of a fixed number and size
+    for r in rows.toLocalIterator():  # of a number and size that follow from the bits
         if r["k"] < 0:
             sums = np.frombuffer(r["counts"], np.float64)
         else:
-            odds[r["k"]][r["piece"]] = packed_odds(_unpack(r["counts"]).reshape(-1, 2))
-    return Model(code, [t.ravel() for t in odds], sums, words)
-
-
-def frequent(vocabulary: DataFrame) -> list[tuple[bytes, int]]:
-    """The most frequent tokens and their counts, at most MOST_WORDS: all above a count that a histogram of 1/8 octaves gives."""
-    octave = F.floor(F.log2("n") * 8).cast("int")
-    steps = vocabulary.where("n > 1").groupBy(octave.alias("o")).agg(F.count(F.lit(1)).alias("v")).collect()
-    total, least = 0, None
-    for r in sorted(steps, key=lambda r: -r["o"]):
-        total += r["v"]
-        if total > MOST_WORDS:
-            break
-        least = r["o"]
-    if least is None:
-        return []
-    found = vocabulary.where((F.col("n") > 1) & (octave >= least)).where(F.length("token") > 0).toPandas()
-    return sorted(zip((bytes(t) for t in found["token"]), (int(n) for n in found["n"]), strict=True))
+            tables[r["k"]][r["piece"]] = packed_odds(_unpack(r["counts"]).reshape(-1, 2))
+    return Model(tree, [t.ravel() for t in tables], sums)
+
+
+def placed(vocabulary: DataFrame, n_all: int, depth: int) -> DataFrame:
+    """(token, n, cell): every token's place among the cells. There are at most sqrt(2 N) different counts."""
+    steps = vocabulary.groupBy("n").agg((F.count(F.lit(1)) * F.col("n")).alias("mass"))
+    before = F.coalesce(F.sum("mass").over(Window.orderBy(F.col("n").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    steps = written(steps.select("n", "mass", before.alias("before")), "count-steps")
+    share = F.shiftrightunsigned(F.xxhash64("token"), 11) * F.lit(2.0**-53)
+    cell = F.floor((F.col("before") + share * F.col("mass")) / n_all * (1 << depth))
+    return vocabulary.join(small_side(steps), "n").select("token", "n", F.least(cell, F.lit((1 << depth) - 1)).cast("int").alias("cell"))
+
+
+def _coder(tree: Tree, bits: int, masses: np.ndarray, n_all: int, distinct: int):
+    """Codes a chunk's rows and learns its training rows."""
+    unit = math.log10(n_all + distinct + 1)
+
+    def coded(rows: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["place", "doc_id"], kind="stable", na_position="first", ignore_index=True)
+        row = dict(zip(known["token"], range(len(known)), strict=True))
+        n, cell = np.append(known["n"].to_numpy(np.int64), 0), np.append(known["cell"].to_numpy(np.int32), 0)
+        with np.errstate(divide="ignore"):
+            inside = np.log10(n) - np.log10(masses[cell])
+        base = np.log10(n + 1) - unit
+        train, learner, out = rows["train"].to_numpy(bool), Learner(tree, bits), []
+        size = rows["text"].map(lambda x: len(x or "")).to_numpy().cumsum()
+        at = 0
+        while at < len(rows):
+            end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + CODED, side="right")))
+            per, words = [], []
+            for text in rows["text"].iloc[at:end]:
+                found = lowered(text).split()
+                per.append(len(found) + 1)
+                words += found
+                words.append(END_TOKEN)
+            of = np.fromiter((row.get(w, -1) for w in words), np.int64, len(words))
+            per = np.array(per)
+            doc = np.repeat(np.arange(end - at), per)
+            symbols, first = symbols_of(words, cell[of], of >= 0, tree)
+            begins = first[np.cumsum(per) - per]
+            within = np.bincount(doc[of >= 0], inside[of[of >= 0]], end - at)
+            summed = np.bincount(doc, base[of], end - at)
+            hit = np.bincount(doc, of >= 0, end - at).astype(np.int64)
+            for i, s in enumerate(np.split(symbols, begins[1:])):
+                out.append((rows["doc_id"].iloc[at + i], not train[at + i], int(per[i]), int(hit[i]), summed[i], within[i], size[at + i] - (size[at + i - 1] if at + i else 0), s, 0, -2, 0, b""))
+            use = train[at:end]
+            if use.any():
+                keep = np.flatnonzero(use[doc])
+                symbols, first = symbols_of([words[i] for i in keep], cell[of[keep]], n[of[keep]] > 1, tree)
+                learner.learn(symbols, first[np.cumsum(per[use]) - per[use]])
+            at = end
+        if train.any():
+            pid = int(rows["chunk"].iloc[0])
+            release()
+            out += [(None, False, 0, 0, 0.0, 0.0, 0, np.empty(0, np.int32), pid, *r) for r in learner.rows()]
+        return pd.DataFrame(out, columns=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "within", "n_bytes", "symbols", "pid", "k", "piece", "counts"])
+
+    return coded
 
 
 def score_documents(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -411,18 +401,24 @@ def score_documents(docs: DataFrame, training: Column, id_col: str = "doc_id", t
     spark = docs.sparkSession
     small_batches(spark)
     base = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.coalesce(training, F.lit(False)).alias("train"))
-    train = base.where("train").select("text")
-    counts = written(train.mapInPandas(counted, "kind int, token binary, n long").groupBy("kind", "token").agg(F.sum("n").alias("n")), "token-counts")
-    letters = {int.from_bytes(r["token"], "big"): r["n"] for r in counts.where("kind = 1").collect()}  # 257 rows at most
+    kind = dict(base.dtypes)["doc_id"]
+    base = base.withColumn("doc_id", F.col("doc_id").cast("string"))
+    counts = written(base.where("train").select("text").mapInPandas(releasing(counted), "kind int, token binary, n long").groupBy("kind", "token").agg(F.sum("n").alias("n")), "token-counts")
+    letters = {int.from_bytes(r["token"], "big"): r["n"] for r in counts.where("kind = 1").collect()}  # 256 rows at most
     vocabulary = counts.where("kind = 0").select("token", "n")
-    whole = vocabulary.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
+    whole = vocabulary.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v"), F.count_if(F.col("n") == 1).alias("singles")).first()
     n_all, distinct = whole["n"] or 0, whole["v"]
-    code = PrefixCode(letters)
-    handed = spark.sparkContext.broadcast(trained(train, code, word_odds(frequent(vocabulary), code)))
+    depth = depth_of(n_all)
+    bits = min(MOST_BITS, depth + MORE_BITS)
+    vocabulary = written(placed(vocabulary, max(1, n_all), depth), "vocabulary")
+    cells = {r["cell"]: r["n"] for r in vocabulary.groupBy("cell").agg(F.sum("n").alias("n")).collect()}  # 2**depth at most
+    tree = Tree(depth, cells, whole["singles"], letters)
+    masses = np.ones(1 << depth)
+    masses[list(cells)] = list(cells.values())
     size = base.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    chunks = max(partitions(spark), int(size // CHUNK) + 1)
-    # The row's place takes part in the hash, so that copies are dealt evenly.
-    dealt = base.select("doc_id", "text", "train", F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(chunks)).cast("int").alias("chunk"))
+    chunks = int(size // CHUNK) + 1
+    place = F.xxhash64("doc_id", "text")
+    dealt = base.select("doc_id", "text", "train", place.alias("place"), F.pmod(place, F.lit(chunks)).cast("int").alias("chunk"))
 
     def tokens(rows: pd.DataFrame) -> pd.DataFrame:
         found = {END_TOKEN}
@@ -431,27 +427,20 @@ def score_documents(docs: DataFrame, training: Column, id_col: str = "doc_id", t
         return pd.DataFrame({"chunk": np.full(len(found), rows["chunk"].iloc[0], np.int32), "token": list(found)})
 
     asked = dealt.groupBy("chunk").applyInPandas(tokens, "chunk int, token binary")
-    answered = asked.join(vocabulary, "token").select("chunk", "token", "n")
-
-    def scored(rows: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        count = dict(zip(known["token"], known["n"], strict=True))
-        logs = {t: math.log10(c + 1) for t, c in count.items()}
-        texts = [lowered(x) for x in rows["text"]]
-        once = list(dict.fromkeys(texts))
-        unit = math.log10(n_all + distinct + 1)
-        own = [np.array([logs.get(w, -math.inf) for w in raw.split()]) - unit for raw in once]
-        ends = logs.get(END_TOKEN, -math.inf) - unit
-        values = {}
-        for raw, words, s in zip(once, own, handed.value.log10(once, own), strict=True):
-            seen = np.append(words, ends)
-            none = np.isinf(seen)
-            values[raw] = (len(seen), int((~none).sum()), math.fsum(seen[~none]) - int(none.sum()) * unit, s, -s / math.log10(2) / (len(raw) + 1))
-        out = pd.DataFrame([values[x] for x in texts], columns=["n_tokens", "n_known", "base_score", "score", "bits_per_byte"])
-        out.insert(0, "held_out", ~rows["train"].to_numpy(bool))
-        out.insert(0, "doc_id", rows["doc_id"].to_numpy())
-        out["train_tokens"] = n_all
-        return out
+    answered = asked.join(vocabulary, "token").select("chunk", "token", "n", "cell")
+    schema = "doc_id string, held_out boolean, n_tokens long, n_known long, base_score double, within double, n_bytes long, symbols array<int>, pid long, k int, piece int, counts binary"
+    coder = _coder(tree, bits, masses, n_all, distinct)
+    coded = written(dealt.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInPandas(coder, schema), "coded")
+    handed = spark.sparkContext.broadcast(trained(coded.where("k > -2").select("pid", "k", "piece", "counts"), tree, bits, chunks))
 
-    kind = dict(base.dtypes)["doc_id"]
-    out = dealt.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInPandas(scored, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, bits_per_byte double, train_tokens long")
-    return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+    def scored(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            if not len(part):
+                continue
+            part["score"] = handed.value.log10(list(part["symbols"])) + part["within"]
+            part["bits_per_byte"] = -part["score"] / math.log10(2) / (part["n_bytes"] + 1)
+            yield part.drop(columns=["symbols", "within", "n_bytes"])
+
+    rows = coded.where("k = -2").select("doc_id", "held_out", "n_tokens", "n_known", "base_score", "within", "n_bytes", "symbols")
+    out = rows.mapInPandas(releasing(scored), "doc_id string, held_out boolean, n_tokens long, n_known long, base_score double, score double, bits_per_byte double")
+    return out.select(F.col("doc_id").cast(kind).alias("doc_id"), "held_out", "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"), "base_score", "score", "bits_per_byte")

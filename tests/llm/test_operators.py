@@ -370,15 +370,66 @@ def test_mixing(spark, odd, rows, empty):
     assert all(r.n_known == 0 for r in mixing.score_documents(odd, F.lit(False)).collect())
 
 
+def small_model(texts, depth=3, bits=12):
+    """A tree over four tokens, and the model that a learner makes of texts."""
+    cells = {b"ab": 0, b"ba": 2, mixing.END_TOKEN: 5, b"c": 6}
+    tree = mixing.Tree(depth, {0: 9, 2: 4, 5: 3, 6: 2}, 2, {97: 50, 98: 30, 32: 40})
+    coded = lambda words: mixing.symbols_of([*words, b""], np.array([cells.get(w, 0) for w in [*words, b""]], np.int32), np.array([w in cells for w in [*words, b""]]), tree)[0]
+    learner = mixing.Learner(tree, bits)
+    found = [coded(t.split()) for t in texts]
+    learner.learn(np.concatenate(found), np.cumsum([0, *map(len, found[:-1])]))
+    model = mixing.Model(tree, [mixing.packed_odds(t.reshape(-1, 2)) for t in learner.tables], learner.sums())
+    return tree, coded, learner, model
+
+
 def test_bit_probabilities_sum_to_one():
-    code = mixing.PrefixCode({97: 50, 98: 30, 32: 40, mixing.END: 5})
-    assert abs(sum(2.0**-n for n in code.length) - 1) < 1e-9
-    learner = mixing.Learner(code, mixing.word_odds([(b"ab", 9), (b"ba", 4)], code))
-    learner.learn([b"ab ba ab", b"ab"] * 20)
-    model = mixing.Model(code, [mixing.packed_odds(t.reshape(-1, 2)) for t in learner.tables], np.concatenate([(learner.weights * learner.seen[:, None]).ravel(), learner.seen, learner.table]), learner.words)
-    whole = sum(10 ** model.log10([bytes([a])])[0] for a in range(255)) + 10 ** model.log10([b""])[0]
-    assert 0 < whole <= 1.0001  # texts of at most one byte
-    assert model.log10([b"ab ba"])[0] > model.log10([b"zq xv"])[0]
+    tree, coded, _, model = small_model([b"ab ba ab", b"ab", b"zz c"] * 20)
+    known = sum(10 ** model.log10([coded([w])[:1]])[0] for w in (b"ab", b"ba", b"c", b""))
+    unknown = 10 ** model.log10([np.array([tree.unknown], np.int32)])[0]
+    assert abs(known + unknown - 1) < 1e-4
+    one = np.array([[tree.unknown, tree.byte + b] for b in range(256)], np.int32)
+    assert abs(sum(10 ** model.log10(list(one))) - unknown) < 1e-4
+    assert model.log10([coded([b"ab", b"ba"])])[0] > model.log10([coded([b"zq", b"xv"])])[0]
+
+
+def test_mixing_against_plain_python():
+    import math
+
+    tree, coded, learner, model = small_model([b"ab ba ab", b"ab", b"zz c ab", b"ba ba"] * 30)
+    texts = [coded(x.split()) for x in (b"ab ab", b"", b"zz yx ab", b"c c ba")]
+    for text, got in zip(texts, model.log10(texts), strict=True):
+        context = tree.contexts(text, np.array([0]))
+        total = 0.0
+        for i, s in enumerate(text):
+            for j in range(tree.first[s], tree.first[s] + tree.length[s]):
+                node, bit = int(tree.node[j]), int(tree.bit[j])
+                x, gate = [float(tree.odds[node])], 16 * (s >= tree.byte)
+                for k in range(mixing.CONTEXTS):
+                    slot = (int(context[k][i]) + node * 0x9E3779B1) % 2**12
+                    zero, one = learner.tables[k][2 * slot : 2 * slot + 2]
+                    x.append(math.log((one + mixing.PRIOR) / (zero + mixing.PRIOR)))
+                    gate += 4**k * sum(zero + one > limit for limit in (0, 2, 15))
+                odds = sum(float(w) * v for w, v in zip(model.weights[gate], x, strict=True))
+                p = 1 / (1 + math.exp(-odds))
+                at = int((min(8, max(-8, odds)) + 8) / 16 * (mixing.BUCKETS - 1) + 0.5)
+                p = (p + float(model.refine[gate * mixing.BUCKETS + at])) / 2
+                total += math.log10(p if bit else 1 - p)
+        assert abs(total - got) < 0.02 * max(1, abs(total))
+
+
+def test_scores_do_not_follow_partitions(spark, odd):
+    from shotframe.llm.common import doc_fold
+
+    train = doc_fold(F.col("doc_id"), 7) != 2
+    few = mixing.score_documents(odd.coalesce(1), train).orderBy("doc_id", "score").collect()
+    assert few == mixing.score_documents(odd.repartition(7, "text"), train).orderBy("doc_id", "score").collect()
+
+
+def test_context_beats_counts():
+    """Words in a fixed order are foretold by their contexts, which the counts alone don't know."""
+    tree, coded, _, model = small_model([b"ab ba c ab ba c"] * 200)
+    bits = model.log10([coded([b"ab", b"ba", b"c"] * 20)])[0]
+    assert bits > 3 * 20 * -0.2
 
 
 # 10
