@@ -25,8 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, small_side, written
-from .words import WordHashes, mix, words_of
+from .common import releasing, small_batches, small_side, written
+from .words import WordHashes, mix
 
 # The masks.
 MASKS = ("1111011", "110010111", "1101100101", "11010001101")
@@ -67,7 +67,7 @@ def item_seeds(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def seeded(texts: pd.Series) -> pd.DataFrame:
         hashes, out = WordHashes(), []
         for text in texts:
-            h = hashes(words_of(text))
+            h = hashes([text])[0]
             found = []
             for salt, shape in shapes([len(h)] if MIN_ITEM <= len(h) < _SPAN else []) if len(h) >= MIN_ITEM else []:
                 if len(h) < _SPAN and salt <= len(MASKS):
@@ -80,6 +80,12 @@ def item_seeds(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return items.select(F.col(f"`{id_col}`").alias("item_id"), made(F.col(f"`{text_col}`").cast("string")).alias("z")).select("item_id", "z.words", "z.seeds").where(F.size("seeds") > 0)
 
 
+def _word_hashes(texts: pd.Series, hashes: WordHashes) -> Iterator[np.ndarray]:
+    for at in range(0, len(texts), 128):
+        h, size = hashes(list(texts.iloc[at : at + 128]))
+        yield from np.split(h, np.cumsum(size)[:-1])
+
+
 def _scanner(known: np.ndarray, short: list[int]):
     """Segments of words around the hits of the sorted seed hashes ``known``."""
     bits = np.zeros(1 << 23, bool)
@@ -89,8 +95,7 @@ def _scanner(known: np.ndarray, short: list[int]):
         hashes = WordHashes()
         for part in parts:
             out = []
-            for doc_id, digest, text in zip(part["doc_id"], part["digest"], part["text"], strict=True):
-                h = hashes(words_of(text))
+            for doc_id, digest, h in zip(part["doc_id"], part["digest"], _word_hashes(part["text"], hashes), strict=True):
                 at, which = [], []
                 for salt, shape in shapes(short):
                     s = _seeds(h, shape, salt)
@@ -155,7 +160,7 @@ def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col
         if not len(hashes):
             continue
         scan = _scanner(np.sort(hashes.view(np.uint64)), short)
-        segments = written(base.mapInPandas(scan, f"doc_id {kind}, digest binary, start long, words array<long>, hits array<struct<h: long, p: int>>"), "segments")
+        segments = written(base.mapInPandas(releasing(scan), f"doc_id {kind}, digest binary, start long, words array<long>, hits array<struct<h: long, p: int>>"), "segments")
         once = segments.select("digest", "start", "words", "hits").dropDuplicates(["digest", "start"])
         seeds = block.select("item_id", F.explode("seeds").alias("s")).select("item_id", F.col("s.h").alias("h"), F.col("s.q").alias("q"))
         hits = once.select("digest", "start", F.explode("hits").alias("x")).select("digest", "start", F.col("x.h").alias("h"), F.col("x.p").alias("p"))

@@ -30,8 +30,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, small_side, written
-from .words import SHINGLE, WordHashes, mix, shingle_hashes, words_of
+from .common import releasing, small_batches, small_side, written
+from .words import SHINGLE, WordHashes, batch_shingles, mix, shingle_hashes
 
 COORDINATES, BAND_ROWS, SIMILARITY = 128, 4, 0.8
 BLOCK = 1024
@@ -40,7 +40,7 @@ ESTIMATE_SLACK = 0.15
 #: Estimated links that each member of a block may propose in the first round, and the factor of each further round.
 MOST, MORE = 4, 16
 GROUP = ["key", "x", "y"]
-_BASE = 1 / 16  # height of the lowest rank stratum; each next one doubles the height reached
+_BASE = 1 / 1  # height of the lowest rank stratum; each next one doubles the height reached
 
 
 def _poisson_cdf(mean: float) -> np.ndarray:
@@ -104,8 +104,12 @@ def _throw(e: np.ndarray, w: np.ndarray, doc: np.ndarray, low: float, high: floa
 
 def weighted_shingles(text: str | None, hashes: WordHashes, weight: str = "set") -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingles and their weights: 1 (set), the count, or 1 + log of the count."""
-    found, n = np.unique(shingle_hashes(hashes(words_of(text)), SHINGLE), return_counts=True)
-    return found, np.ones(len(found)) if weight == "set" else n.astype(float) if weight == "count" else 1 + np.log(n)
+    found, n = np.unique(shingle_hashes(hashes([text])[0], SHINGLE), return_counts=True)
+    return found, weights_of(n, weight)
+
+
+def weights_of(count: np.ndarray, weight: str) -> np.ndarray:
+    return np.ones(len(count)) if weight == "set" else count.astype(float) if weight == "count" else 1 + np.log(count)
 
 
 def _sketcher(weight: str, k: int, rows: int):
@@ -114,20 +118,21 @@ def _sketcher(weight: str, k: int, rows: int):
         for texts in parts:
             bands, sigs = [], []
             for at in range(0, len(texts), 256):
-                found = [weighted_shingles(t, hashes, weight) for t in texts.iloc[at : at + 256]]
-                n = len(found)
-                doc = np.repeat(np.arange(n), [len(x) for x, _ in found])
-                sig = dart_signatures(np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found]), doc, n, k)
+                some = list(texts.iloc[at : at + 256])
+                doc, found, count = batch_shingles(some, hashes)
+                n = len(some)
+                sig = dart_signatures(found, weights_of(count, weight), doc, n, k)
                 # One 64-bit key for each band, which holds the band's number.
                 keys = np.tile(np.arange(k // rows, dtype=np.uint64) + np.uint64(1), (n, 1))
                 for i in range(rows):
                     keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) ^ sig[:, i::rows].astype(np.uint64))
-                for i, (x, _) in enumerate(found):
-                    bands.append(keys[i].view(np.int64) if len(x) else None)
-                    sigs.append(sig[i].astype(np.uint16).tobytes() if len(x) else None)
+                low = sig.astype(np.uint16)
+                for i, m in enumerate(np.bincount(doc, minlength=n)):
+                    bands.append(keys[i].view(np.int64) if m else None)
+                    sigs.append(low[i].tobytes() if m else None)
             yield pd.DataFrame({"bands": bands, "sig": sigs})
 
-    return F.pandas_udf(sketches, "bands array<long>, sig binary")
+    return F.pandas_udf(releasing(sketches), "bands array<long>, sig binary")
 
 
 def _shingle_set(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -144,7 +149,7 @@ def text_node(text) -> object:
 def verified(edges: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """The edges (a, b) whose shingle sets have that similarity; texts: (node, text), of which only the edges' are read."""
     needed = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = written(texts.join(small_side(needed), "node", "left_semi").select("node", F.pandas_udf(_shingle_set, "array<long>")("text").alias("s")).dropDuplicates(["node"]), "shingle-sets")
+    sets = written(texts.join(small_side(needed), "node", "left_semi").select("node", F.pandas_udf(releasing(_shingle_set), "array<long>")("text").alias("s")).dropDuplicates(["node"]), "shingle-sets")
     left, right = sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), sets.select(F.col("node").alias("b"), F.col("s").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
     return edges.select("a", "b").join(left, "a").join(right, "b").where(both >= similarity * (F.size("sa") + F.size("sb") - both)).select("a", "b")
@@ -176,6 +181,20 @@ def _cross_pairs(part: np.ndarray, side: np.ndarray, end: np.ndarray) -> Iterato
         yield left[use], right[use]
 
 
+def bit_planes(sig: np.ndarray) -> np.ndarray:
+    """(n, 16, words) of signatures (n, k) uint16: for each of the 16 bits, that bit of all coordinates as 64-bit words."""
+    n, k = sig.shape
+    wide = np.zeros((n, 16, -(-k // 64) * 64), np.uint8)
+    for b in range(16):
+        wide[:, b, :k] = (sig >> np.uint16(b)) & np.uint16(1)
+    return np.ascontiguousarray(np.packbits(wide, axis=2)).view(np.uint64)
+
+
+def agreeing(a: np.ndarray, b: np.ndarray, k: int) -> np.ndarray:
+    """Coordinates in which planes agree; of some of the 16 planes, an upper bound."""
+    return k - np.bitwise_count(np.bitwise_or.reduce(a ^ b, axis=1)).sum(axis=1, dtype=np.int64)
+
+
 def _strongest(similarity: float, most: int):
     """Of the pairs of blocks of buckets, in order of GROUP: the estimated links across components that are among the ``most`` strongest
     of either end; ``cut`` says that their pair of blocks has more."""
@@ -186,9 +205,14 @@ def _strongest(similarity: float, most: int):
         sizes = np.diff(np.append(starts, len(rows)))
         side = np.where(rows["x"] == rows["y"], -1, rows["mine"])
         left, right, alike = [], [], []
+        k, planes = sig.shape[1], bit_planes(sig)
+        head = np.ascontiguousarray(planes[:, :4])
+        least = (similarity - ESTIMATE_SLACK) * k
         for i, j in _cross_pairs(part, side, np.repeat(starts + sizes, sizes)):
-            n = (sig[i] == sig[j]).sum(axis=1)
-            use = n >= (similarity - ESTIMATE_SLACK) * sig.shape[1]
+            near = agreeing(head[i], head[j], k) >= least  # a bound, so that most pairs need no more
+            i, j = i[near], j[near]
+            n = agreeing(planes[i], planes[j], k)
+            use = n >= least
             left.append(i[use])
             right.append(j[use])
             alike.append(n[use])
@@ -256,7 +280,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         rows_ = held.select("key", "node", "label", "mine", F.explode(met).alias("other")).withColumns({"x": F.least("mine", "other"), "y": F.greatest("mine", "other")})
         rows_ = rows_.drop("other").join(nodes.select("node", "sig"), "node")
         rows_ = rows_.repartition(*GROUP).sortWithinPartitions(*GROUP)
-        found = written(rows_.mapInPandas(_strongest(similarity, most), "key long, a binary, b binary, cut boolean"), "candidates")
+        found = written(rows_.mapInPandas(releasing(_strongest(similarity, most)), "key long, a binary, b binary, cut boolean"), "candidates")
         more = written(found.select(*ordered).distinct().join(tried, ["a", "b"], "left_anti"), "edges")
         if not more.isEmpty():
             tried = tried.union(more)

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import releasing, small_batches
 from .words import mix
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -308,7 +308,7 @@ def _coder(model: bytes):
             yield pd.DataFrame({"ids": ids, "round_trip": back})
         pieces._forget()  # the worker may wait for other stages' tasks; the pairs' table stays
 
-    return F.pandas_udf(coded, "ids array<int>, round_trip boolean")
+    return F.pandas_udf(releasing(coded), "ids array<int>, round_trip boolean")
 
 
 def encoded(text: Column, path: str = MODEL) -> Column:

@@ -1,7 +1,7 @@
 """Quality rules by compression bands: zstandard ratios of whole documents and of fixed chunks.
 
 A document is rejected as repetitive or incompressible if its ratio (compressed / raw bytes) leaves the band of its
-length, or if more than CHUNK_SHARE of its full chunks leave the band of a chunk. The base rules come first (too few
+length, or if more than CHUNK_SHARE of its chunks of CHUNK bytes leave the band of a chunk (the last one ends with the text). The base rules come first (too few
 words, or too many words inside repeated 8-word windows).
 
 Defined results: a null text has no words and fails the base rules, as does an empty one; texts below the shortest band
@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import releasing, small_batches
 
 MIN_WORDS, WINDOW, REPEAT_PERCENT = 20, 8, 30
 LEVEL, CHUNK, CHUNK_SHARE = 3, 4096, 0.34
@@ -73,11 +73,12 @@ def judge(text: str | None, compressor: zstandard.ZstdCompressor, bands=BANDS, c
     failed = n < MIN_WORDS or 100 * repeated > REPEAT_PERCENT * n
     ratio = len(compressor.compress(raw)) / len(raw) if raw else 0.0
     band = band_of(len(raw), bands)
-    full = len(raw) // CHUNK
+    # The chunks begin at multiples of CHUNK; the last one ends with the text, so that no byte is left out.
+    full = -(-len(raw) // CHUNK) if len(raw) >= CHUNK else 0
     bad = 0
     for i in range(full):
-        part = raw[i * CHUNK : (i + 1) * CHUNK]
-        bad += not chunk_band[0] <= len(compressor.compress(part)) / CHUNK <= chunk_band[1]
+        at = min(i * CHUNK, len(raw) - CHUNK)
+        bad += not chunk_band[0] <= len(compressor.compress(raw[at : at + CHUNK])) / CHUNK <= chunk_band[1]
     reason = "base" if failed else None
     if not failed and band and ratio < band[0]:
         reason = "repetitive"
@@ -98,7 +99,7 @@ def _judged(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 def compression_bands(text: Column) -> Column:
     """The verdict on a text as a struct of SCHEMA."""
     small_batches()
-    return F.pandas_udf(_judged, SCHEMA)(text.cast("string"))
+    return F.pandas_udf(releasing(_judged), SCHEMA)(text.cast("string"))
 
 
 def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, small_batches, written
+from .common import partitions, releasing, small_batches, written
 from .words import mix
 
 LENGTH, GRAM = 100, 20
@@ -288,7 +288,7 @@ def removable(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     spark = docs.sparkSession
     small_batches(spark)
     keyed = _keyed(docs, id_col, text_col).select(F.col("__id").alias("id"), F.col("__digest").alias("digest"), F.col("__text").cast("binary").alias("raw"))
-    rows = keyed.mapInPandas(_cut, "kind byte, h long, d long, id long, digest long, p0 long, n int, lead int")
+    rows = keyed.mapInPandas(releasing(_cut), "kind byte, h long, d long, id long, digest long, p0 long, n int, lead int")
     # Content that has come earlier goes; anchors with several contents are to be sorted.
     placed = Window.partitionBy("kind", "h", "d").orderBy("id", "digest", "p0")
     whole = Window.partitionBy("kind", "h")
@@ -297,7 +297,7 @@ def removable(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     wanted = seen.where("open").groupBy("id", "digest").agg(F.collect_set(F.struct("h", "p0", "n", "lead")).alias("wanted"))
     total = seen.where("open").agg(F.sum(F.col("n") + LENGTH - 1).alias("n")).first()["n"] or 0
     buckets = max(partitions(spark), int(total // BUCKET) + 1)
-    taken = keyed.join(wanted.hint("shuffle_hash"), ["id", "digest"]).mapInPandas(_taken_out, "h long, id long, digest long, p0 long, n int, lead int, raw binary")
+    taken = keyed.join(wanted.hint("shuffle_hash"), ["id", "digest"]).mapInPandas(releasing(_taken_out), "h long, id long, digest long, p0 long, n int, lead int, raw binary")
     runs = taken.withColumn("bucket", F.pmod(F.xxhash64("h"), F.lit(buckets))).groupBy("bucket").applyInPandas(_sorted_bucket, "id long, digest long, p0 long, n int")
     every = runs.unionByName(seen.where("NOT open").select("id", "digest", "p0", "n"))
     return every.groupBy("id", "digest").agg(F.collect_set(F.struct("p0", "n")).alias("runs"))
