@@ -42,9 +42,9 @@ from .common import release, releasing, small_batches, small_side, written
 
 PRIOR, RATE, DOC_RATE, SEGMENT, BUCKETS = 0.4, 0.5, 0.02, 256, 33
 #: Bytes of text in a chunk, of texts coded at once, symbols of one numpy batch, and tables that one task adds up.
-CHUNK, CODED, BATCH, FAN_IN = 12 << 20, 1 << 20, 4096, 32
+CHUNK, CODED, BATCH, FAN_IN = 18 << 20, 1 << 20, 4096, 32
 #: Bits of a table of contexts beyond the tree's depth, and at most.
-MORE_BITS, MOST_BITS = 9, 24
+MORE_BITS, MOST_BITS = 8, 24
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 END_TOKEN = b""  # no word is empty
 #: Bytes of a spelled word that its next byte's contexts take.

@@ -8,10 +8,8 @@ probability of their weighted Jaccard similarity, at a cost of about n + k log k
 Plan: texts that are equal become one node (grouped by digest). Nodes meet in buckets, one for each band of the
 signature. In each bucket the most central member (that with the most bucket mates, summed over its buckets) is linked
 with each of the others, exactly verified on the shingle sets, and the links' components are found. Buckets that then
-still hold several components are compared in blocks by their signatures inside tasks, and the strongest links of each
-member across components are verified as well. A block that has more such links is compared again, with more of them and
-the components found by then, until every link above the estimate's floor is verified or lies within a component; pairs
-once rejected stay rejected and hide no others. A bucket of over BLOCK members is cut into blocks of about half as many, and
+still hold several components are compared in blocks: of the pairs across components that the signatures estimate high enough, a task
+verifies each on the shingle sets, unless links that it has found join the two already, and only such links leave it. A bucket of over BLOCK members is cut into blocks of about half as many, and
 every two blocks (and each by itself) are compared in one task, so that all its members meet; only the members of its
 largest component need not meet one another. Nothing but counts reaches the driver.
 
@@ -37,8 +35,8 @@ COORDINATES, BAND_ROWS, SIMILARITY = 128, 4, 0.8
 BLOCK = 1024
 #: Signatures of 128 coordinates estimate 0.8 with a standard deviation of 0.035; four of them are allowed for.
 ESTIMATE_SLACK = 0.15
-#: Estimated links that each member of a block may propose in the first round, and the factor of each further round.
-MOST, MORE = 4, 16
+#: Shingles that are compared with one set at once.
+COMPARED = 1 << 18
 GROUP = ["key", "x", "y"]
 _BASE = 1 / 1  # height of the lowest rank stratum; each next one doubles the height reached
 
@@ -146,10 +144,8 @@ def text_node(text) -> object:
     return F.unhex(F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary")))
 
 
-def verified(edges: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The edges (a, b) whose shingle sets have that similarity; texts: (node, text), of which only the edges' are read."""
-    needed = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = written(texts.join(small_side(needed), "node", "left_semi").select("node", F.pandas_udf(releasing(_shingle_set), "array<long>")("text").alias("s")).dropDuplicates(["node"]), "shingle-sets")
+def verified(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The edges (a, b) whose shingle sets (node, s) have that similarity."""
     left, right = sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), sets.select(F.col("node").alias("b"), F.col("s").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
     return edges.select("a", "b").join(left, "a").join(right, "b").where(both >= similarity * (F.size("sa") + F.size("sb") - both)).select("a", "b")
@@ -195,38 +191,65 @@ def agreeing(a: np.ndarray, b: np.ndarray, k: int) -> np.ndarray:
     return k - np.bitwise_count(np.bitwise_or.reduce(a ^ b, axis=1)).sum(axis=1, dtype=np.int64)
 
 
-def _strongest(similarity: float, most: int):
-    """Of the pairs of blocks of buckets, in order of GROUP: the estimated links across components that are among the ``most`` strongest
-    of either end; ``cut`` says that their pair of blocks has more."""
+def _roots(parent: np.ndarray, at: np.ndarray) -> np.ndarray:
+    while True:
+        up = parent[at]
+        if (up == at).all():
+            return at
+        at = parent[up]
+
+
+def similar(s: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """The Jaccard similarity of the sorted set s with each of the others; sets aren't empty."""
+    size = np.array([len(x) for x in others])
+    joined = np.concatenate(others)
+    hit = s[np.minimum(np.searchsorted(s, joined), len(s) - 1)] == joined
+    both = np.add.reduceat(hit, np.cumsum(size) - size, dtype=np.int64)
+    return both / (len(s) + size - both)
+
+
+def _linker(similarity: float):
+    """Of the pairs of blocks of buckets, in order of GROUP: links across components that join them like all links of the blocks do.
+    Pairs that the signatures estimate high enough are verified on the shingle sets, unless links found before join them."""
 
     def linked(rows: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
         sig = np.frombuffer(b"".join(rows["sig"]), np.uint16).reshape(len(rows), -1)
-        part = pd.factorize(rows["label"])[0]
+        sets, node = [x.view(np.uint64) for x in rows["s"]], rows["node"].to_numpy()  # as they were sorted
         sizes = np.diff(np.append(starts, len(rows)))
+        group = np.repeat(np.arange(len(starts)), sizes)
+        part = pd.factorize(rows["label"])[0]
         side = np.where(rows["x"] == rows["y"], -1, rows["mine"])
-        left, right, alike = [], [], []
+        n = np.array([len(x) for x in sets])
         k, planes = sig.shape[1], bit_planes(sig)
         head = np.ascontiguousarray(planes[:, :4])
         least = (similarity - ESTIMATE_SLACK) * k
+        # The components of each group, joined as links are found.
+        parent = np.arange(int(part.max()) + 1)
+        at, up, a, b = -1, parent, [], []
         for i, j in _cross_pairs(part, side, np.repeat(starts + sizes, sizes)):
+            near = np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j])  # no others can be similar
+            i, j = i[near], j[near]
             near = agreeing(head[i], head[j], k) >= least  # a bound, so that most pairs need no more
             i, j = i[near], j[near]
-            n = agreeing(planes[i], planes[j], k)
-            use = n >= least
-            left.append(i[use])
-            right.append(j[use])
-            alike.append(n[use])
-        left, right, alike = np.concatenate(left), np.concatenate(right), np.concatenate(alike)
-        # Each link's place among those of either end, the strongest first.
-        ends = np.concatenate([left, right])
-        by = np.lexsort((-np.tile(alike, 2), ends))
-        place = np.arange(len(by)) - np.searchsorted(ends[by], ends[by])
-        kept = np.zeros(len(left), bool)
-        kept[by[place < most] % max(1, len(left))] = True
-        group = np.repeat(np.arange(len(starts)), sizes)
-        cut = np.isin(group[left[kept]], group[left[~kept]])
-        node = rows["node"].to_numpy()
-        return pd.DataFrame({"key": rows["key"].to_numpy()[left[kept]], "a": node[left[kept]], "b": node[right[kept]], "cut": cut})
+            near = agreeing(planes[i], planes[j], k) >= least
+            i, j = i[near], j[near]
+            for some in np.split(np.arange(len(i)), np.flatnonzero(np.diff(i)) + 1) if len(i) else ():
+                left, right = i[some[0]], j[some]
+                if group[left] != at:
+                    at, up = group[left], parent.copy()
+                while len(right):
+                    right = right[_roots(up, part[right]) != _roots(up, part[[left]])[0]]
+                    if not len(right):
+                        break
+                    now = right[: max(1, int(np.searchsorted(np.cumsum(n[right]), COMPARED, side="right")))]
+                    for r in now[similar(sets[left], [sets[x] for x in now]) >= similarity]:
+                        x, y = _roots(up, part[[left, r]])
+                        if x != y:
+                            up[y] = x
+                            a.append(node[left])
+                            b.append(node[r])
+                    right = right[len(now) :]
+        return pd.DataFrame({"a": a, "b": b})
 
     def blocks(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
@@ -260,39 +283,26 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     pivots = written(multi.join(mass, "node").groupBy("key").agg(F.max(F.struct("mass", "node"))["node"].alias("pivot")), "pivots")
     edges = multi.join(pivots, "key").where("node != pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
     texts = base.join(small_side(nodes.join(multi.select("node").distinct(), "node", "left_semi").select("node", F.col("rep").alias("doc_id"))), ["node", "doc_id"], "left_semi").select("node", "text")
-    links = written(verified(written(edges, "edges"), texts, similarity), "verified")
+    sets = written(texts.select("node", F.pandas_udf(releasing(_shingle_set), "array<long>")("text").alias("s")).dropDuplicates(["node"]), "shingle-sets")
+    links = written(verified(edges, sets, similarity), "verified")
     labels = components(links)
-    # Every pair that was verified, also those that were rejected.
-    ordered = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
-    tried, again, most = edges.select(*ordered), multi, MOST
-    while True:
-        placed = again.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-        parts = placed.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
-        mixed = parts.groupBy("key").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-        # A large bucket is dealt into blocks, those of its largest component last; every two blocks meet, but for two of that.
-        dealt = lambda n: F.ceil(n / (BLOCK // 2)).cast("int")
-        held = placed.join(mixed, "key").withColumn("rest", dealt(F.col("n") - F.col("most.n"))).withColumn("all", F.col("rest") + dealt(F.col("most.n")))
-        inner = F.col("label") == F.col("most.label")
-        mine = F.crc32("node") % F.when(inner, F.col("all") - F.col("rest")).otherwise(F.col("rest")) + F.when(inner, F.col("rest")).otherwise(0)
-        whole = F.col("n") <= BLOCK
-        held = held.withColumn("mine", F.when(whole, 0).otherwise(mine).cast("int"))
-        met = F.when(whole, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.when(inner, F.col("rest")).otherwise(F.col("all")) - 1))
-        rows_ = held.select("key", "node", "label", "mine", F.explode(met).alias("other")).withColumns({"x": F.least("mine", "other"), "y": F.greatest("mine", "other")})
-        rows_ = rows_.drop("other").join(nodes.select("node", "sig"), "node")
-        rows_ = rows_.repartition(*GROUP).sortWithinPartitions(*GROUP)
-        found = written(rows_.mapInPandas(releasing(_strongest(similarity, most)), "key long, a binary, b binary, cut boolean"), "candidates")
-        more = written(found.select(*ordered).distinct().join(tried, ["a", "b"], "left_anti"), "edges")
-        if not more.isEmpty():
-            tried = tried.union(more)
-            new = written(verified(more, texts, similarity), "verified")
-            if not new.isEmpty():
-                links = links.union(new)
-                labels = components(links)
-        cut = found.where("cut").select("key").distinct()
-        if cut.isEmpty():
-            break
-        # A cut block is compared again, with the components as they are now and more links of each end.
-        again, most = multi.join(small_side(cut), "key", "left_semi"), most * MORE
+    placed = multi.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    parts = placed.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
+    mixed = parts.groupBy("key").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    # A large bucket is dealt into blocks, those of its largest component last; every two blocks meet, but for two of that.
+    dealt = lambda n: F.ceil(n / (BLOCK // 2)).cast("int")
+    held = placed.join(mixed, "key").withColumn("rest", dealt(F.col("n") - F.col("most.n"))).withColumn("all", F.col("rest") + dealt(F.col("most.n")))
+    inner = F.col("label") == F.col("most.label")
+    mine = F.crc32("node") % F.when(inner, F.col("all") - F.col("rest")).otherwise(F.col("rest")) + F.when(inner, F.col("rest")).otherwise(0)
+    whole = F.col("n") <= BLOCK
+    held = held.withColumn("mine", F.when(whole, 0).otherwise(mine).cast("int"))
+    met = F.when(whole, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.when(inner, F.col("rest")).otherwise(F.col("all")) - 1))
+    rows_ = held.select("key", "node", "label", "mine", F.explode(met).alias("other")).withColumns({"x": F.least("mine", "other"), "y": F.greatest("mine", "other")})
+    rows_ = rows_.drop("other").join(nodes.select("node", "sig"), "node").join(sets, "node")
+    rows_ = rows_.repartition(*GROUP).sortWithinPartitions(*GROUP)
+    more = written(rows_.mapInPandas(releasing(_linker(similarity)), "a binary, b binary").distinct(), "verified")
+    if not more.isEmpty():
+        labels = components(links.union(more))
     ids = nodes.join(labels, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label"))
     classes = ids.join(ids.groupBy("label").agg(F.min("rep").alias("class_id")), "label").select("node", "class_id")
     return base.select("doc_id", "node").join(classes, "node")

@@ -46,6 +46,22 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 URL_RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 
 
+_WORDS = "list_filter(string_split_regex(lower(coalesce(text, '')), '[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
+
+OP2_SQL = f"""
+WITH RECURSIVE t AS (SELECT coalesce(text, '') AS text, min(doc_id) AS rep FROM documents GROUP BY coalesce(text, '')),
+w AS (SELECT rep, {_WORDS} AS w FROM t),
+s AS (SELECT DISTINCT rep, array_to_string(list_slice(w, i, i + {neardup.SHINGLE - 1}), ' ') AS shingle
+      FROM w, generate_series(1, greatest(1, len(w) - {neardup.SHINGLE - 1})) g(i) WHERE len(w) > 0),
+n AS (SELECT rep, count(*) AS n FROM s GROUP BY rep),
+p AS (SELECT a.rep AS a, b.rep AS b, count(*) AS shared FROM s a JOIN s b ON a.shingle = b.shingle AND a.rep <> b.rep GROUP BY a.rep, b.rep),
+e AS (SELECT a, b FROM p JOIN n x ON a = x.rep JOIN n y ON b = y.rep WHERE shared >= {neardup.SIMILARITY} * (x.n + y.n - shared)),
+r(node, other) AS (SELECT rep, rep FROM t UNION SELECT r.node, e.b FROM r JOIN e ON r.other = e.a),
+c AS (SELECT node, min(other) AS class_id FROM r GROUP BY node)
+SELECT d.doc_id, c.class_id FROM documents d JOIN t ON coalesce(d.text, '') = t.text JOIN c ON c.node = t.rep
+"""
+
+
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return urls.judge_urls(table(spark, sf_dir, "pages"), rules).select("page_id", "host", "path", "rule", "verdict")
@@ -73,11 +89,44 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select("doc_id", "item_id", "start", "n_words", "n_agree", "n_item")
 
 
+OP5_SQL = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+dw AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS p FROM d),
+bw AS (SELECT item_id, len(w) AS n_item, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS q FROM b WHERE len(w) >= {decontaminate.MIN_ITEM}),
+a AS (SELECT doc_id, item_id, n_item, p - q AS diagonal, p, row_number() OVER (PARTITION BY doc_id, item_id, p - q ORDER BY p) AS nth,
+             count(*) OVER (PARTITION BY doc_id, item_id, p - q) AS n FROM dw JOIN bw USING (word)),
+h AS (SELECT * FROM a WHERE n >= {decontaminate.IDENTITY} * least({decontaminate.MIN_OVERLAP}, n_item)),
+o AS (SELECT x.doc_id, x.item_id, x.n_item, x.diagonal, x.p AS start, y.p - x.p + 1 AS n_words, y.nth - x.nth + 1 AS n_agree
+      FROM h x JOIN h y ON x.doc_id = y.doc_id AND x.item_id = y.item_id AND x.diagonal = y.diagonal AND y.p >= x.p
+      WHERE y.nth - x.nth + 1 >= {decontaminate.IDENTITY} * (y.p - x.p + 1) - 1e-9 AND y.p - x.p + 1 >= least({decontaminate.MIN_OVERLAP}, x.n_item)),
+g AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY doc_id, item_id, diagonal ORDER BY n_words DESC, start) = 1)
+SELECT doc_id, item_id, start, n_words, n_agree, n_item FROM g
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_words DESC, n_agree DESC, start) = 1
+"""
+
+
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffixes.remove_repeats(table(spark, sf_dir, "documents"))
     return out.select("doc_id", *[f"__cut.{c}" for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")])
 
 
+OP6_SQL = f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i AS p, substr(h, 2 * i + 1, {2 * suffixes.LENGTH}) AS s FROM d, generate_series(0, length(h) // 2 - {suffixes.LENGTH}) g(i)),
+m AS (SELECT hash(s) AS hs FROM w GROUP BY hash(s) HAVING count(*) > 1),
+v AS (SELECT doc_id, p, s FROM w WHERE hash(s) IN (SELECT hs FROM m)),
+r AS (SELECT doc_id, p FROM v QUALIFY row_number() OVER (PARTITION BY s ORDER BY doc_id, p) > 1),
+i AS (SELECT doc_id, p, CASE WHEN p - lag(p) OVER o <= {suffixes.LENGTH} THEN 0 ELSE 1 END AS new FROM r WINDOW o AS (PARTITION BY doc_id ORDER BY p)),
+n AS (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM i),
+c AS (SELECT doc_id, min(p) AS a, max(p) + {suffixes.LENGTH} AS z FROM n GROUP BY doc_id, run),
+f AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM c),
+x AS (SELECT doc_id, sum(z - a) AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || substr(any_value(h), 2 * max(z) + 1) AS kept
+      FROM f JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM d LEFT JOIN x USING (doc_id)
+"""
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_tokens", "ids", "round_trip")
 
@@ -87,6 +136,15 @@ def op8_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "row_bytes", "depth", "shard")
 
 
+#: A limit at which the small test tables split as well.
+SMALL_SHARD = 1 << 18
+
+
+def small_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shards(table(spark, sf_dir, "documents").select("doc_id", "text"), limit=SMALL_SHARD)
+    return placed.select("doc_id", "row_bytes", "depth", "shard")
+
+
 OP8_SQL = f"""
 WITH d AS (SELECT doc_id, coalesce(octet_length(encode(text)), 0) + {sharding.ROW_BYTES} AS row_bytes,
                   CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || chr(10) || coalesce(text, '')), 1, 15) AS BIGINT) AS h FROM documents),
@@ -109,8 +167,8 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_chat_formatting, op2_minhash_near_dedup, op3_url_filters, op4_quality_rules, op5_benchmark_decontamination, op6_suffix_array_dedup, op7_sentencepiece, op8_extendible_sharding, op9_lm_scoring, op10_quality_classifier)}
+    return {f.__name__: f for f in (op1_chat_formatting, op2_minhash_near_dedup, op3_url_filters, op4_quality_rules, op5_benchmark_decontamination, op6_suffix_array_dedup, op7_sentencepiece, op8_extendible_sharding, small_shards, op9_lm_scoring, op10_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": OP1_SQL, "op3_url_filters": OP3_SQL, "op8_extendible_sharding": OP8_SQL}
+    return {"op1_chat_formatting": OP1_SQL, "op2_minhash_near_dedup": OP2_SQL, "op5_benchmark_decontamination": OP5_SQL, "op6_suffix_array_dedup": OP6_SQL, "op3_url_filters": OP3_SQL, "op8_extendible_sharding": OP8_SQL, "small_shards": OP8_SQL.replace(str(sharding.SHARD_BYTES), str(SMALL_SHARD))}
