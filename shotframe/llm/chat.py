@@ -139,20 +139,23 @@ def canonical_turns(records: DataFrame, id_col: str, order_col: str | None = Non
     spoken = {p for x in layouts for p in (*x.required, *x.optional)}
     used = sorted(p for p in present if p in spoken)
     found = F.array_compact(F.array(*[F.when(present[p], F.lit(p)) for p in used])) if used else F.array().cast("array<string>")
-    marked = records.withColumn("__fp", F.sha2(F.array_join(found, "\n"), 256))
+    free = "__fp"
+    while free in records.columns:
+        free += "_"
+    marked = records.withColumn(free, F.sha2(F.array_join(found, "\n"), 256))
     turns, name = None, None
     for layout in layouts:
         if not set(layout.required) <= set(used):
             continue
         blank = [fingerprint_of([])] if layout.blank and {*layout.required, *layout.optional} <= set(used) else []
-        fits = F.col("__fp").isin(layout.fingerprints() + blank)
+        fits = F.col(free).isin(layout.fingerprints() + blank)
         value = _turns(layout, records.schema)
         turns = F.when(fits, value) if turns is None else turns.when(fits, value)
         name = F.when(fits, F.lit(layout.name)) if name is None else name.when(fits, F.lit(layout.name))
     if turns is None:
         turns, name = F.lit(None).cast("array<struct<role:string,text:string>>"), F.lit(None).cast("string")
     order = F.col(f"`{order_col}`").cast("long") if order_col else F.lit(0).cast("long")
-    slim = marked.select(F.col(f"`{id_col}`").alias("conv_id"), order.alias("turn"), F.col("__fp").alias("fingerprint"), name.alias("layout"), turns.alias("turns"))
+    slim = marked.select(F.col(f"`{id_col}`").alias("conv_id"), order.alias("turn"), F.col(free).alias("fingerprint"), name.alias("layout"), turns.alias("turns"))
     explode = F.posexplode_outer if keep_unmapped else F.posexplode
     rows = slim.select("conv_id", "turn", "fingerprint", "layout", explode("turns").alias("part", "said"))
     return rows.select("conv_id", "turn", "part", F.col("said.role").alias("role"), F.col("said.text").alias("text"), "layout", "fingerprint")

@@ -107,19 +107,20 @@ QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_words DESC, n
 
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffixes.remove_repeats(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", *[f"__cut.{c}" for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")])
+    return out.select("doc_id", *[f"cut.{c}" for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")])
 
 
 OP6_SQL = f"""
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-w AS (SELECT doc_id, i AS p, substr(h, 2 * i + 1, {2 * suffixes.LENGTH}) AS s FROM d, generate_series(0, length(h) // 2 - {suffixes.LENGTH}) g(i)),
+c AS (SELECT doc_id, j AS off, substr(h, 2 * j + 1, {2 * suffixes.LENGTH + 510}) AS h FROM d, generate_series(0, length(h) // 2 - {suffixes.LENGTH}, 256) g(j)),
+w AS (SELECT doc_id, off + i AS p, substr(h, 2 * i + 1, {2 * suffixes.LENGTH}) AS s FROM c, generate_series(0, length(h) // 2 - {suffixes.LENGTH}) g(i)),
 m AS (SELECT hash(s) AS hs FROM w GROUP BY hash(s) HAVING count(*) > 1),
 v AS (SELECT doc_id, p, s FROM w WHERE hash(s) IN (SELECT hs FROM m)),
 r AS (SELECT doc_id, p FROM v QUALIFY row_number() OVER (PARTITION BY s ORDER BY doc_id, p) > 1),
 i AS (SELECT doc_id, p, CASE WHEN p - lag(p) OVER o <= {suffixes.LENGTH} THEN 0 ELSE 1 END AS new FROM r WINDOW o AS (PARTITION BY doc_id ORDER BY p)),
 n AS (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM i),
-c AS (SELECT doc_id, min(p) AS a, max(p) + {suffixes.LENGTH} AS z FROM n GROUP BY doc_id, run),
-f AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM c),
+y AS (SELECT doc_id, min(p) AS a, max(p) + {suffixes.LENGTH} AS z FROM n GROUP BY doc_id, run),
+f AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM y),
 x AS (SELECT doc_id, sum(z - a) AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || substr(any_value(h), 2 * max(z) + 1) AS kept
       FROM f JOIN d USING (doc_id) GROUP BY doc_id)
 SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,

@@ -54,36 +54,38 @@ def split(cells: DataFrame, low: int, high: int, limit: int) -> DataFrame:
 def shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = SHARD_BYTES, shard_col: str = "shard", bytes_col: str = "row_bytes", depth_col: str = "depth") -> DataFrame:
     """docs with row_bytes, depth (bits used) and shard (the bits as text; paged buckets have -page appended)."""
     text = F.col(f"`{text_col}`").cast("string")
-    marked = docs.withColumns({"__h": key_hash(F.col(f"`{id_col}`"), text), bytes_col: (F.coalesce(F.octet_length(text), F.lit(0)) + ROW_BYTES).cast("long")})
-    total = marked.agg(F.sum(bytes_col).alias("n")).first()["n"] or 0
+    # The row is kept apart, so that its columns can't clash with ours.
+    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key_hash(F.col(f"`{id_col}`"), text).alias("h"),
+                         (F.coalesce(F.octet_length(text), F.lit(0)) + ROW_BYTES).cast("long").alias("bytes"))
+    total = marked.agg(F.sum("bytes").alias("n")).first()["n"] or 0
     low = min(first_bits(total, limit), BITS)
-    rows, levels = marked.select("__h", F.col(bytes_col).alias("bytes")), []
+    rows, levels = marked.select("h", "bytes"), []
     while True:
         high = min(BITS, low + FINER)
-        cells = rows.groupBy(prefix(F.col("__h"), high).alias("cell")).agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("n"))
+        cells = rows.groupBy(prefix(F.col("h"), high).alias("cell")).agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("n"))
         cells = written(split(cells, low, high, limit), "shard-cells")
         levels.append((high, cells))
         over = cells.where("depth IS NULL")
         if high == BITS or over.isEmpty():
             break
         side = small_side(over.select("cell"))
-        rows = rows.join(side, prefix(F.col("__h"), high) == side["cell"], "left_semi")
+        rows = rows.join(side, prefix(F.col("h"), high) == side["cell"], "left_semi")
         low = high + 1
     depth = None
     for i, (high, cells) in enumerate(levels):
-        side = small_side(cells.where("depth IS NOT NULL").select(F.col("cell").alias(f"__c{i}"), F.col("depth").alias(f"__d{i}")))
-        marked = marked.join(side, prefix(F.col("__h"), high) == F.col(f"__c{i}"), "left")
-        depth = F.col(f"__d{i}") if depth is None else F.coalesce(depth, F.col(f"__d{i}"))
-    placed = marked.withColumn(depth_col, F.coalesce(depth, F.lit(BITS)).cast("int"))
-    name = F.expr(f"substring(lpad(conv(cast(__h AS string), 10, 2), {BITS}, '0'), 1, `{depth_col}`)")
-    placed = placed.withColumn(shard_col, name)
+        side = small_side(cells.where("depth IS NOT NULL").select(F.col("cell").alias(f"cell_{i}"), F.col("depth").alias(f"depth_{i}")))
+        marked = marked.join(side, prefix(F.col("h"), high) == F.col(f"cell_{i}"), "left")
+        depth = F.col(f"depth_{i}") if depth is None else F.coalesce(depth, F.col(f"depth_{i}"))
+    placed = marked.withColumn("depth", F.coalesce(depth, F.lit(BITS)).cast("int"))
+    name = F.expr(f"substring(lpad(conv(cast(h AS string), 10, 2), {BITS}, '0'), 1, depth)")
+    placed = placed.withColumn("shard", name)
     if not levels[-1][1].where("depth IS NULL").isEmpty():  # equal hashes beyond the limit
         stuck = depth.isNull()
-        running = F.sum(bytes_col).over(Window.partitionBy(F.when(stuck, F.col("__h"))).orderBy(bytes_col).rowsBetween(Window.unboundedPreceding, -1))
+        running = F.sum("bytes").over(Window.partitionBy(F.when(stuck, F.col("h"))).orderBy("bytes").rowsBetween(Window.unboundedPreceding, -1))
         # Equal rows have equal sizes, so as many as fit make a page.
-        paged = placed.where(stuck).withColumn(shard_col, F.concat(shard_col, F.lit("-"), F.floor(F.coalesce(running, F.lit(0)) / F.greatest(F.col(bytes_col), F.floor(F.lit(limit) / F.col(bytes_col)) * F.col(bytes_col))).cast("string")))
+        paged = placed.where(stuck).withColumn("shard", F.concat("shard", F.lit("-"), F.floor(F.coalesce(running, F.lit(0)) / F.greatest(F.col("bytes"), F.floor(F.lit(limit) / F.col("bytes")) * F.col("bytes"))).cast("string")))
         placed = placed.where(~stuck).unionByName(paged)
-    return placed.select(*docs.columns, bytes_col, depth_col, shard_col)
+    return placed.select(*[F.col("row").getField(c).alias(c) for c in docs.columns], F.col("bytes").alias(bytes_col), F.col("depth").alias(depth_col), F.col("shard").alias(shard_col))
 
 
 def directory(placed: DataFrame, bytes_col: str = "row_bytes", depth_col: str = "depth", shard_col: str = "shard") -> DataFrame:

@@ -278,16 +278,16 @@ def _taken_out(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["h", "id", "digest", "p0", "n", "lead", "raw"])
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _keys(id_col: str, text_col: str) -> list:
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    return docs.withColumns({"__id": F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_NULL_ID)), "__digest": F.xxhash64(text), "__text": text})
+    return [F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_NULL_ID)).alias("id"), F.xxhash64(text).alias("digest"), text.alias("text")]
 
 
 def removable(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, digest, runs): for each document that loses bytes, its runs of removable windows (p0, n)."""
     spark = docs.sparkSession
     small_batches(spark)
-    keyed = _keyed(docs, id_col, text_col).select(F.col("__id").alias("id"), F.col("__digest").alias("digest"), F.col("__text").cast("binary").alias("raw"))
+    keyed = docs.select(*_keys(id_col, text_col)).select("id", "digest", F.col("text").cast("binary").alias("raw"))
     rows = keyed.mapInPandas(releasing(_cut), "kind byte, h long, d long, id long, digest long, p0 long, n int, lead int")
     # Content that has come earlier goes; anchors with several contents are to be sorted.
     placed = Window.partitionBy("kind", "h", "d").orderBy("id", "digest", "p0")
@@ -335,19 +335,23 @@ def _cut_outs(texts: pd.Series, runs: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with a struct column ``__cut``: n_bytes, n_removed, n_spans, kept_sha256, kept_text."""
-    runs = removable(docs, id_col, text_col).select("id", "digest", F.col("runs").alias("__runs"))
-    keyed = _keyed(docs, id_col, text_col)
-    joined = keyed.join(runs.hint("shuffle_hash"), [keyed["__id"] == runs["id"], keyed["__digest"] == runs["digest"]], "left")
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cut_col: str = "cut") -> DataFrame:
+    """docs with a struct column (``cut_col``; a column of that name is replaced): n_bytes, n_removed, n_spans, kept_sha256, kept_text."""
+    runs = removable(docs, id_col, text_col).select(F.col("id").alias("run_id"), F.col("digest").alias("run_digest"), "runs")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *_keys(id_col, text_col))
+    joined = whole.join(runs.hint("shuffle_hash"), [F.col("id") == F.col("run_id"), F.col("digest") == F.col("run_digest")], "left")
     cut = F.pandas_udf(_cut_outs, "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
-    return joined.select(*[keyed[f"`{c}`"] for c in docs.columns], cut("__text", "__runs").alias("__cut"))
+    kept = [c for c in docs.columns if c != cut_col]
+    return joined.select(*[F.col("row").getField(c).alias(c) for c in kept], cut("text", "runs").alias(cut_col))
 
 
 def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with their repeats cut out of the text, and the same columns (n_chars follows if there is one)."""
-    out = remove_repeats(docs, id_col, text_col)
-    new = {text_col: F.col("__cut.kept_text")}
+    name = "cut"
+    while name in docs.columns:
+        name += "_"
+    out = remove_repeats(docs, id_col, text_col, name)
+    new = {text_col: F.col(name)["kept_text"]}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.length(F.col("__cut.kept_text")).cast("long")
-    return out.withColumns(new).select(*docs.columns)
+        new["n_chars"] = F.length(F.col(name)["kept_text"]).cast("long")
+    return out.withColumns(new).select(*[F.col(f"`{c}`") for c in docs.columns])

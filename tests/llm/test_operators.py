@@ -13,7 +13,7 @@ from shotframe.llm import chat, classifier, decontaminate, mixing, neardup, piec
 from shotframe.llm.words import WordHashes  # noqa: E402
 
 WORDS = ["alpha", "beta", "gamma", "delta", "rho", "sigma", "tau", "été", "naïve", "zeta", "eta", "theta", "iota", "kappa", "mu", "nu", "xi", "pi"]
-SCHEMA = "doc_id long, text string, node string, digest int, key string, label string, chunk int, bucket int, id string, runs int, depth string, n_chars long"
+SCHEMA = "doc_id long, text string, node string, digest int, key string, label string, chunk int, bucket int, id string, runs int, depth string, n_chars long, h int, `row` int, cut int, __node int, __digest int, __coded int, __verdict int"
 
 
 def prose(seed, n):
@@ -31,7 +31,7 @@ def odd(spark):
         (1, base), (2, " ".join(near)), (3, base), (3, base), (None, base), (None, None), (4, None), (5, ""), (6, "   \n\t "), (7, "one two"), (8, "one two"),
         (9, prose(3, 50) + " " + passage + " " + prose(4, 50)), (10, prose(5, 30) + " " + passage + " " + prose(6, 40)), (11, prose(7, 30_000)), (12, "aaaa" * 400), (13, "x" * 5000),
         (14, "日本語のテキスト " * 30), (15, "|& # | $ % " * 30), (16, "line\n" * 50), (17, prose(8, 80)), (17, prose(9, 80)), (18, "<s>[INST]\\ \0 tail")]
-    return spark.createDataFrame([(i, t, "n", 1, "k", "l", 2, 3, "i", 4, "d", 5) for i, t in texts], SCHEMA)
+    return spark.createDataFrame([(i, t, "n", 1, "k", "l", 2, 3, "i", 4, "d", 5, *[9] * 7) for i, t in texts], SCHEMA)
 
 
 @pytest.fixture(scope="module")
@@ -292,7 +292,7 @@ def test_suffixes_against_brute_force(spark, odd, rows, empty):
     for r in odd.select(F.coalesce("text", F.lit("")).alias("t"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect():
         _DIGESTS[r.t] = r.h
     want = brute_cut(rows)
-    got = suffixes.remove_repeats(odd).select("doc_id", "text", "__cut.*").collect()
+    got = suffixes.remove_repeats(odd).select("doc_id", "text", "cut.*").collect()
     assert len(got) == len(rows)
     for r in got:
         assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == want[((r.doc_id is not None, r.doc_id or 0), r.text or "")]
@@ -349,7 +349,7 @@ def test_mixing(spark, odd, rows, empty):
 
     from shotframe.llm.common import doc_fold
 
-    docs = odd.unionByName(spark.createDataFrame([(100 + i, prose(100 + i, 60), "n", 1, "k", "l", 2, 3, "i", 4, "d", 5) for i in range(40)], SCHEMA))
+    docs = odd.unionByName(spark.createDataFrame([(100 + i, prose(100 + i, 60), "n", 1, "k", "l", 2, 3, "i", 4, "d", 5, *[9] * 7) for i in range(40)], SCHEMA))
     got = mixing.score_documents(docs, doc_fold(F.col("doc_id"), 7) != 2).collect()
     low = lambda t: bytes(c + 32 if 65 <= c <= 90 else c for c in (t or "").encode()).split()
     held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
