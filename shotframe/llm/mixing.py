@@ -2,7 +2,7 @@
 
 A text's tokens (A-Z lower-cased words and one end mark) are coded by the training tokens' own counts: each distinct count
 n takes a stretch of the line [0, N) as long as its tokens' occurrences, the most frequent first, and a token's hash places it
-inside its stretch. The line is cut into 2**depth cells, about the square root of N. The cell is coded bit by bit from
+inside its stretch. The line is cut into 2**depth cells, some N**0.47. The cell is coded bit by bit from
 the root of the binary tree over all cells, with a first bit for unknown words, which are spelled by the bits of their bytes; bits whose
 other side holds no token are not coded. Three predictors give the log-odds of each bit: the exact occurrences of
 all training tokens on either side, and counts under two hashed contexts (the word's cell before or the two before, or the last bytes
@@ -40,11 +40,11 @@ from pyspark.sql import functions as F
 
 from .common import release, releasing, small_batches, small_side, written
 
-PRIOR, RATE, DOC_RATE, SEGMENT, BUCKETS = 0.4, 0.5, 0.02, 256, 33
+PRIOR, RATE, DOC_RATE, SEGMENT, BUCKETS = 0.4, 0.5, 0.02, 512, 33
 #: Bytes of text in a chunk, of texts coded at once, symbols of one numpy batch, and tables that one task adds up.
 CHUNK, CODED, BATCH, FAN_IN = 18 << 20, 1 << 20, 4096, 32
 #: Bits of a table of contexts beyond the tree's depth, and at most.
-MORE_BITS, MOST_BITS = 8, 24
+MORE_BITS, MOST_BITS = 9, 24
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 END_TOKEN = b""  # no word is empty
 #: Bytes of a spelled word that its next byte's contexts take.
@@ -64,8 +64,8 @@ def lowered(text: str | None) -> bytes:
 
 
 def depth_of(n_all: int) -> int:
-    """Bits of a cell: half of those of the number of training tokens."""
-    return max(1, int(math.log2(max(2, n_all)) / 2))
+    """Bits of a cell: 0.47 of those of the number of training tokens."""
+    return max(1, int(math.log2(max(2, n_all)) * 0.47))
 
 
 class Tree:
@@ -95,16 +95,18 @@ class Tree:
         paths.append(((spelt >> 1) + 2 * cell, spelt & 1))
         open_ = [(halves[n] > 0).all(axis=2) for n, _ in paths]
         self.node = np.concatenate([n[o] for (n, _), o in zip(paths, open_, strict=True)]).astype(np.int32)
+        # What the paths' bits need, in the paths' order.
+        self.path_odds, self.path_hash = self.odds[self.node], (self.node.astype(np.uint64) * _NODE).astype(np.uint32)
         self.bit = np.concatenate([b[o] for (_, b), o in zip(paths, open_, strict=True)]).astype(np.int8)
         self.length = np.concatenate([o.sum(axis=1) for o in open_])
         self.first = np.cumsum(self.length) - self.length
 
-    def bits_of(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(symbol's place, node, bit) of the symbols' bits, in order."""
+    def bits_of(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(symbol's place, place among all paths) of the symbols' bits, in order."""
         count = self.length[symbols]
         of = np.repeat(np.arange(len(symbols), dtype=np.int32), count)
         at = np.arange(len(of)) + np.repeat(self.first[symbols] - (np.cumsum(count) - count), count)
-        return of, self.node[at], self.bit[at]
+        return of, at
 
     def contexts(self, symbols: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
         """A hash of each symbol's two contexts: of the word before and of the two before; of a byte, what was spelled of its
@@ -128,7 +130,7 @@ class Tree:
             hashes[k, at] = h
         hashes *= np.uint64(0x9E3779B97F4A7C15)
         hashes = (hashes ^ (hashes >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
-        return list((hashes ^ (hashes >> np.uint64(29))) >> np.uint64(16))
+        return list(((hashes ^ (hashes >> np.uint64(29))) >> np.uint64(16)).astype(np.uint32))
 
 
 def symbols_of(words: list[bytes], cell: np.ndarray, known: np.ndarray, tree: Tree) -> tuple[np.ndarray, np.ndarray]:
@@ -204,7 +206,7 @@ class Learner:
     """Counts, weights and the refining table of one chunk, learned online: each batch is predicted before it is counted."""
 
     def __init__(self, tree: Tree, bits: int):
-        self.tree, self.mask = tree, np.uint64((1 << bits) - 1)
+        self.tree, self.mask = tree, np.uint32((1 << bits) - 1)
         self.tables = [np.zeros(2 << bits, np.int32) for _ in range(CONTEXTS)]
         self.weights = _first_weights()
         self.seen = np.zeros(GATES)
@@ -215,12 +217,12 @@ class Learner:
         context = self.tree.contexts(symbols, starts)
         for a in range(0, len(symbols), BATCH):
             some = symbols[a : a + BATCH]
-            of, node, bit = self.tree.bits_of(some)
-            hashed = node.astype(np.uint64) * _NODE
+            of, at = self.tree.bits_of(some)
+            bit, hashed = self.tree.bit[at], self.tree.path_hash[at]
             slots = [((c[a : a + BATCH][of] + hashed) & self.mask).astype(np.int64) for c in context]
             gate = (some >= self.tree.byte).astype(np.uint8)[of] << np.uint8(4)
             x = np.empty((INPUTS, len(bit)), np.float32)
-            x[0] = self.tree.odds[node]
+            x[0] = self.tree.path_odds[at]
             for k, s in enumerate(slots):
                 pair = self.tables[k].view(np.int64)[s]  # both counts at once, that of 0 below
                 zero, one = pair & 0xFFFFFFFF, pair >> 32
@@ -258,7 +260,7 @@ class Model:
     """The log-odds and level of every slot, the weights of every gate and the refining table of probabilities."""
 
     def __init__(self, tree: Tree, tables: list[np.ndarray], sums: np.ndarray):
-        self.tree, self.tables, self.mask = tree, tables, np.uint64(len(tables[0]) - 1)
+        self.tree, self.tables, self.mask = tree, tables, np.uint32(len(tables[0]) - 1)
         w, seen, table = np.split(sums, [GATES * INPUTS, GATES * (INPUTS + 1)])
         self.weights = np.where(seen[:, None] > 0, w.reshape(GATES, -1) / np.maximum(1, seen)[:, None], _first_weights()).astype(np.float32)
         middle = 1 / (1 + np.exp(-(np.arange(BUCKETS) * (16 / (BUCKETS - 1)) - 8)))
@@ -271,7 +273,7 @@ class Model:
         size = np.array([len(x) for x in texts], np.int64)
         at = 0
         while at < len(texts):
-            end = max(at + 1, int(np.searchsorted(np.cumsum(size[at:]), 2 * BATCH, side="right")) + at)
+            end = max(at + 1, int(np.searchsorted(np.cumsum(size[at:]), 8 * BATCH, side="right")) + at)
             total[at:end] = self._scored(texts[at:end])
             at = end
         return total
@@ -290,13 +292,13 @@ class Model:
         for i in range(len(cut) - 1):
             part = by[cut[i] : cut[i + 1]]
             some = symbols[part]
-            of, node, bit = self.tree.bits_of(some)
+            of, at = self.tree.bits_of(some)
             if not len(of):
                 continue
-            hashed = node.astype(np.uint64) * _NODE
+            bit, hashed = self.tree.bit[at], self.tree.path_hash[at]
             gate = (some >= self.tree.byte).astype(np.uint8)[of] << np.uint8(4)
             x = np.empty((INPUTS, len(of)), np.float32)
-            x[0] = self.tree.odds[node]
+            x[0] = self.tree.path_odds[at]
             for k, c in enumerate(context):
                 both = self.tables[k].take(((c[part][of] + hashed) & self.mask).astype(np.int64))
                 gate |= (both & np.uint16(3)).astype(np.uint8) << np.uint8(2 * k)
