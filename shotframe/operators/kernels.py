@@ -44,13 +44,13 @@ def average_spectrum(traces: DataFrame, samples_col: str, *groups: str) -> DataF
 
 
 def correlate(a: np.ndarray, b: np.ndarray) -> tuple[int, float]:
-    """Lag (b against a) of the largest normalised correlation in magnitude, the first of equals, and the coefficient."""
+    """Lag (samples by which a comes after b) of the largest normalised correlation in magnitude, the first of equals, and the coefficient."""
     n = len(a) + len(b) - 1
     if not len(a) or not len(b):
         return 0, 0.0
     size = _power_of_two(n)
-    whole = np.fft.irfft(np.fft.rfft(b, size) * np.conj(np.fft.rfft(a, size)), size)
-    lags = np.arange(-(len(a) - 1), len(b))
+    whole = np.fft.irfft(np.fft.rfft(a, size) * np.conj(np.fft.rfft(b, size)), size)
+    lags = np.arange(-(len(b) - 1), len(a))
     values = whole[lags % size]
     energy = np.sqrt((a * a).sum() * (b * b).sum())
     values = values / energy if energy > 0 else np.zeros(n)

@@ -22,6 +22,11 @@ def js_round(x: Column) -> Column:
     return F.floor(x + 0.5)
 
 
+def bound(value: Column, body) -> Column:
+    """body(value) with value computed once a row, also where body's own lambdas use it for every sample."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def total(xs: Column) -> Column:
     return F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
 
@@ -40,7 +45,8 @@ def mean(xs: Column) -> Column:
 
 def population_std(xs: Column) -> Column:
     """Two passes: the mean, then the mean square about it."""
-    return F.when(F.size(xs) > 0, F.sqrt(F.aggregate(F.transform(xs, lambda x: (x - mean(xs)) * (x - mean(xs))), F.lit(0.0), lambda a, x: a + x) / F.size(xs))).otherwise(0.0)
+    square = bound(mean(xs), lambda m: F.aggregate(xs, F.lit(0.0), lambda a, x: a + (x - m) * (x - m)))
+    return F.when(F.size(xs) > 0, F.sqrt(square / F.size(xs))).otherwise(0.0)
 
 
 def zero_crossings(xs: Column) -> Column:
@@ -115,11 +121,15 @@ def gain_fixed(xs: Column, scale: float) -> Column:
 
 def gain_balance(xs: Column) -> Column:
     """By the trace's own rms; a trace of zeros stays."""
-    return F.transform(xs, lambda x: F.when(rms(xs) > 0, x / rms(xs)).otherwise(x))
+    return bound(rms(xs), lambda level: F.transform(xs, lambda x: F.when(level > 0, x / level).otherwise(x)))
 
 
 def resample(xs: Column, length: int) -> Column:
     """Linear, with both end points kept."""
+    return bound(xs, lambda held: _resampled(held, length))
+
+
+def _resampled(xs: Column, length: int) -> Column:
     step = F.when(F.lit(length) > 1, (F.size(xs) - 1) / F.lit(max(1, length - 1))).otherwise(0.0)
 
     def at(i: Column) -> Column:
@@ -133,7 +143,10 @@ def resample(xs: Column, length: int) -> Column:
 
 def shift_up(xs: Column, by: Column) -> Column:
     """Samples moved earlier by a fractional number of places, by linear interpolation; zeros follow."""
+    return bound(F.struct(xs.alias("xs"), by.alias("by")), lambda both: _shifted(both["xs"], both["by"]))
 
+
+def _shifted(xs: Column, by: Column) -> Column:
     def at(_, i: Column) -> Column:
         place = i + by
         low = F.floor(place).cast("int")
@@ -151,6 +164,10 @@ def reduced_time(xs: Column, offset: Column, velocity_km_s: float, dt: float) ->
 
 def decimate(xs: Column, points: int) -> Column:
     """(low, high) of points // 2 even buckets, for drawing; a short trace stays as pairs of itself."""
+    return bound(xs, lambda held: _buckets(held, points))
+
+
+def _buckets(xs: Column, points: int) -> Column:
     buckets = max(1, points // 2)
     step = F.size(xs) / F.lit(float(buckets))
 
@@ -195,12 +212,12 @@ def sta_lta(traces: DataFrame, id_col: str, samples_col: str, sta: int, lta: int
 
 
 def difference(left: DataFrame, right: DataFrame, keys: list[str], samples_col: str) -> DataFrame:
-    """Per key: rms of either trace and of a - b, and the ratio of gains; traces of one length."""
+    """Per key: rms of either trace and of a - b, and the gain of b over a (0 for a silent a); traces of one length."""
     a = left.select(*keys, as_doubles(F.col(samples_col)).alias("__a"))
     b = right.select(*keys, as_doubles(F.col(samples_col)).alias("__b"))
     rows = a.join(b, keys).withColumn("__d", F.zip_with("__a", "__b", lambda x, y: F.coalesce(x, F.lit(0.0)) - F.coalesce(y, F.lit(0.0))))
     out = rows.select(*keys, rms(F.col("__a")).alias("rms_a"), rms(F.col("__b")).alias("rms_b"), rms(F.col("__d")).alias("rms_diff"))
-    return out.withColumn("gain_ratio", F.when(F.col("rms_b") > 0, F.col("rms_a") / F.col("rms_b")))
+    return out.withColumn("gain_ratio", F.when(F.col("rms_a") > 0, F.col("rms_b") / F.col("rms_a")).otherwise(0.0))
 
 
 def semblance(gathers: DataFrame, gather_col: str, offset_col: str, samples_col: str, dt: float, velocities: list[float]) -> DataFrame:

@@ -160,7 +160,7 @@ def _pairs(spark, d):
 NEXT = "n AS (SELECT vec_id, lead(vec_id) OVER (PARTITION BY label ORDER BY vec_id) AS b FROM embeddings), j AS (SELECT n.vec_id, n.b, p.i, p.x AS xa, q.x AS xb FROM n JOIN s p ON p.vec_id = n.vec_id JOIN s q ON q.vec_id = n.b AND q.i = p.i)"
 
 
-@query(f"""WITH {LONG}, {NEXT} SELECT vec_id, b, round(sqrt(avg(xa * xa)), 6) AS rms_a, round(sqrt(avg(xb * xb)), 6) AS rms_b, round(sqrt(avg((xa - xb) * (xa - xb))), 6) AS rms_diff, round(sqrt(avg(xa * xa)) / sqrt(avg(xb * xb)), 6) AS gain_ratio FROM j GROUP BY vec_id, b""")
+@query(f"""WITH {LONG}, {NEXT} SELECT vec_id, b, round(sqrt(avg(xa * xa)), 6) AS rms_a, round(sqrt(avg(xb * xb)), 6) AS rms_b, round(sqrt(avg((xa - xb) * (xa - xb))), 6) AS rms_diff, round(CASE WHEN avg(xa * xa) > 0 THEN sqrt(avg(xb * xb)) / sqrt(avg(xa * xa)) ELSE 0 END, 6) AS gain_ratio FROM j GROUP BY vec_id, b""")
 def trace_difference(spark, d):
     p = _pairs(spark, d)
     out = traces.difference(p.select("vec_id", "b", "embedding"), p.select("vec_id", "b", F.col("eb").alias("embedding")), ["vec_id", "b"], "embedding")
@@ -168,7 +168,7 @@ def trace_difference(spark, d):
 
 
 @query(f"""WITH {LONG}, n AS (SELECT vec_id, lead(vec_id) OVER (PARTITION BY label ORDER BY vec_id) AS b FROM embeddings),
-c AS (SELECT n.vec_id, n.b, q.i - p.i AS lag, sum(p.x * q.x) AS v FROM n JOIN s p ON p.vec_id = n.vec_id JOIN s q ON q.vec_id = n.b GROUP BY n.vec_id, n.b, q.i - p.i),
+c AS (SELECT n.vec_id, n.b, p.i - q.i AS lag, sum(p.x * q.x) AS v FROM n JOIN s p ON p.vec_id = n.vec_id JOIN s q ON q.vec_id = n.b GROUP BY n.vec_id, n.b, p.i - q.i),
 e AS (SELECT vec_id, sum(x * x) AS e FROM s GROUP BY vec_id), k AS (SELECT c.vec_id, c.b, lag, v / sqrt(a.e * z.e) AS v FROM c JOIN e a ON a.vec_id = c.vec_id JOIN e z ON z.vec_id = c.b)
 SELECT vec_id, b, CAST(arg_max(lag, (round(abs(v), 9), -lag)) AS INTEGER) AS lag, round(arg_max(v, (round(abs(v), 9), -lag)), 6) AS coefficient FROM k GROUP BY vec_id, b""")
 def trace_xcorr_best_lag(spark, d):
