@@ -1,11 +1,14 @@
-"""Per-trace operators: native higher-order functions over (trace id, samples) rows; nothing shuffles.
+"""Per-trace operators: native higher-order functions over (trace id, samples) rows, or numpy over a trace at a time. Only
+``semblance`` (by gather) and ``difference`` (a join) shuffle.
 
 Samples that are null or not finite count as 0 in sums but keep their place, unless an operator says otherwise.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -180,35 +183,59 @@ def _buckets(xs: Column, points: int) -> Column:
     return F.when(F.size(xs) > 0, F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)), pair))
 
 
-def long_samples(traces: DataFrame, id_col: str, samples_col: str) -> DataFrame:
-    """(id, i, x): a row for each sample; derived where frames are needed, never stored."""
-    return traces.select(F.col(id_col), F.posexplode(as_doubles(F.col(samples_col))).alias("i", "x"))
+def neighbour_levels(xs: np.ndarray, half: int, kind: str) -> np.ndarray:
+    """The rms, mean or upper-median magnitude of each sample's neighbours within half."""
+    n, at = len(xs), np.arange(len(xs))
+    count = np.minimum(at + half, n - 1) - np.maximum(at - half, 0) + 1
+    if not n:
+        return xs
+    if kind != "median":
+        near = np.convolve(xs * xs if kind == "rms" else np.abs(xs), np.ones(2 * half + 1))[half : half + n] / count
+        return np.sqrt(near) if kind == "rms" else near
+    wide = np.full(n + 2 * half, np.inf)  # what lies outside sorts last
+    wide[half : half + n] = np.abs(xs)
+    out = np.empty(n)
+    step = max(1, (1 << 20) // (2 * half + 1))
+    windows = np.lib.stride_tricks.sliding_window_view(wide, 2 * half + 1)
+    for i in range(0, n, step):
+        ranked = np.sort(windows[i : i + step], axis=1)
+        out[i : i + step] = np.take_along_axis(ranked, (count[i : i + step] // 2)[:, None], axis=1)[:, 0]
+    return out
 
 
 def automatic_gain(traces: DataFrame, id_col: str, samples_col: str, half: int, kind: str = "rms") -> DataFrame:
     """(id, i, x, gained): each sample over the rms, mean or upper-median magnitude of its neighbours within half."""
-    w = Window.partitionBy(id_col).orderBy("i").rowsBetween(-half, half)
-    rows = long_samples(traces, id_col, samples_col)
-    if kind == "rms":
-        level = F.sqrt(F.avg(F.col("x") * F.col("x")).over(w))
-    elif kind == "mean":
-        level = F.avg(F.abs("x")).over(w)
-    else:
-        near = F.sort_array(F.collect_list(F.abs("x")).over(w))
-        level = F.element_at(near, F.floor(F.size(near) / 2).cast("int") + 1)
-    return rows.withColumn("level", level).select(id_col, "i", "x", F.when(F.col("level") > 1e-10, F.col("x") / F.col("level")).otherwise(0.0).alias("gained"))
+
+    def levels(parts: pd.Series) -> pd.Series:
+        return parts.map(lambda xs: None if xs is None else neighbour_levels(np.asarray(xs, float), half, kind))
+
+    rows = traces.select(F.col(id_col), as_doubles(F.col(samples_col)).alias("x"))
+    rows = rows.withColumn("level", F.pandas_udf(levels, "array<double>")("x"))
+    long = rows.select(id_col, F.posexplode(F.arrays_zip("x", "level")).alias("i", "s"))
+    return long.select(id_col, "i", F.col("s.x").alias("x"), F.when(F.col("s.level") > 1e-10, F.col("s.x") / F.col("s.level")).otherwise(0.0).alias("gained"))
+
+
+def first_pick(xs: np.ndarray, sta: int, lta: int, threshold: float, start: int) -> int | None:
+    n = len(xs)
+    if not n:
+        return None
+    e, at = xs * xs, np.arange(n)
+    least = max(1e-4 * e.mean(), 1e-12)
+    short = np.convolve(e, np.ones(sta))[:n] / np.minimum(at + 1, sta)
+    before = np.maximum(at - sta + 1, 0)  # samples that lie before the short window
+    long = np.concatenate([np.zeros(min(sta, n)), np.convolve(e, np.ones(lta))[: max(0, n - sta)]]) / np.clip(before, 1, lta)
+    hit = np.flatnonzero((at >= start) & (short / np.maximum(long, least) >= threshold))
+    return int(hit[0]) if len(hit) else None
 
 
 def sta_lta(traces: DataFrame, id_col: str, samples_col: str, sta: int, lta: int, threshold: float, first: int | None = None) -> DataFrame:
     """(id, pick): the first sample at which the short mean energy, over the long one before it, reaches the threshold."""
-    order = Window.partitionBy(id_col).orderBy("i")
-    rows = long_samples(traces, id_col, samples_col).withColumn("e", F.col("x") * F.col("x"))
-    whole = Window.partitionBy(id_col)
-    floor = F.greatest(1e-4 * F.avg("e").over(whole), F.lit(1e-12))
-    rows = rows.withColumns({"short": F.avg("e").over(order.rowsBetween(-(sta - 1), 0)), "long": F.avg("e").over(order.rowsBetween(-(sta + lta - 1), -sta)), "least": floor})
     start = max(sta + 4, first or 0)
-    hit = (F.col("i") >= start) & (F.col("short") / F.greatest("long", "least") >= threshold)
-    return rows.groupBy(id_col).agg(F.min(F.when(hit, F.col("i"))).cast("long").alias("pick"))
+
+    def picks(parts: pd.Series) -> pd.Series:
+        return parts.map(lambda xs: None if xs is None else first_pick(np.asarray(xs, float), sta, lta, threshold, start)).astype("Int64")
+
+    return traces.select(id_col, F.pandas_udf(picks, "long")(as_doubles(F.col(samples_col))).alias("pick"))
 
 
 def difference(left: DataFrame, right: DataFrame, keys: list[str], samples_col: str) -> DataFrame:
