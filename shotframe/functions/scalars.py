@@ -86,7 +86,7 @@ def apply_scalar(raw: Column, scalar: Column) -> Column:
 def encode_scalar(real: Column, scalar: Column) -> Column:
     """The whole number that the scalar turns into real again, within 32 bits."""
     raw = F.floor(F.when(scalar < 0, real * -scalar).when(scalar > 0, real / scalar).otherwise(real) + 0.5)
-    return F.greatest(F.least(raw, F.lit(INT32)), F.lit(-INT32 - 1)).cast("long")
+    return F.when(raw.isNotNull(), F.greatest(F.least(raw, F.lit(INT32)), F.lit(-INT32 - 1))).cast("long")
 
 
 def fit_scalar(most: Column, wanted: int) -> Column:
