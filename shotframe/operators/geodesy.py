@@ -76,4 +76,5 @@ def helmert(x: Column, y: Column, z: Column, shift: tuple[float, ...]) -> tuple[
 
 
 def utm_zone(lon: Column) -> Column:
-    return F.least(F.greatest(F.floor((lon + 180) / 6) + 1, F.lit(1)), F.lit(60)).cast("int")
+    zone = F.floor((lon + 180) / 6) + 1
+    return F.when(zone < 1, 1).when(zone > 60, 60).otherwise(zone).cast("int")
