@@ -39,10 +39,14 @@ def missing(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return left.join(right.select(*keys).distinct(), keys, "left_anti")
 
 
-def range_check(relations: DataFrame, stations: DataFrame, key: str, low: str, high: str, point: str) -> DataFrame:
-    """Relations whose receiver range leaves the line's range of points; a line without stations gives none."""
-    ends = stations.groupBy(key).agg(F.min(point).alias("line_low"), F.max(point).alias("line_high"))
-    return relations.join(ends, key).where((F.col(low) < F.col("line_low")) | (F.col(high) > F.col("line_high")))
+def range_check(relations: DataFrame, stations: DataFrame, line: str, to_line: str, low: str, high: str, point: str) -> DataFrame:
+    """Relations whose first point is below the least of its line, or whose last is above the greatest of to_line (null: line).
+
+    stations carry ``line`` and ``point``; a line without stations gives no finding. Each end is held against its own line."""
+    ends = stations.groupBy(line).agg(F.min(point).alias("line_low"), F.max(point).alias("line_high"))
+    first, last = ends.select(line, "line_low"), ends.select(F.col(line).alias("__end"), "line_high")
+    rows = relations.withColumn("__end", F.coalesce(to_line, line)).join(first, line, "left").join(last, "__end", "left").drop("__end")
+    return rows.where((F.col(low) < F.col("line_low")) | (F.col(high) > F.col("line_high")))
 
 
 def collapse(findings: DataFrame, keys: list[str], order: str) -> DataFrame:

@@ -269,11 +269,13 @@ def qc_missing_source(spark, d):
     return survey.missing(table(spark, d, "lineitem"), sources, ["l_orderkey"]).select("l_orderkey", "l_linenumber")
 
 
-@query("""WITH e AS (SELECT o_custkey % 100 AS line, min(o_orderkey) AS lo, max(o_orderkey) AS hi FROM orders GROUP BY o_custkey % 100)
-SELECT l_orderkey, l_linenumber, line FROM (SELECT l_orderkey, l_linenumber, l_partkey % 100 AS line, l_orderkey - l_linenumber * 500 AS a, l_orderkey + l_linenumber * 500 AS b FROM lineitem) l JOIN e USING (line) WHERE a < lo OR b > hi""")
+@query("""WITH e AS (SELECT o_custkey % 100 AS line, min(o_orderkey) AS lo, max(o_orderkey) AS hi FROM orders GROUP BY o_custkey % 100),
+x AS (SELECT l_orderkey, l_linenumber, l_partkey % 120 AS line, CASE WHEN l_suppkey % 3 > 0 THEN l_suppkey % 120 END AS other, l_orderkey - l_linenumber * 500 AS a, l_orderkey + l_linenumber * 500 AS b FROM lineitem)
+SELECT l_orderkey, l_linenumber, x.line FROM x LEFT JOIN e f ON f.line = x.line LEFT JOIN e t ON t.line = coalesce(x.other, x.line) WHERE a < f.lo OR b > t.hi""")
 def qc_range_check(spark, d):
-    x = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_partkey") % 100).alias("line"), (F.col("l_orderkey") - F.col("l_linenumber") * 500).alias("a"), (F.col("l_orderkey") + F.col("l_linenumber") * 500).alias("b"))
-    return survey.range_check(x, table(spark, d, "orders").select((F.col("o_custkey") % 100).alias("line"), "o_orderkey"), "line", "a", "b", "o_orderkey").select("l_orderkey", "l_linenumber", "line")
+    other = F.when(F.col("l_suppkey") % 3 > 0, F.col("l_suppkey") % 120)
+    x = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_partkey") % 120).alias("line"), other.alias("other"), (F.col("l_orderkey") - F.col("l_linenumber") * 500).alias("a"), (F.col("l_orderkey") + F.col("l_linenumber") * 500).alias("b"))
+    return survey.range_check(x, table(spark, d, "orders").select((F.col("o_custkey") % 100).alias("line"), "o_orderkey"), "line", "other", "a", "b", "o_orderkey").select("l_orderkey", "l_linenumber", "line")
 
 
 @query("SELECT user_id, event_type, count(*) AS times, min(event_id) AS first FROM events GROUP BY user_id, event_type")
@@ -442,16 +444,32 @@ def near_gather_channel(spark, d):
     return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.min(F.when(hit, F.col("l_linenumber"))).alias("channel"), (F.count_if(hit) > 1).alias("ambiguous"))
 
 
-@query("""SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS id FROM (SELECT event_id, replace(props, '"k"', '"k"') AS props FROM events) WHERE json_extract_string(props, '$.k') IS NOT NULL""")
-def trigger_parse_json(spark, d):
-    rows = table(spark, d, "events").select("event_id", triggers.parse_json(F.replace("props", F.lit('"k"'), F.lit('"trig"'))).alias("t"))
-    return rows.where("t IS NOT NULL").select("event_id", "t.id")
+# One message of each kind the grammar tells apart; {i} and {u} stand for a number and a station.
+LINES = ("[SHOT] #{i} LA7:SP{u}", "[ shot ]  # {i} ts=12:30:05", "TRIGGER {i}", "trig l B.2 : sp -{u}.5", "boot ok #{i}", "TRIG #1234567890", "TRIGGER - {i}", "[SHOT] TRIG 77")
+OBJECTS = ('{"trig": {i}, "sp": {u}.5, "line": "A1"}', '{"trig": null, "id": "12", "line": "A1"}', '{"shot": -4, "ts": " x\\u0001 "}', '{"id": {u}.9, "line": 7}', '{"time": 1700000000}', '{"ts": 1700000000123, "sp": 2e9}', '["sp", 1]', "TRIG {i}")
+
+
+def _messages(spark, d, forms):
+    e = table(spark, d, "events").withColumns({"i": F.col("event_id") % 100000, "u": F.col("user_id") % 50})
+    form = F.element_at(F.array(*map(F.lit, forms)), (F.col("event_id") % len(forms)).cast("int") + 1)
+    return e.select("event_id", F.replace(F.replace(form, F.lit("{i}"), F.col("i").cast("string")), F.lit("{u}"), F.col("u").cast("string")).alias("said"))
+
 
+_SAID = "(SELECT event_id, event_id % 8 AS k, CAST(event_id % 100000 AS BIGINT) AS i, CAST(user_id % 50 AS BIGINT) AS u FROM events)"
 
-@query("""SELECT event_id, CAST(event_id % 100000 AS BIGINT) AS id, 'A' || (user_id % 7) AS line, CAST(user_id AS DOUBLE) AS sp, 'shot' AS kind FROM events""")
+
+@query(f"""SELECT event_id, CASE WHEN k IN (0, 1, 7) THEN 'shot' ELSE 'trig' END AS kind, CASE WHEN k <= 2 THEN i WHEN k = 3 THEN 2 END AS id, CASE k WHEN 0 THEN 'A7' WHEN 3 THEN 'B.2' END AS line,
+  CASE k WHEN 0 THEN CAST(u AS DOUBLE) WHEN 3 THEN -(u + 0.5::DOUBLE) END AS sp, CASE k WHEN 1 THEN '12:30:05' END AS ts FROM {_SAID} WHERE k <> 4""")
 def trigger_parse_line(spark, d):
-    said = F.concat(F.lit("[SHOT] #"), (F.col("event_id") % 100000).cast("string"), F.lit(" LA"), (F.col("user_id") % 7).cast("string"), F.lit(":SP"), F.col("user_id").cast("string"))
-    return table(spark, d, "events").select("event_id", triggers.parse_line(said).alias("t")).select("event_id", "t.id", "t.line", "t.sp", "t.kind")
+    rows = _messages(spark, d, LINES).select("event_id", triggers.parse_line(F.col("said")).alias("t"))
+    return rows.where("t IS NOT NULL").select("event_id", "t.*")
+
+
+@query(f"""SELECT event_id, CASE WHEN k IN (0, 3) THEN 'shot' ELSE 'trig' END AS kind, CASE k WHEN 0 THEN i WHEN 3 THEN u WHEN 7 THEN i END AS id, CASE k WHEN 0 THEN 'A1' END AS line,
+  CASE k WHEN 0 THEN u + 0.5::DOUBLE END AS sp, CASE k WHEN 2 THEN 'x' WHEN 4 THEN '2023-11-14T22:13:20.000Z' WHEN 5 THEN '2023-11-14T22:13:20.123Z' END AS ts FROM {_SAID} WHERE k NOT IN (1, 6)""")
+def trigger_parse_json(spark, d):
+    rows = _messages(spark, d, OBJECTS).select("event_id", triggers.parse_packet(F.col("said")).alias("t"))
+    return rows.where("t IS NOT NULL").select("event_id", "t.*")
 
 
 @query("SELECT event_id, user_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) = 1")

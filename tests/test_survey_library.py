@@ -108,7 +108,14 @@ def test_coordinates(spark, tmp_path):
 def test_trigger_grammar(spark):
     said = ["[SHOT] #12 LA1:SP105.5 ts=2024-01-01T00:00:00", "TRIG 77", "nothing", None, "trigger #5"]
     got = [r.t for r in spark.createDataFrame([(i, x) for i, x in enumerate(said)], "i int, x string").select("i", triggers.parse_line(F.col("x")).alias("t")).orderBy("i").collect()]
-    assert tuple(got[0]) == ("shot", 12, "A1", 105.5, "2024-01-01T00:00:00") and tuple(got[1]) == ("trigger", 77, None, None, None) and got[2] is None and got[3] is None and got[4].id == 5
+    assert tuple(got[0]) == ("shot", 12, "A1", 105.5, "2024-01-01T00:00:00") and tuple(got[1]) == ("trig", 77, None, None, None) and got[2] is None and got[3] is None and got[4].id == 5
+
+
+def test_trigger_packets(spark):
+    said = ['{"trig": 5, "sp": -1.5, "line": "B"}', '{"id": "5"}', "{", "[1]", '{"sp": 1e10, "ts": ""}', '{"trig": null, "shot": 1000000001, "time": "t"}', '{"line": "%s", "sp": 0}' % ("x" * 33), "TRIG 9", "x" * 513 + " TRIG 9", "\x01 TRIG\r\n#4", None, "", '{"ts": 5e12}']
+    got = [r.t for r in spark.createDataFrame(list(enumerate(said)), "i int, x string").select("i", triggers.parse_packet(F.col("x")).alias("t")).orderBy("i").collect()]
+    assert tuple(got[0]) == ("shot", 5, "B", -1.5, None) and tuple(got[5]) == ("trig", None, None, None, "t") and tuple(got[6]) == ("shot", None, None, 0.0, None)
+    assert got[7].id == 9 and got[9].id == 4 and all(got[i] is None for i in (1, 2, 3, 4, 8, 10, 11, 12))
 
 
 def test_streams(spark, tmp_path):
