@@ -151,12 +151,12 @@ def first_descents(rows: DataFrame, line: str, order: list[str], value: str) ->
 
 
 def local_median(rows: DataFrame, line: str, order: list[str], value: str, half: int) -> DataFrame:
-    """Adds the median and the median deviation of the neighbours within half, without the row itself."""
+    """Adds the median and the median deviation of the neighbours within half, without the row itself and nulls, and their number."""
     w = Window.partitionBy(line).orderBy(*order)
     near = F.collect_list(F.struct(F.col("__i"), F.col(value).alias("v"))).over(w.rowsBetween(-half, half))
     rows = rows.withColumn("__i", F.row_number().over(w)).withColumn("__near", near)
-    rows = rows.withColumn("__near", F.sort_array(F.transform(F.filter("__near", lambda e: e["__i"] != F.col("__i")), lambda e: e["v"])))
-    rows = rows.withColumn("local_median", middle(F.col("__near")))
+    rows = rows.withColumn("__near", F.sort_array(F.transform(F.filter("__near", lambda e: (e["__i"] != F.col("__i")) & e["v"].isNotNull()), lambda e: e["v"])))
+    rows = rows.withColumns({"local_median": middle(F.col("__near")), "local_n": F.size("__near")})
     rows = rows.withColumn("local_mad", middle(F.sort_array(F.transform("__near", lambda v: F.abs(v - F.col("local_median"))))))
     return rows.drop("__i", "__near")
 

@@ -1,5 +1,5 @@
 """Per-trace operators: native higher-order functions over (trace id, samples) rows, or numpy over a trace at a time. Only
-``semblance`` (by gather) and ``difference`` (a join) shuffle.
+``semblance`` (by gather), ``neighbour_scores`` (by record) and ``difference`` (a join) shuffle.
 
 Samples that are null or not finite count as 0 in sums but keep their place, unless an operator says otherwise.
 """
@@ -8,9 +8,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .survey import local_median
+
 
 def finite(x: Column) -> Column:
     return x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
@@ -86,24 +88,57 @@ def evidence(traces: DataFrame, id_col: str, samples_col: str, *kept: str, rail:
     return base.withColumn("crossing_rate", F.when(F.col("n_samples") > 1, F.col("crossings") / (F.col("n_samples") - 1)).otherwise(0.0)).drop("__x")
 
 
-# Thresholds of the classes by sensitivity.
+# Thresholds of the detectors by sensitivity, and the ratios that a loud or faint trace must also pass.
 THRESHOLDS = {
-    "low": {"dead": 0.01, "hot": 9.0, "weak": 7.0, "rail": 0.08},
-    "medium": {"dead": 0.02, "hot": 6.0, "weak": 5.0, "rail": 0.04},
-    "high": {"dead": 0.05, "hot": 4.0, "weak": 3.5, "rail": 0.02},
+    "low": {"flat": 0.004, "dead": 0.04, "noise": 10.0, "crossing": 0.40, "hot": 9.0, "weak": 9.0, "rail": 0.05},
+    "medium": {"flat": 0.010, "dead": 0.08, "noise": 8.0, "crossing": 0.34, "hot": 6.0, "weak": 6.0, "rail": 0.03},
+    "high": {"flat": 0.020, "dead": 0.15, "noise": 6.0, "crossing": 0.28, "hot": 4.0, "weak": 4.0, "rail": 0.015},
 }
+HOT_RATIO, WEAK_RATIO, FLOOR = 2.5, 0.4, 0.05
+
+
+def neighbour_scores(found: DataFrame, record: str, order: str, half: int = 6) -> DataFrame:
+    """evidence -> adds local_median, local_mad, local_n, rms_z and ratio of each trace against the live traces around it.
+
+    Neighbours are those within ``half`` places of the same record, without the trace itself; a trace is live if its std
+    is above 0. Without any the record's median stands in, and the score's floor is 5 % of that median. A record must fit a task."""
+    live = F.when((F.col("n_samples") > 0) & (F.col("std") > 0) & (F.col("peak") > 0), F.col("rms"))
+    whole = F.percentile("__live", F.lit(0.5)).over(Window.partitionBy(record))
+    rows = local_median(found.withColumn("__live", live), record, [order], "__live", half).withColumn("__whole", F.coalesce(whole, F.lit(0.0)))
+    rows = rows.withColumns({"local_median": F.coalesce("local_median", "__whole"), "local_mad": F.coalesce("local_mad", F.lit(0.0))})
+    spread = F.greatest(1.4826 * F.col("local_mad"), FLOOR * F.col("__whole"))
+    return rows.withColumns({
+        "rms_z": F.when(spread > 0, (F.col("rms") - F.col("local_median")) / spread).otherwise(0.0),
+        "ratio": F.when(F.col("local_median") > 0, F.col("rms") / F.col("local_median"))}).drop("__live", "__whole")
+
+
+def _within(x: Column) -> Column:
+    return F.when(x > 1, 1.0).when(x < 0, 0.0).otherwise(x)
 
 
 def classify(found: DataFrame, sensitivity: str = "medium") -> DataFrame:
-    """evidence with robust scores (z, ratio) -> class: dead, clipped, hot, weak or good; a dead trace is only dead."""
+    """neighbour_scores -> detectors (the array of those that fire), class (the worst, or good) and severity (0 to 1).
+
+    A dead trace is only dead. Of equal severities within 1e-9 clipped goes before noisy, noisy before amp. Needs at least
+    three live neighbours to call a trace dead by its level."""
     t = THRESHOLDS[sensitivity]
-    return found.withColumn(
-        "class",
-        F.when((F.col("n_samples") == 0) | (F.col("peak") <= 0) | (F.col("std") <= 0) | (F.col("ratio") < t["dead"]), "dead")
-        .when(F.col("rail_run") / F.col("n_samples") >= t["rail"], "clipped")
-        .when((F.col("z") >= t["hot"]) & (F.col("ratio") >= 2.5), "hot")
-        .when((F.col("z") <= -t["weak"]) & (F.col("ratio") <= 0.4), "weak")
-        .otherwise("good"))
+    flat = F.when(F.col("peak") > 0, F.col("std") / F.col("peak")).otherwise(1.0)
+    low = F.coalesce((F.col("local_n") >= 3) & (F.col("ratio") < t["dead"]), F.lit(False))
+    empty, still = F.col("n_samples") == 0, (F.col("peak") > 0) & (flat <= t["flat"])
+    dead = _within(F.greatest(F.when(F.col("peak") > 0, 1 - flat / t["flat"]).otherwise(0.0), F.when(low, 1 - F.col("ratio") / t["dead"]).otherwise(0.0), F.when(empty, 1.0).otherwise(0.0)))
+    noisy = (F.col("rms_z") >= t["noise"]) & (F.col("crossing_rate") >= t["crossing"])
+    hot = (F.col("rms_z") >= t["hot"]) & F.coalesce(F.col("ratio") >= HOT_RATIO, F.col("rms") > 0)
+    weak = (F.col("rms_z") <= -t["weak"]) & F.coalesce(F.col("ratio") <= WEAK_RATIO, F.lit(False))
+    railed = F.when(F.col("n_samples") > 0, F.col("rail_run") / F.col("n_samples")).otherwise(0.0)
+    one = lambda name, fired, severity: F.when(fired, F.struct(F.lit(name).alias("name"), _within(severity).alias("severity")))
+    others = F.array(
+        one("clipped", (F.col("peak") > 0) & (railed >= t["rail"]), railed / (2 * t["rail"])), one("noisy", noisy, F.col("rms_z") / t["noise"] - 1),
+        one("amp", hot | weak, F.abs("rms_z") / F.when(hot, t["hot"]).otherwise(t["weak"]) - 1))
+    fired = F.when(empty | still | low, F.array(one("dead", F.lit(True), dead))).otherwise(F.array_compact(others))
+    nothing = F.struct(F.lit("good").alias("name"), F.lit(-1.0).alias("severity"))
+    worst = F.aggregate("__fired", nothing, lambda a, d: F.when(d["severity"] > a["severity"] + 1e-9, d).otherwise(a))
+    out = found.withColumn("__fired", fired).withColumn("__worst", worst)
+    return out.withColumns({"detectors": F.transform("__fired", lambda d: d["name"]), "class": F.col("__worst.name"), "severity": F.greatest(F.col("__worst.severity"), F.lit(0.0))}).drop("__fired", "__worst")
 
 
 def gain_tpow(xs: Column, dt: float, t0: float, power: float) -> Column:

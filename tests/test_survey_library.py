@@ -203,3 +203,19 @@ def test_gain_and_picks_against_plain_loops():
             if want is None and e[i - 2 : i + 1].mean() / max(long.mean() if len(long) else 0, 1e-4 * e.mean(), 1e-12) >= 2.5:
                 want = i
         assert traces.first_pick(xs, 3, 12, 2.5, 7) == want
+
+
+def test_detectors(spark):
+    def trace(i):
+        x = np.sin(np.arange(100) * 0.3) * (1 + i % 3 * 0.01)
+        return {3: x * 1e-3, 5: x * 0.3, 7: x * 50, 9: np.clip(x, -0.2, 0.2), 11: np.zeros(100), 13: np.array([]), 15: 20 * np.where(np.arange(100) % 2, 1.0, -1.0) * (1 + 0.02 * np.arange(100))}.get(i, x)
+
+    # One sample of three is a run of a third of the trace, so the short one counts as clipped.
+    rows = [(1, i, trace(i).tolist()) for i in range(30)] + [(2, 100, [1.0, 2.0, -1.0]), (2, 101, None), (3, 200, [0.0, 0.0])]
+    df = spark.createDataFrame(rows, "record int, id int, xs array<double>")
+    found = {r.id: r for r in traces.classify(traces.neighbour_scores(traces.evidence(df, "id", "xs", "record"), "record", "id")).collect()}
+    assert len(found) == len(rows) and {i: found[i]["class"] for i in (3, 5, 7, 9, 11, 13)} == {3: "dead", 5: "amp", 7: "amp", 9: "clipped", 11: "dead", 13: "dead"}
+    assert set(found[15].detectors) == {"clipped", "noisy", "amp"} - ({"clipped"} if found[15].rail_run < 3 else set()) and found[15].severity == 1
+    assert found[0]["class"] == "good" and found[0].detectors == [] and found[0].severity == 0
+    assert found[100]["class"] == "clipped" and found[101]["class"] == "dead" and found[200]["class"] == "good"
+    assert all(0 <= r.severity <= 1 for r in found.values())
