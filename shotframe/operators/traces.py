@@ -119,12 +119,12 @@ def _within(x: Column) -> Column:
 def classify(found: DataFrame, sensitivity: str = "medium") -> DataFrame:
     """neighbour_scores -> detectors (the array of those that fire), class (the worst, or good) and severity (0 to 1).
 
-    A dead trace is only dead. Of equal severities within 1e-9 clipped goes before noisy, noisy before amp. Needs at least
+    A dead trace is only dead; one without samples (or null) is dead. Of equal severities within 1e-9 clipped goes before noisy, noisy before amp. Needs at least
     three live neighbours to call a trace dead by its level."""
     t = THRESHOLDS[sensitivity]
     flat = F.when(F.col("peak") > 0, F.col("std") / F.col("peak")).otherwise(1.0)
     low = F.coalesce((F.col("local_n") >= 3) & (F.col("ratio") < t["dead"]), F.lit(False))
-    empty, still = F.col("n_samples") == 0, (F.col("peak") > 0) & (flat <= t["flat"])
+    empty, still = F.coalesce(F.col("n_samples") <= 0, F.lit(True)), (F.col("peak") > 0) & (flat <= t["flat"])
     dead = _within(F.greatest(F.when(F.col("peak") > 0, 1 - flat / t["flat"]).otherwise(0.0), F.when(low, 1 - F.col("ratio") / t["dead"]).otherwise(0.0), F.when(empty, 1.0).otherwise(0.0)))
     noisy = (F.col("rms_z") >= t["noise"]) & (F.col("crossing_rate") >= t["crossing"])
     hot = (F.col("rms_z") >= t["hot"]) & F.coalesce(F.col("ratio") >= HOT_RATIO, F.col("rms") > 0)
