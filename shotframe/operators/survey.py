@@ -178,3 +178,40 @@ def robust_z(rows: DataFrame, value: str, group: str, *groups: str) -> DataFrame
     spread = at.withColumn("__d", F.abs(F.col(value) - F.col("centre"))).groupBy(*groups).agg(F.expr("percentile(__d, 0.5)").alias("mad"))
     at = at.join(spread, list(groups))
     return at.withColumn("z", F.when(F.col("mad") > 0, (F.col(value) - F.col("centre")) / (1.4826 * F.col("mad"))).otherwise(0.0))
+
+
+# The kinds of plan findings by severity.
+PLAN_FINDINGS = {"short-line": "error", "coincident": "error", "dup-station": "error", "no-station": "error", "outlier": "warn", "interval": "warn", "monotonic": "warn", "elevation": "warn", "dup-station-cross": "info"}
+
+
+def check_plan(points: DataFrame, line: str, order: str, x: str, y: str, station: str, elevation: str, percent: float = 15.0, same: float = 0.5, factor: float = 10.0, preplot: bool = False) -> DataFrame:
+    """(line, pos, category, severity, n) of a plan's points in their order: every finding at its point, those of a whole line at its first.
+
+    Steps to the point before: within ``same`` coincident, over ``factor`` medians of the line outlier, off the median by over
+    ``percent`` interval (one of the three). dup-station is a number seen earlier on the line, monotonic a line's first fall
+    below the last known number, elevation outside -500 to 9000. Lines of one point are short; a preplot's points without a
+    number are counted. The numbers that several lines share come as one row of info without a line. Null coordinates
+    give no step; null numbers are skipped. A line must fit a task; ties of the order are broken by the coordinates."""
+    w = Window.partitionBy(line).orderBy(order, x, y, station, elevation)
+    before, whole = w.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(line)
+    number, height, step = F.col(station).cast("double"), F.col(elevation), F.sqrt(F.pow(F.col(x) - F.lag(x).over(w), F.lit(2.0)) + F.pow(F.col(y) - F.lag(y).over(w), F.lit(2.0)))
+    number = F.when(~F.isnan(number), number)
+    rows = points.select(
+        F.col(line).alias("line"), F.col(order).alias("pos"), F.when(~F.isnan(step), step).alias("step"), number.alias("number"), height.alias("height"), F.row_number().over(w).alias("place"),
+        F.last(number, ignorenulls=True).over(before).alias("known"), F.row_number().over(Window.partitionBy(line, station).orderBy(order, x, y, elevation)).alias("seen"), F.count(F.lit(1)).over(whole).alias("size"))
+    rows = rows.withColumns({"falls": F.coalesce(F.col("number") < F.col("known"), F.lit(False)), "middle": F.percentile("step", F.lit(0.5)).over(Window.partitionBy("line"))})
+    rows = rows.withColumns({
+        "fallen": F.count_if("falls").over(Window.partitionBy("line").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)),
+        "bare": F.count_if(F.col("number").isNull()).over(Window.partitionBy("line"))})
+    off = F.when(F.col("step") <= same, "coincident").when(F.col("middle") > 0, F.when(F.col("step") > factor * F.col("middle"), "outlier").when(F.abs(F.col("step") - F.col("middle")) > percent / 100 * F.col("middle"), "interval"))
+    one = lambda test, name, n=F.lit(1): F.when(test, F.struct(F.lit(name).alias("category"), n.cast("long").alias("n")))
+    found = F.array_compact(F.array(
+        F.when(off.isNotNull(), F.struct(off.alias("category"), F.lit(1).cast("long").alias("n"))), one(F.col("number").isNotNull() & (F.col("seen") > 1), "dup-station"),
+        one(F.col("falls") & (F.col("fallen") == 1), "monotonic"), one((F.col("height") < -500) | (F.col("height") > 9000), "elevation"), one(F.col("size") < 2, "short-line"),
+        one(F.lit(preplot) & (F.col("place") == 1) & (F.col("bare") > 0), "no-station", F.col("bare"))))
+    each = rows.select("line", "pos", F.explode(found).alias("f")).select("line", "pos", "f.category", "f.n")
+    shared = points.select(number.alias("number"), line).where("number IS NOT NULL").groupBy("number").agg((F.min(line) < F.max(line)).alias("several")).agg(F.count_if("several").alias("n")).where("n > 0")
+    none = {f.name: f.dataType for f in each.schema.fields}
+    shared = shared.select(F.lit(None).cast(none["line"]).alias("line"), F.lit(None).cast(none["pos"]).alias("pos"), F.lit("dup-station-cross").alias("category"), "n")
+    severity = F.create_map(*[F.lit(v) for pair in PLAN_FINDINGS.items() for v in pair])
+    return each.unionByName(shared).withColumn("severity", severity[F.col("category")])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shotframe.functions import scalars
-from shotframe.operators import reports
+from shotframe.operators import reports, survey
 
 from .portfolio import query, table
 
@@ -130,3 +130,22 @@ n AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY p_partkey) AS nth
 SELECT p_partkey, CASE WHEN nth = 1 THEN base ELSE substr(base, 1, 10 - length(CAST(nth AS VARCHAR))) || CAST(nth AS VARCHAR) END AS safe FROM n""")
 def dbf_names(spark, d):
     return reports.dbf_names(table(spark, d, "part"), "p_name", "p_partkey").select("p_partkey", "safe")
+
+
+@query("""WITH p AS (SELECT user_id AS line, event_id AS pos, value * CASE WHEN event_id % 97 = 0 THEN 60 ELSE 1 END AS x, event_id / 100.0::DOUBLE AS y, CASE WHEN event_id % 13 > 0 THEN event_id // 3 % 3000 END AS st, value * 30 - 600 AS h
+  FROM events WHERE event_id % 500 > 0 OR user_id % 2 = 0 UNION ALL SELECT -1, -1, 0.0, 0.0, 1, 0.0),
+s AS (SELECT *, sqrt((x - lag(x) OVER w) ** 2 + (y - lag(y) OVER w) ** 2) AS d, last_value(st IGNORE NULLS) OVER (PARTITION BY line ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS known,
+  row_number() OVER w AS place, row_number() OVER (PARTITION BY line, st ORDER BY pos) AS seen, count(*) OVER (PARTITION BY line) AS size, count(*) FILTER (st IS NULL) OVER (PARTITION BY line) AS bare FROM p WINDOW w AS (PARTITION BY line ORDER BY pos)),
+m AS (SELECT *, median(d) OVER (PARTITION BY line) AS mid FROM s), falls AS (SELECT line, min(pos) AS pos FROM s WHERE st < known GROUP BY line),
+f AS (SELECT line, pos, CASE WHEN d <= 2 THEN 'coincident' WHEN d > 10 * mid THEN 'outlier' ELSE 'interval' END AS category, 1 AS n FROM m WHERE d <= 2 OR (mid > 0 AND (d > 10 * mid OR abs(d - mid) > 0.5::DOUBLE * mid))
+  UNION ALL SELECT line, pos, 'dup-station', 1 FROM s WHERE st IS NOT NULL AND seen > 1 UNION ALL SELECT line, pos, 'monotonic', 1 FROM falls UNION ALL SELECT line, pos, 'elevation', 1 FROM s WHERE h < -500 OR h > 9000
+  UNION ALL SELECT line, pos, 'short-line', 1 FROM s WHERE size < 2 UNION ALL SELECT line, pos, 'no-station', bare FROM s WHERE place = 1 AND bare > 0
+  UNION ALL SELECT NULL, NULL, 'dup-station-cross', n FROM (SELECT count(*) AS n FROM (SELECT st FROM p WHERE st IS NOT NULL GROUP BY st HAVING count(DISTINCT line) > 1)) WHERE n > 0)
+SELECT CAST(line AS BIGINT) AS line, CAST(pos AS BIGINT) AS pos, category, CAST(n AS BIGINT) AS n, CASE WHEN category IN ('short-line', 'coincident', 'dup-station', 'no-station') THEN 'error' WHEN category = 'dup-station-cross' THEN 'info' ELSE 'warn' END AS severity FROM f""")
+def plan_check(spark, d):
+    e = table(spark, d, "events").where("event_id % 500 > 0 OR user_id % 2 = 0")
+    x = F.col("value") * F.when(F.col("event_id") % 97 == 0, 60).otherwise(1)
+    points = e.select(F.col("user_id").cast("long").alias("line"), F.col("event_id").cast("long").alias("pos"), x.alias("x"), (F.col("event_id") / 100.0).alias("y"), F.when(F.col("event_id") % 13 > 0, F.floor(F.col("event_id") / 3) % 3000).cast("long").alias("st"),
+                      (F.col("value") * 30 - 600).alias("h"))
+    lone = spark.range(1).selectExpr("-1L AS line", "-1L AS pos", "0D AS x", "0D AS y", "1L AS st", "0D AS h")
+    return survey.check_plan(points.unionByName(lone), "line", "pos", "x", "y", "st", "h", percent=50.0, same=2.0, preplot=True)

@@ -33,7 +33,7 @@ def plain(df: pd.DataFrame) -> list:
     return sorted(out)
 
 
-@pytest.mark.parametrize("name", ["trace_evidence", "agc_median", "sta_lta_pick", "trace_xcorr_best_lag", "local_median_mad", "fold_map", "skid_report", "manifest_diff_both", "spatial_nearest", "idw_surface", "trigger_collapse", "events_as_of", "utm_forward", "param_match", "csv_split", "field_text", "field_quoting", "field_times", "header_scalars", "chosen_scalars", "worst_offenders", "max_offset_check", "tombstone_records", "dbf_names", "line_lengths"])
+@pytest.mark.parametrize("name", ["trace_evidence", "agc_median", "sta_lta_pick", "trace_xcorr_best_lag", "local_median_mad", "fold_map", "skid_report", "manifest_diff_both", "spatial_nearest", "idw_surface", "trigger_collapse", "events_as_of", "utm_forward", "param_match", "csv_split", "plan_check", "trace_classes", "trigger_parse_line", "trigger_parse_json", "qc_range_check", "field_text", "field_quoting", "field_times", "header_scalars", "chosen_scalars", "worst_offenders", "max_offset_check", "tombstone_records", "dbf_names", "line_lengths"])
 def test_parity(spark, duck, name):
     got, want = portfolio.queries()[name](spark, SF).toPandas(), duck.execute(portfolio.oracle_sql()[name]).df()
     assert sorted(got.columns) == sorted(want.columns) and len(got) == len(want)
@@ -219,3 +219,17 @@ def test_detectors(spark):
     assert found[0]["class"] == "good" and found[0].detectors == [] and found[0].severity == 0
     assert found[100]["class"] == "clipped" and found[101]["class"] == "dead" and found[200]["class"] == "good"
     assert all(0 <= r.severity <= 1 for r in found.values())
+
+
+def test_plan_check(spark):
+    names = "line string, k long, x double, y double, st long, h double, seen int"
+    walk = [("A", i, 25.0 * i, 0.0, i + 1, 10.0, 0) for i in range(12)]
+    walk[3] = ("A", 3, 50.2, 0.0, 2, 9500.0, 0)  # as good as at the point before, a number seen before, too high
+    walk[8] = ("A", 8, 9000.0, 0.0, None, None, 0)
+    walk[9] = ("A", 9, None, 0.0, 10, 1.0, 0)
+    df = spark.createDataFrame([*walk, ("B", 0, 0.0, 0.0, 1, 0.0, 0)], names)
+    got = {(r.line, r.pos, r.category): (r.severity, r.n) for r in survey.check_plan(df, "line", "k", "x", "y", "st", "h", preplot=True).collect()}
+    assert got.pop((None, None, "dup-station-cross")) == ("info", 1) and got.pop(("A", 0, "no-station")) == ("error", 1) and got.pop(("B", 0, "short-line")) == ("error", 1)
+    assert got == {("A", 3, "coincident"): ("error", 1), ("A", 3, "dup-station"): ("error", 1), ("A", 3, "monotonic"): ("warn", 1), ("A", 3, "elevation"): ("warn", 1),
+                   ("A", 4, "interval"): ("warn", 1), ("A", 8, "outlier"): ("warn", 1)}
+    assert survey.check_plan(df.limit(0), "line", "k", "x", "y", "st", "h").count() == 0
