@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, classifier, decontaminate, mixing, neardup, pieces, quality, sharding, suffixes, urls
+from . import chat, classifier, decontaminate, importance, mixing, neardup, pieces, quality, sharding, suffixes, urls
 from .common import doc_fold, sha, table
 
 
@@ -167,9 +167,53 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (doc_fold(F.col("doc_id"), classifier.FOLDS) == 0).alias("held_out"), "score", (F.col("score") >= classifier.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def bigram_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same draw by runs of one and two words."""
+    found = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), orders=(1, 2))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+#: The table of crc32's bytes and the crc32 of a text's UTF-8 bytes.
+_CRC_TABLE = """step(i, k, v) AS (SELECT i, 0, CAST(i AS BIGINT) FROM range(256) r(i) UNION ALL SELECT i, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM step WHERE k < 8),
+crc AS (SELECT list(v ORDER BY i) AS tab FROM step WHERE k = 8)"""
+
+
+def _crc(text: str) -> str:
+    numbers = f"list_transform(range(0, octet_length(encode({text}))), lambda j: CAST('0x' || substr(hex(encode({text})), CAST(2 * j + 1 AS INTEGER), 2) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {numbers}), lambda a, b: xor(a >> 8, tab[1 + (xor(a, b) & 255)])), 4294967295)"
+
+
+def _op11_sql(orders: tuple[int, ...]) -> str:
+    m = importance.BUCKETS
+    grams = " UNION ALL ".join(f"SELECT side, doc_id, array_to_string(list_slice(w, i, i + {n - 1}), ' ') AS g FROM a, generate_series(1, len(w) - {n - 1}) r(i)" for n in orders)
+    return f"""
+WITH RECURSIVE {_CRC_TABLE},
+a AS (SELECT side, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w
+      FROM (SELECT 0 AS side, doc_id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark)),
+f AS ({grams}),
+u AS (SELECT g, {_crc("g")} % {m} AS bucket FROM (SELECT DISTINCT g FROM f), crc),
+c AS (SELECT bucket, count(*) FILTER (side = 0) AS s, count(*) FILTER (side = 1) AS t FROM f JOIN u USING (g) GROUP BY bucket),
+k AS (SELECT bucket, CAST(floor(1000 * ln((CAST(t + 1 AS DOUBLE) * CAST((SELECT sum(s) FROM c) + {m} AS DOUBLE)) / (CAST(s + 1 AS DOUBLE) * CAST((SELECT sum(t) FROM c) + {m} AS DOUBLE)))) AS BIGINT) AS gain FROM c),
+x AS (SELECT doc_id, count(*) AS n_features, CAST(floor(sum(gain) / count(*)) AS BIGINT) AS weight FROM f JOIN u USING (g) JOIN k USING (bucket) WHERE side = 0 GROUP BY doc_id),
+y AS (SELECT doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+             coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('{importance.SEED}:' || CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) + 0.5) / CAST(4294967296 AS DOUBLE)))) AS BIGINT) AS score
+      FROM a LEFT JOIN x USING (doc_id) WHERE side = 0),
+z AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, {importance.PERCENT} * count(*) OVER () // 100 AS drawn FROM y WHERE n_words >= {importance.MIN_WORDS})
+SELECT y.doc_id, CAST(n_features AS BIGINT) AS n_features, weight, score, CASE WHEN rank <= drawn THEN rank END AS rank FROM y LEFT JOIN z ON y.doc_id = z.doc_id
+"""
+
+
+OP11_SQL, BIGRAM_SQL = _op11_sql((1,)), _op11_sql((1, 2))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_chat_formatting, op2_minhash_near_dedup, op3_url_filters, op4_quality_rules, op5_benchmark_decontamination, op6_suffix_array_dedup, op7_sentencepiece, op8_extendible_sharding, small_shards, op9_lm_scoring, op10_quality_classifier)}
+    return {f.__name__: f for f in (op1_chat_formatting, op2_minhash_near_dedup, op3_url_filters, op4_quality_rules, op5_benchmark_decontamination, op6_suffix_array_dedup, op7_sentencepiece, op8_extendible_sharding, small_shards, op9_lm_scoring, op10_quality_classifier, op11_importance_resampling, bigram_resampling)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": OP1_SQL, "op2_minhash_near_dedup": OP2_SQL, "op5_benchmark_decontamination": OP5_SQL, "op6_suffix_array_dedup": OP6_SQL, "op3_url_filters": OP3_SQL, "op8_extendible_sharding": OP8_SQL, "small_shards": OP8_SQL.replace(str(sharding.SHARD_BYTES), str(SMALL_SHARD))}
+    return {"op1_chat_formatting": OP1_SQL, "op2_minhash_near_dedup": OP2_SQL, "op5_benchmark_decontamination": OP5_SQL, "op6_suffix_array_dedup": OP6_SQL, "op3_url_filters": OP3_SQL, "op8_extendible_sharding": OP8_SQL, "op11_importance_resampling": OP11_SQL, "bigram_resampling": BIGRAM_SQL, "small_shards": OP8_SQL.replace(str(sharding.SHARD_BYTES), str(SMALL_SHARD))}
