@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, classifier, decontaminate, importance, mixing, neardup, pieces, quality, sharding, suffixes, urls
+from . import chat, classifier, decontaminate, importance, mixing, neardup, pieces, quality, repair, sharding, suffixes, toxicity, urls
 from .common import doc_fold, sha, table
 
 
@@ -211,9 +211,77 @@ SELECT y.doc_id, CAST(n_features AS BIGINT) AS n_features, weight, score, CASE W
 OP11_SQL, BIGRAM_SQL = _op11_sql((1,)), _op11_sql((1, 2))
 
 
+def damaged(rows: DataFrame) -> DataFrame:
+    """conversations after the contract's damage; a dropped row stays with alive false, to name its conversation."""
+    text_of = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    kind = F.crc32(F.concat(text_of("conv_id"), F.lit(":"), text_of("turn")).cast("binary")) % 20
+    named = rows.select("conv_id", "turn", text_of("role").alias("role"), text_of("text").alias("text"), kind.alias("kind"))
+    text = F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    role = F.when(F.col("kind") == 4, repair.USER).otherwise(F.col("role"))
+    return named.select("conv_id", "turn", role.alias("role"), text.alias("text"), (F.col("kind") != 0).alias("alive"), F.explode(F.when(F.col("kind") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy")).drop("copy")
+
+
+def op12_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repair.repair(damaged(table(spark, sf_dir, "conversations")), present="alive")
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit(":"), t["text"])), "\n")
+    return out.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", sha(said).alias("repaired_sha256"))
+
+
+# In SQL a signature's costs are found from its end (c0, c1, c2, c3: the cheapest rest after nothing, a system row, a user's, an
+# assistant's) and its audit from its beginning, taking the least letter that stays on a cheapest path.
+OP12_SQL = f"""
+WITH RECURSIVE {_CRC_TABLE},
+k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_crc("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS kind FROM conversations, crc),
+d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+      FROM k, (VALUES (0), (1)) c(copy) WHERE kind <> 0 AND (copy = 0 OR kind = 3)),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM d),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS nth, regexp_extract(text, '([^\\x20\\x09-\\x0D])[\\x20\\x09-\\x0D]*$', 1) AS last FROM n),
+f AS (SELECT conv_id, turn, role, text, i, CASE WHEN last = '' THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN last NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault, role[1] AS initial,
+             lag(role[1]) OVER (PARTITION BY conv_id ORDER BY i) || role[1] AS pair FROM o),
+g AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+             count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal,
+             string_agg(CASE WHEN fault IN ('blank', 'duplicate') THEN 'x' WHEN initial NOT IN ('s', 'u', 'a') THEN CASE fault WHEN 'truncated' THEN 'O' ELSE 'o' END WHEN fault = 'truncated' THEN upper(initial) ELSE initial END, '' ORDER BY i) AS sig
+      FROM f GROUP BY conv_id),
+s AS (SELECT DISTINCT sig, length(sig) AS n FROM g),
+b(sig, i, c0, c1, c2, c3) AS (
+  SELECT sig, n + 1, 0, 4, 2, 0 FROM s
+  UNION ALL SELECT sig, i, least(e0, 2 + e2, 4 + e3), least(e1, 2 + e2, 4 + e3), least(e2, 2 + e3), least(e3, 2 + e2) FROM (
+    SELECT sig, i - 1 AS i,
+      least(3 + c0, CASE WHEN x = 'x' THEN 999999999 ELSE cut + CASE WHEN r = 'u' THEN 0 ELSE 2 END + c2 END, CASE WHEN r = 's' THEN cut + c1 ELSE 999999999 END) AS e0,
+      least(3 + c1, CASE WHEN x = 'x' THEN 999999999 ELSE cut + CASE WHEN r = 'u' THEN 0 ELSE 2 END + c2 END) AS e1,
+      least(3 + c2, CASE WHEN x = 'x' THEN 999999999 ELSE cut + CASE WHEN r = 'a' THEN 0 ELSE 2 END + c3 END) AS e2,
+      least(3 + c3, CASE WHEN x = 'x' THEN 999999999 ELSE cut + CASE WHEN r = 'u' THEN 0 ELSE 2 END + c2 END) AS e3
+    FROM (SELECT *, sig[i - 1] AS x, lower(sig[i - 1]) AS r, CASE WHEN sig[i - 1] <> lower(sig[i - 1]) THEN 1 ELSE 0 END AS cut FROM b WHERE i > 1) p) q),
+t AS (SELECT sig, i, [c0, c1, c2, c3] AS c FROM b),
+w(sig, i, q, audit) AS (
+  SELECT sig, 1, 1, '' FROM s
+  UNION ALL SELECT sig, CASE WHEN e = 'I' THEN i ELSE i + 1 END, CASE WHEN e = 'D' THEN q WHEN e = 'K' AND r = 's' THEN 2 ELSE after END, audit || e FROM (
+    SELECT w.sig, w.i, w.q, w.audit, m.after, m.want, m.r,
+      CASE WHEN m.x <> '' AND u.c[w.q] + 3 = t.c[w.q] THEN 'D' WHEN t.c[m.after] + 2 = t.c[w.q] THEN 'I'
+           WHEN (m.r = m.want AND u.c[m.after] + m.cut = t.c[w.q]) OR (m.r = 's' AND w.q = 1 AND u.c[2] + m.cut = t.c[w.q]) THEN 'K' ELSE 'R' END AS e
+    FROM w JOIN t ON w.sig = t.sig AND w.i = t.i LEFT JOIN t u ON w.sig = u.sig AND w.i + 1 = u.i,
+      LATERAL (SELECT CASE WHEN w.q = 3 THEN 4 ELSE 3 END AS after, CASE WHEN w.q = 3 THEN 'a' ELSE 'u' END AS want, w.sig[w.i] AS x, lower(w.sig[w.i]) AS r, CASE WHEN w.sig[w.i] <> lower(w.sig[w.i]) THEN 1 ELSE 0 END AS cut) m
+    WHERE w.i <= length(w.sig) OR w.q IN (2, 3)) v),
+z AS (SELECT w.sig, w.audit, t.c[1] AS cost FROM w JOIN t ON w.sig = t.sig AND t.i = 1 WHERE w.i = length(w.sig) + 1 AND w.q IN (1, 4)),
+l AS (SELECT sig, audit, j, audit[j] AS e, count(*) FILTER (audit[j] <> 'I') OVER (PARTITION BY sig ORDER BY j) AS i, count(*) FILTER (audit[j] <> 'D') OVER (PARTITION BY sig ORDER BY j) AS p
+      FROM z, generate_series(1, length(audit)) y(j)),
+h AS (SELECT g.conv_id, string_agg(CASE WHEN e = 'K' THEN f.role WHEN (p - CASE WHEN led THEN 1 ELSE 0 END) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN e = 'I' THEN '' ELSE f.text END, chr(10) ORDER BY j) AS said
+      FROM (SELECT *, bool_or(e = 'K' AND p = 1 AND lower(sig[i]) = 's') OVER (PARTITION BY sig) AS led FROM l) l JOIN g ON g.sig = l.sig LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM g.conv_id AND f.i = l.i WHERE e <> 'D' GROUP BY g.conv_id)
+SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       CAST(coalesce(cost, 0) AS BIGINT) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(said, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN z ON z.sig = g.sig LEFT JOIN h ON h.conv_id IS NOT DISTINCT FROM a.conv_id
+"""
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    scored = toxicity.classify(docs, labels, lambda doc_id: doc_fold(doc_id, toxicity.FOLDS) != 0)
+    return scored.select("doc_id", (doc_fold(F.col("doc_id"), toxicity.FOLDS) == 0).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_chat_formatting, op2_minhash_near_dedup, op3_url_filters, op4_quality_rules, op5_benchmark_decontamination, op6_suffix_array_dedup, op7_sentencepiece, op8_extendible_sharding, small_shards, op9_lm_scoring, op10_quality_classifier, op11_importance_resampling, bigram_resampling)}
+    return {f.__name__: f for f in (op1_chat_formatting, op2_minhash_near_dedup, op3_url_filters, op4_quality_rules, op5_benchmark_decontamination, op6_suffix_array_dedup, op7_sentencepiece, op8_extendible_sharding, small_shards, op9_lm_scoring, op10_quality_classifier, op11_importance_resampling, bigram_resampling, op12_structure_repair, op13_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": OP1_SQL, "op2_minhash_near_dedup": OP2_SQL, "op5_benchmark_decontamination": OP5_SQL, "op6_suffix_array_dedup": OP6_SQL, "op3_url_filters": OP3_SQL, "op8_extendible_sharding": OP8_SQL, "op11_importance_resampling": OP11_SQL, "bigram_resampling": BIGRAM_SQL, "small_shards": OP8_SQL.replace(str(sharding.SHARD_BYTES), str(SMALL_SHARD))}
+    return {"op1_chat_formatting": OP1_SQL, "op2_minhash_near_dedup": OP2_SQL, "op5_benchmark_decontamination": OP5_SQL, "op6_suffix_array_dedup": OP6_SQL, "op3_url_filters": OP3_SQL, "op8_extendible_sharding": OP8_SQL, "op11_importance_resampling": OP11_SQL, "bigram_resampling": BIGRAM_SQL, "op12_structure_repair": OP12_SQL, "small_shards": OP8_SQL.replace(str(sharding.SHARD_BYTES), str(SMALL_SHARD))}
