@@ -6,8 +6,9 @@ substitutions has a hit: 11 and 12 words (whole items, both ends of which agree)
 with 3, 20 with 4 and 25 with 5, thus all lengths from 13 to 25; a longer overlap parts into such lengths, of which one has
 at most 20 %. Items shorter than the longest mask have masks of their own length, which leave out every place (of 10
 words: every two places) between the ends. Seeds of documents meet those of items by an equi-join; each hit's
-diagonal is then verified on a window of words around it: an overlap counts if it has MIN_OVERLAP words (or the whole of
-a shorter item) and at least IDENTITY of them agree.
+diagonal is then verified on a window of words that reaches as far as the longest item with that seed, so that the window holds
+all of the diagonal: an overlap counts if it has MIN_OVERLAP words (or the whole of a shorter item) and at least IDENTITY of
+them agree, whatever the length of the stretches that don't.
 
 Items are a query set: they are taken in blocks of at most MAX_SEEDS seeds, whose hashes go to every task as a filter;
 segments of documents without any hit never leave their task. Segments of equal texts are verified once.
@@ -39,8 +40,6 @@ SHORT_MASKS = {
     10: ("1000001111", "1000010111", "1000111001", "1111000001"),
 }
 MIN_OVERLAP, IDENTITY, MIN_ITEM = 13, 0.8, 5
-#: Words on either side of a hit that its verification looks at.
-AROUND = 48
 MAX_SEEDS = 1 << 20
 _SPAN = max(map(len, MASKS))
 
@@ -86,8 +85,8 @@ def _word_hashes(texts: pd.Series, hashes: WordHashes) -> Iterator[np.ndarray]:
         yield from np.split(h, np.cumsum(size)[:-1])
 
 
-def _scanner(known: np.ndarray, short: list[int]):
-    """Segments of words around the hits of the sorted seed hashes ``known``."""
+def _scanner(known: np.ndarray, reach: np.ndarray, short: list[int]):
+    """Segments of words around the hits of the sorted seed hashes ``known``, each as wide as its longest item (``reach``)."""
     bits = np.zeros(1 << 23, bool)
     bits[(known & np.uint64((1 << 23) - 1)).astype(np.int64)] = True
 
@@ -96,21 +95,24 @@ def _scanner(known: np.ndarray, short: list[int]):
         for part in parts:
             out = []
             for doc_id, digest, h in zip(part["doc_id"], part["digest"], _word_hashes(part["text"], hashes), strict=True):
-                at, which = [], []
+                at, which, wide = [], [], []
                 for salt, shape in shapes(short):
                     s = _seeds(h, shape, salt)
                     maybe = np.flatnonzero(bits[(s & np.uint64((1 << 23) - 1)).astype(np.int64)])
-                    maybe = maybe[known[np.minimum(np.searchsorted(known, s[maybe]), len(known) - 1)] == s[maybe]]
-                    at.append(maybe)
-                    which.append(s[maybe])
-                at, which = np.concatenate(at), np.concatenate(which)
+                    nth = np.minimum(np.searchsorted(known, s[maybe]), len(known) - 1)
+                    true = known[nth] == s[maybe]
+                    at.append(maybe[true])
+                    which.append(s[maybe[true]])
+                    wide.append(reach[nth[true]])
+                at, which, wide = np.concatenate(at), np.concatenate(which), np.concatenate(wide)
                 if not len(at):
                     continue
-                by = np.argsort(at, kind="stable")
-                at, which = at[by], which[by]
-                for hits in np.split(np.arange(len(at)), np.flatnonzero(np.diff(at) > 2 * AROUND) + 1):
-                    begin = max(0, at[hits[0]] - AROUND)
-                    words = h[begin : at[hits[-1]] + _SPAN + AROUND].view(np.int64)
+                begins = np.maximum(0, at - wide)
+                by = np.argsort(begins, kind="stable")
+                at, which, begins, ends = at[by], which[by], begins[by], np.maximum.accumulate((at + wide)[by])
+                for hits in np.split(np.arange(len(at)), np.flatnonzero(begins[1:] >= ends[:-1]) + 1):
+                    begin = int(begins[hits[0]])
+                    words = h[begin : ends[hits[-1]]].view(np.int64)
                     out.append((doc_id, digest, begin, words, [{"h": int(x), "p": int(p - begin)} for x, p in zip(which[hits].view(np.int64), at[hits], strict=True)]))
             yield pd.DataFrame(out, columns=["doc_id", "digest", "start", "words", "hits"])
 
@@ -155,11 +157,13 @@ def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col
     for b in range(blocks):
         block = known.where(F.pmod(F.xxhash64("words"), F.lit(blocks)) == b) if blocks > 1 else known
         # Of a block of the query set only: its seed hashes and the few lengths of short items.
-        hashes = block.select(F.explode("seeds.h").alias("h")).distinct().toPandas()["h"].to_numpy(np.int64)
+        hashes = block.select(F.explode("seeds.h").alias("h"), F.size("words").alias("n")).groupBy("h").agg(F.max("n").alias("reach")).toPandas()
         short = sorted(r["n"] for r in block.where(F.size("words") < _SPAN).select(F.size("words").alias("n")).distinct().collect())
         if not len(hashes):
             continue
-        scan = _scanner(np.sort(hashes.view(np.uint64)), short)
+        h, reach = hashes["h"].to_numpy(np.int64).view(np.uint64), hashes["reach"].to_numpy(np.int64)
+        by = np.argsort(h)
+        scan = _scanner(h[by], reach[by], short)
         segments = written(base.mapInPandas(releasing(scan), f"doc_id {kind}, digest binary, start long, words array<long>, hits array<struct<h: long, p: int>>"), "segments")
         once = segments.select("digest", "start", "words", "hits").dropDuplicates(["digest", "start"])
         seeds = block.select("item_id", F.explode("seeds").alias("s")).select("item_id", F.col("s.h").alias("h"), F.col("s.q").alias("q"))
