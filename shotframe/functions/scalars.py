@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import functools
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 INT16, INT32 = 2**15 - 1, 2**31 - 1
@@ -14,12 +16,14 @@ def half_up(v: Column, places: int = 0) -> Column:
 
 
 def fixed(v: Column, places: int) -> Column:
-    return half_up(v, places).cast(f"decimal(20,{places})").cast("string")
+    """With so many decimals; halves go away from zero, and what is below zero keeps its sign."""
+    return F.concat(F.when(v < 0, "-").otherwise(""), half_up(F.abs(v), places).cast(f"decimal(38,{places})").cast("string"))
 
 
 def fit_number(v: Column, width: int) -> Column:
-    """With two decimals, else one, else none: the first that fits the width."""
-    return F.when(F.length(fixed(v, 2)) <= width, fixed(v, 2)).when(F.length(fixed(v, 1)) <= width, fixed(v, 1)).otherwise(fixed(v, 0))
+    """Exactly width characters, to the right: with two decimals, else one, else none; at last cut off on the right."""
+    shown = F.when(F.length(fixed(v, 2)) <= width, fixed(v, 2)).when(F.length(fixed(v, 1)) <= width, fixed(v, 1)).otherwise(fixed(v, 0))
+    return F.lpad(shown, width, " ")
 
 
 def csv_cell(v: Column) -> Column:
@@ -45,14 +49,16 @@ def column_letter(i: Column) -> Column:
 
 
 def clean_message(v: Column) -> Column:
-    """The first 512 characters without control characters and outer blanks; null if nothing is left."""
-    kept = F.trim(F.regexp_replace(F.substring(v, 1, 512), "[\\x00-\\x1F\\x7F]", ""))
-    return F.when(kept != "", kept)
+    """Line ends as blanks, without other control characters but tabs and without outer white space; null if it is longer than 512 characters or nothing is left."""
+    kept = F.regexp_replace(F.regexp_replace(v, "[\\r\\n]+", " "), "[\\x00-\\x08\\x0B-\\x1F\\x7F]", "")
+    kept = F.regexp_replace(kept, "^[\\s\\x{A0}\\x{FEFF}]+|[\\s\\x{A0}\\x{FEFF}]+$", "")
+    return F.when((F.length(v) <= 512) & (kept != ""), kept)
 
 
 def touches(name: Column) -> Column:
-    """Whether a scratch file's name is that of a shot."""
-    return name.startswith("Tmp") & ~name.startswith("STAT.")
+    """Whether a file's name, in any folder and case, is that of a shot's scratch file; names over 260 characters are none."""
+    base = F.lower(F.element_at(F.split(name, r"[\\/]"), -1))
+    return F.coalesce(F.length(name).between(1, 260) & base.startswith("tmp"), F.lit(False))
 
 
 def log_key(shot: Column, time: Column) -> Column:
@@ -89,26 +95,61 @@ def encode_scalar(real: Column, scalar: Column) -> Column:
     return F.when(raw.isNotNull(), F.greatest(F.least(raw, F.lit(INT32)), F.lit(-INT32 - 1))).cast("long")
 
 
+#: Coordinate scalars, from the weakest.
+SCALARS = (1, -10, -100, -1000, -10000)
+
+
 def fit_scalar(most: Column, wanted: int) -> Column:
-    """wanted, or the next weaker power of ten at which the largest magnitude still fits 32 bits; at last 1."""
-    out, s = None, wanted
-    while s <= -10:
-        fits = most * float(-s) <= INT32
-        out = F.when(fits, F.lit(s)) if out is None else out.when(fits, F.lit(s))
-        s //= 10
-    return F.lit(1) if out is None else out.otherwise(F.lit(1))
+    """wanted, or from a negative one the next weaker at which the largest magnitude still fits 32 bits; at last 1."""
+    if wanted >= 0:
+        return F.lit(wanted)
+    some = F.when(most.isNull() | F.isnan(most) | (most <= 0) | (most == float("inf")), F.lit(wanted)).when(most * float(-wanted) <= INT32, F.lit(wanted))
+    for s in reversed(SCALARS[1 : SCALARS.index(wanted)] if wanted in SCALARS else ()):
+        some = some.when(most * float(-s) <= INT32, F.lit(s))
+    return some.otherwise(F.lit(1))
+
+
+def _finite(v: Column) -> Column:
+    return F.when(v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")), v)
+
+
+def _is_whole(v: Column, factor: float) -> Column:
+    return F.abs(v * factor - half_up(v * factor)) < 1e-6
+
+
+def _scalar_of(most: Column, whole: list[Column]) -> Column:
+    """The weakest scalar that keeps all values whole and within 32 bits, else the finest within 32 bits; 1 without values."""
+    fits = [most * 10.0**k <= INT32 for k in range(len(SCALARS))]
+    some = F.when(most.isNull(), F.lit(1))
+    for k, s in enumerate(SCALARS):
+        some = some.when(fits[k] & whole[k], F.lit(s))
+    for k in reversed(range(len(SCALARS))):
+        some = some.when(fits[k], F.lit(SCALARS[k]))
+    return some.otherwise(F.lit(1))
 
 
 def choose_scalar(v: Column) -> Column:
-    """An aggregate: the weakest of 1, -10, ... -10000 at which all values are whole; -10000 if none is."""
-    whole = lambda m: F.bool_and(F.abs(v * m - half_up(v * m)) < 1e-6)
-    return F.when(whole(1.0), 1).when(whole(10.0), -10).when(whole(100.0), -100).when(whole(1000.0), -1000).otherwise(-10000)
+    """An aggregate over single values."""
+    v = _finite(v)
+    return _scalar_of(F.max(F.abs(v)), [F.coalesce(F.bool_and(_is_whole(v, 10.0**k)), F.lit(True)) for k in range(len(SCALARS))])
+
+
+def with_scalar(rows: DataFrame, name: str, window, *values: str) -> DataFrame:
+    """rows with the scalar of all values of several columns over a window; in steps, so that no expression is written out many times."""
+    steps = {f"{name}_most": F.greatest(*[F.abs(_finite(F.col(v))) for v in values], F.lit(None))}
+    for k in range(len(SCALARS)):
+        whole = [F.coalesce(_is_whole(_finite(F.col(v)), 10.0**k), F.lit(True)) for v in values]
+        steps[f"{name}_whole{k}"] = functools.reduce(Column.__and__, whole)
+    over = rows.withColumns(steps)
+    over = over.withColumns({s: (F.max(s) if s.endswith("most") else F.bool_and(s)).over(window) for s in steps})
+    return over.withColumn(name, _scalar_of(F.col(f"{name}_most"), [F.col(f"{name}_whole{k}") for k in range(len(SCALARS))])).drop(*steps)
 
 
 def word_or_null(v: Column, bits: int, unsigned: bool = False) -> Column:
-    """A header word's value if it fits."""
-    low, high = (0, 2**bits - 1) if unsigned else (-(2 ** (bits - 1)), 2 ** (bits - 1) - 1)
-    return F.when(v.between(low, high), v)
+    """A header word's value as a whole number, if it is not 0 and fits."""
+    low, high = (0, 2**bits - 1) if unsigned and bits == 16 else (-(2 ** (bits - 1)), 2 ** (bits - 1) - 1)
+    n = F.floor(v + 0.5)
+    return F.when((n != 0) & n.between(low, high), n)
 
 
 def clamp01(v: Column) -> Column:

@@ -58,10 +58,25 @@ def first_seen(rows: DataFrame, key: str, order: str, *values: str) -> DataFrame
     return rows.groupBy(key).agg(first.alias("f")).select(key, *[F.col(f"f.{v}").alias(v) for v in values])
 
 
-def far_pairs(relations: DataFrame, ax: str, ay: str, bx: str, by: str, limit: float) -> DataFrame:
-    """Relations whose ends are further apart than the limit, with their offset."""
-    dx, dy = F.col(ax) - F.col(bx), F.col(ay) - F.col(by)
-    return relations.withColumn("offset", F.sqrt(dx * dx + dy * dy)).where(F.col("offset") > limit)
+def first_too_far(relations: DataFrame, sources: DataFrame, receivers: DataFrame, limit: float) -> DataFrame:
+    """Of each relation the first of its receivers, by point from low to high, that is further from its source than the limit.
+
+    relations (id, source_line, source_point, receiver_line, low, high, step), sources and receivers (line, point, x, y). Ranges are
+    joined with the receivers of their line that they hold, by blocks of points, so that a range isn't written out point by point and
+    a line's receivers aren't all compared with all of its ranges; steps of less than 1 count as 1."""
+    step = F.greatest(F.coalesce(F.col("step"), F.lit(1)), F.lit(1))
+    block = lambda c: F.floor(F.col(c) / RANGE_BLOCK)
+    shots = relations.withColumn("step", step).join(sources.select(F.col("line").alias("source_line"), F.col("point").alias("source_point"), F.col("x").alias("sx"), F.col("y").alias("sy")), ["source_line", "source_point"])
+    held = shots.where("high >= low").withColumn("block", F.explode(F.sequence(block("low"), block("high"))))
+    stations = receivers.select(F.col("line").alias("receiver_line"), F.col("point").alias("receiver"), F.col("x").alias("rx"), F.col("y").alias("ry")).withColumn("block", block("receiver"))
+    dx, dy = F.col("sx") - F.col("rx"), F.col("sy") - F.col("ry")
+    pairs = held.join(stations, ["receiver_line", "block"]).where("receiver BETWEEN low AND high AND (receiver - low) % step = 0").withColumn("offset", F.sqrt(dx * dx + dy * dy))
+    worst = pairs.where(F.col("offset") > limit).groupBy("id").agg(F.min(F.struct("receiver", "offset")).alias("w"))
+    return worst.select("id", "w.receiver", "w.offset")
+
+
+#: Points of a block when ranges are joined with stations.
+RANGE_BLOCK = 64
 
 
 def without_tombstone(tombstones: DataFrame, landed: DataFrame, path: str) -> DataFrame:
@@ -78,10 +93,31 @@ def record_tombstones(records: DataFrame, path: str) -> DataFrame:
     return records.where("deleted").select(path, "mtime")
 
 
-def dbf_names(columns: DataFrame, name: str, order: str) -> DataFrame:
-    """Names of at most ten letters, digits and underscores; later equal ones end in their number."""
-    base = F.substring(F.regexp_replace(name, "[^A-Za-z0-9_]", "_"), 1, 10)
-    nth = F.row_number().over(Window.partitionBy("base").orderBy(order))
-    number = F.col("nth").cast("string")
-    named = columns.withColumn("base", base).withColumn("nth", nth)
-    return named.withColumn("safe", F.when(F.col("nth") == 1, F.col("base")).otherwise(F.concat(F.expr("substring(base, 1, 10 - length(cast(nth as string)))"), number)))
+#: The longest field name of a dBASE table, and the most fields that it may have.
+DBF_NAME, DBF_FIELDS = 10, 255
+
+
+def dbf_base(name: Column) -> Column:
+    """A name of capital letters, digits and underscores, at most ten, that doesn't begin with a digit."""
+    plain = F.substring(F.regexp_replace(F.upper(F.coalesce(name, F.lit(""))), "[^A-Z0-9_]", "_"), 1, DBF_NAME)
+    named = F.when(plain == "", F.lit("FIELD")).otherwise(plain)
+    return F.when(named.rlike("^[0-9]"), F.substring(F.concat(F.lit("F"), named), 1, DBF_NAME)).otherwise(named)
+
+
+def dbf_names(columns: DataFrame, table: str, name: str, order: str) -> DataFrame:
+    """columns with ``safe``, a name that no other field of its table has: later ones take the first free number from 2 on.
+
+    A table's fields (dBASE knows DBF_FIELDS at most) are folded in one group."""
+
+    def fold(names: Column) -> Column:
+        def free(state: Column, base: Column) -> Column:
+            numbered = F.transform(F.sequence(F.lit(2), F.lit(999)), lambda i: F.concat(F.left(base, F.lit(DBF_NAME) - F.length(i.cast("string"))), i.cast("string")))
+            found = F.element_at(F.filter(F.concat(F.array(base), numbered), lambda x: ~F.array_contains(state, x)), 1)
+            return F.concat(state, F.array(F.when(F.array_contains(state, base), found).otherwise(base)))
+
+        return F.aggregate(names, F.array().cast("array<string>"), free)
+
+    c = columns.withColumn("base", dbf_base(F.col(name)))
+    tables = c.groupBy(table).agg(F.sort_array(F.collect_list(F.struct(order, "base"))).alias("fields"))
+    placed = tables.select(table, F.explode(F.arrays_zip(F.col("fields"), fold(F.transform("fields", lambda f: f["base"])).alias("safe"))).alias("f"))
+    return placed.select(table, F.col(f"f.fields.{order}").alias(order), F.col("f.fields.base").alias("base"), F.col("f.safe").alias("safe"))

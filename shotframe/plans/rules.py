@@ -9,10 +9,10 @@ from shotframe.operators import reports, survey
 
 from .portfolio import query, table
 
-_FIX = lambda v, k: f"CAST(CAST(floor({v} * {10.0**k} + 0.5) / {10.0**k} AS DECIMAL(20,{k})) AS VARCHAR)"
+_FIX = lambda v, k: f"CASE WHEN {v} < 0 THEN '-' ELSE '' END || CAST(CAST(floor(abs({v}) * {10.0**k} + 0.5) / {10.0**k} AS DECIMAL(38,{k})) AS VARCHAR)"
 
 
-@query(f"""SELECT c_custkey, CASE WHEN length({_FIX('c_acctbal', 2)}) <= 6 THEN {_FIX('c_acctbal', 2)} WHEN length({_FIX('c_acctbal', 1)}) <= 6 THEN {_FIX('c_acctbal', 1)} ELSE {_FIX('c_acctbal', 0)} END AS fitted,
+@query(f"""SELECT c_custkey, lpad(CASE WHEN length({_FIX('c_acctbal', 2)}) <= 6 THEN {_FIX('c_acctbal', 2)} WHEN length({_FIX('c_acctbal', 1)}) <= 6 THEN {_FIX('c_acctbal', 1)} ELSE {_FIX('c_acctbal', 0)} END, 6, ' ') AS fitted,
   lower(regexp_replace(c_mktsegment || '-' || c_name, '[^A-Za-z0-9]', '', 'g')) AS token,
   CASE WHEN c_custkey < 26 THEN chr(65 + CAST(c_custkey AS INTEGER)) WHEN c_custkey < 702 THEN chr(65 + CAST(c_custkey // 26 - 1 AS INTEGER)) || chr(65 + CAST(c_custkey % 26 AS INTEGER))
     ELSE chr(65 + CAST(((c_custkey - 26) // 676 - 1) % 26 AS INTEGER)) || chr(65 + CAST((c_custkey - 26) // 26 % 26 AS INTEGER)) || chr(65 + CAST(c_custkey % 26 AS INTEGER)) END AS letters FROM customer""")
@@ -24,17 +24,17 @@ def field_text(spark, d):
 
 @query("""SELECT doc_id, CASE WHEN regexp_matches(text, '[",\\n\\r]') THEN '"' || replace(text, '"', '""') || '"' ELSE text END AS cell,
   replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&apos;') AS escaped,
-  nullif(trim(regexp_replace(substr(text, 1, 512), '[\\x00-\\x1F\\x7F]', '', 'g'), ' '), '') AS message FROM documents""")
+  CASE WHEN length(text) <= 512 THEN nullif(regexp_replace(regexp_replace(regexp_replace(text, '[\\r\\n]+', ' ', 'g'), '[\\x00-\\x08\\x0B-\\x1F\\x7F]', '', 'g'), '^[\\s\\x{A0}\\x{FEFF}]+|[\\s\\x{A0}\\x{FEFF}]+$', '', 'g'), '') END AS message FROM documents""")
 def field_quoting(spark, d):
     t = F.col("text")
     return table(spark, d, "documents").select("doc_id", scalars.csv_cell(t).alias("cell"), scalars.xml_escape(t).alias("escaped"), scalars.clean_message(t).alias("message"))
 
 
 @query("""SELECT event_id, event_type || '@' || CAST(user_id AS VARCHAR) AS log_key, strftime(make_timestamp(CAST(CASE WHEN v >= 1e11 THEN v ELSE v * 1000 END AS BIGINT) * 1000), '%Y-%m-%dT%H:%M:%S.%gZ') AS iso,
-  starts_with(event_type, 'c') AS is_c, strftime(ts, ' %y%j') AS tape_date FROM (SELECT *, CASE WHEN event_id % 2 = 0 THEN 1700000000 + event_id ELSE 1700000000000 + event_id END AS v FROM events)""")
+  event_type LIKE 'c%' AS is_c, strftime(ts, ' %y%j') AS tape_date FROM (SELECT *, CASE WHEN event_id % 2 = 0 THEN 1700000000 + event_id ELSE 1700000000000 + event_id END AS v FROM events)""")
 def field_times(spark, d):
     e = table(spark, d, "events").withColumn("v", F.when(F.col("event_id") % 2 == 0, 1700000000 + F.col("event_id")).otherwise(1700000000000 + F.col("event_id")))
-    named = F.when(F.col("event_type").startswith("c"), F.lit("Tmp1.seg")).otherwise(F.lit("STAT.1"))
+    named = F.when(F.col("event_type").startswith("c"), F.when(F.col("event_id") % 2 == 0, F.lit("D:\\\\scs\\\\tMP1.seg")).otherwise(F.lit("run/Tmp1"))).otherwise(F.when(F.col("event_id") % 2 == 0, F.lit("tmp/STAT.1")).otherwise(F.lit("x" * 270)))
     return e.select("event_id", scalars.log_key(F.col("event_type"), F.col("user_id").cast("string")).alias("log_key"), scalars.epoch_iso(F.col("v")).alias("iso"),
                     scalars.touches(named).alias("is_c"), scalars.tape_date(F.col("ts").cast("timestamp")).alias("tape_date"))
 
@@ -42,7 +42,7 @@ def field_times(spark, d):
 @query("""SELECT l_orderkey, l_linenumber, round(CASE WHEN s < 0 THEN q / -s WHEN s > 0 THEN q * s ELSE q END, 6) AS applied,
   CAST(greatest(least(floor(CASE WHEN s < 0 THEN p * -s WHEN s > 0 THEN p / s ELSE p END + 0.5), 2147483647), -2147483648) AS BIGINT) AS encoded,
   CAST(CASE WHEN p * 1000.0 * 10000.0 <= 2147483647 THEN -10000 WHEN p * 1000.0 * 1000.0 <= 2147483647 THEN -1000 WHEN p * 1000.0 * 100.0 <= 2147483647 THEN -100 WHEN p * 1000.0 * 10.0 <= 2147483647 THEN -10 ELSE 1 END AS INTEGER) AS fitted,
-  CASE WHEN p BETWEEN -32768 AND 32767 THEN p END AS word, CASE WHEN q < 0.1 THEN 's' WHEN q <= 20 THEN 'ms' ELSE 'us' END AS unit, round(l_linenumber * q / 1000.0, 6) AS ms,
+  CASE WHEN floor(p + 0.5) BETWEEN -32768 AND 32767 AND floor(p + 0.5) <> 0 THEN CAST(floor(p + 0.5) AS BIGINT) END AS word, CASE WHEN q < 0.1 THEN 's' WHEN q <= 20 THEN 'ms' ELSE 'us' END AS unit, round(l_linenumber * q / 1000.0, 6) AS ms,
   greatest(0.0::DOUBLE, least(1.0::DOUBLE, q - 10)) AS clamped, round(CASE WHEN (p % 360 + 360) % 360 > 180 THEN (p % 360 + 360) % 360 - 360 ELSE (p % 360 + 360) % 360 END, 4) AS wrapped
   FROM (SELECT *, l_extendedprice AS p, l_quantity AS q, CAST([-100, 0, 10, -10][1 + l_linenumber % 4] AS INTEGER) AS s FROM lineitem)""")
 def header_scalars(spark, d):
@@ -55,10 +55,18 @@ def header_scalars(spark, d):
         scalars.clamp01(q - 10).alias("clamped"), (F.round(scalars.wrap180(p), 4) + 0.0).alias("wrapped"))
 
 
-@query("""SELECT c_nationkey, CAST(CASE WHEN bool_and(abs(c_acctbal - floor(c_acctbal + 0.5)) < 1e-6) THEN 1 WHEN bool_and(abs(c_acctbal * 10.0 - floor(c_acctbal * 10.0 + 0.5)) < 1e-6) THEN -10
-  WHEN bool_and(abs(c_acctbal * 100.0 - floor(c_acctbal * 100.0 + 0.5)) < 1e-6) THEN -100 WHEN bool_and(abs(c_acctbal * 1000.0 - floor(c_acctbal * 1000.0 + 0.5)) < 1e-6) THEN -1000 ELSE -10000 END AS INTEGER) AS scalar FROM customer GROUP BY c_nationkey""")
+_WHOLE = lambda k: f"bool_and(abs(v * {10.0**k} - floor(v * {10.0**k} + 0.5)) < 1e-6)"
+
+
+# Balances of some nations are made large or finer, so that every scalar is chosen somewhere.
+@query(f"""SELECT c_nationkey, CAST(CASE {' '.join(f"WHEN most * {10.0**k} <= 2147483647 AND w{k} THEN {-(10**k) if k else 1}" for k in range(5))}
+  {' '.join(f"WHEN most * {10.0**k} <= 2147483647 THEN {-(10**k) if k else 1}" for k in (4, 3, 2, 1, 0))} ELSE 1 END AS INTEGER) AS scalar
+  FROM (SELECT c_nationkey, max(abs(v)) AS most, {', '.join(f"{_WHOLE(k)} AS w{k}" for k in range(5))}
+  FROM (SELECT c_nationkey, CASE c_nationkey % 5 WHEN 0 THEN floor(c_acctbal) WHEN 1 THEN c_acctbal * 1000.0 WHEN 2 THEN c_acctbal / 7.0 WHEN 3 THEN c_acctbal * 1e7 ELSE c_acctbal END AS v FROM customer) GROUP BY c_nationkey)""")
 def chosen_scalars(spark, d):
-    return table(spark, d, "customer").groupBy("c_nationkey").agg(scalars.choose_scalar(F.col("c_acctbal")).alias("scalar"))
+    k, v = F.col("c_nationkey") % 5, F.col("c_acctbal")
+    values = F.when(k == 0, F.floor(v).cast("double")).when(k == 1, v * 1000.0).when(k == 2, v / 7.0).when(k == 3, v * 1e7).otherwise(v)
+    return table(spark, d, "customer").select("c_nationkey", values.alias("v")).groupBy("c_nationkey").agg(scalars.choose_scalar(F.col("v")).alias("scalar"))
 
 
 @query("""SELECT event_type, min(value) AS x_low, max(value) AS x_high, min(user_id) AS y_low, max(user_id) AS y_high, count(*) AS n FROM events GROUP BY event_type""")
@@ -110,11 +118,18 @@ def first_shots(spark, d):
     return reports.first_seen(table(spark, d, "events"), "user_id", "event_id", "event_id", "event_type")
 
 
-@query("""WITH r AS (SELECT l_orderkey, l_linenumber, sqrt((l_extendedprice - o_totalprice) * (l_extendedprice - o_totalprice) + (l_quantity - l_linenumber) * (l_quantity - l_linenumber)) AS o
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey) SELECT l_orderkey, l_linenumber, round(o, 4) AS "offset" FROM r WHERE o > 200000""")
+# Stations are parts along 20 lines, sources orders; a relation holds a range of parts of a line, in steps of one to three.
+@query("""WITH rcv AS (SELECT p_partkey % 20 AS line, p_partkey AS point, p_retailprice * 10 AS x, p_partkey * 1.0 AS y FROM part),
+rel AS (SELECT o_orderkey AS id, o_totalprice / 20 AS sx, CAST(o_custkey AS DOUBLE) AS sy, o_orderkey % 20 AS line, o_custkey % 1000 AS low, o_custkey % 1000 + 300 AS high, CASE WHEN o_orderkey % 4 = 0 THEN 1 ELSE o_orderkey % 4 END AS step FROM orders),
+p AS (SELECT id, point, sqrt((sx - x) ** 2 + (sy - y) ** 2) AS o FROM rel JOIN rcv ON rel.line = rcv.line AND point BETWEEN low AND high AND (point - low) % step = 0)
+SELECT id, point AS receiver, round(o, 4) AS "offset" FROM p WHERE o > 6000 QUALIFY row_number() OVER (PARTITION BY id ORDER BY point) = 1""")
 def max_offset_check(spark, d):
-    rows = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    return reports.far_pairs(rows, "l_extendedprice", "l_quantity", "o_totalprice", "l_linenumber", 200000.0).select("l_orderkey", "l_linenumber", F.round("offset", 4).alias("offset"))
+    o = table(spark, d, "orders")
+    receivers = table(spark, d, "part").select((F.col("p_partkey") % 20).alias("line"), F.col("p_partkey").alias("point"), (F.col("p_retailprice") * 10).alias("x"), (F.col("p_partkey") * 1.0).alias("y"))
+    sources = o.select((F.col("o_orderkey") % 20).alias("line"), F.col("o_orderkey").alias("point"), (F.col("o_totalprice") / 20).alias("x"), F.col("o_custkey").cast("double").alias("y"))
+    low = F.col("o_custkey") % 1000
+    relations = o.select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 20).alias("source_line"), F.col("o_orderkey").alias("source_point"), (F.col("o_orderkey") % 20).alias("receiver_line"), low.alias("low"), (low + 300).alias("high"), (F.col("o_orderkey") % 4).alias("step"))
+    return reports.first_too_far(relations, sources, receivers, 6000.0).withColumn("offset", F.round("offset", 4))
 
 
 @query("""SELECT o_orderkey, o_totalprice AS mtime, CAST(0 AS BIGINT) AS size, true AS deleted FROM orders WHERE o_orderstatus = 'F' AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')""")
@@ -125,11 +140,18 @@ def tombstone_records(spark, d):
     return reports.record_tombstones(records, "o_orderkey").join(records.select("o_orderkey", "size", "deleted"), "o_orderkey")
 
 
-@query("""WITH b AS (SELECT p_partkey, substr(regexp_replace(p_name, '[^A-Za-z0-9_]', '_', 'g'), 1, 10) AS base FROM part),
-n AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY p_partkey) AS nth FROM b)
-SELECT p_partkey, CASE WHEN nth = 1 THEN base ELSE substr(base, 1, 10 - length(CAST(nth AS VARCHAR))) || CAST(nth AS VARCHAR) END AS safe FROM n""")
+# Tables of 40 fields; names are parts' names, some without letters or with digits first.
+@query("""WITH RECURSIVE c AS (SELECT p_partkey, p_partkey // 40 AS tab, CASE p_partkey % 13 WHEN 0 THEN '' WHEN 1 THEN '9-' || p_name ELSE p_name END AS name FROM part),
+b AS (SELECT *, substr(regexp_replace(upper(name), '[^A-Z0-9_]', '_', 'g'), 1, 10) AS s FROM c),
+f AS (SELECT p_partkey, tab, CASE WHEN s = '' THEN 'FIELD' WHEN regexp_matches(s, '^[0-9]') THEN substr('F' || s, 1, 10) ELSE s END AS base, row_number() OVER (PARTITION BY tab ORDER BY p_partkey) AS i FROM b),
+r(tab, i, seen) AS (SELECT DISTINCT tab, CAST(0 AS BIGINT), CAST([] AS VARCHAR[]) FROM f
+  UNION ALL SELECT r.tab, r.i + 1, list_append(seen, list_filter(list_concat([base], list_transform(range(2, 1000), lambda n: substr(base, 1, CAST(10 - length(CAST(n AS VARCHAR)) AS INTEGER)) || CAST(n AS VARCHAR))), lambda x: NOT list_contains(seen, x))[1])
+  FROM r JOIN f ON f.tab = r.tab AND f.i = r.i + 1)
+SELECT p_partkey, f.base, seen[f.i] AS safe FROM f JOIN r ON r.tab = f.tab AND r.i = f.i""")
 def dbf_names(spark, d):
-    return reports.dbf_names(table(spark, d, "part"), "p_name", "p_partkey").select("p_partkey", "safe")
+    k = F.col("p_partkey") % 13
+    c = table(spark, d, "part").select("p_partkey", F.floor(F.col("p_partkey") / 40).alias("tab"), F.when(k == 0, "").when(k == 1, F.concat(F.lit("9-"), "p_name")).otherwise(F.col("p_name")).alias("name"))
+    return reports.dbf_names(c, "tab", "name", "p_partkey").select("p_partkey", "base", "safe")
 
 
 @query("""WITH p AS (SELECT user_id AS line, event_id AS pos, value * CASE WHEN event_id % 97 = 0 THEN 60 ELSE 1 END AS x, event_id / 100.0::DOUBLE AS y, CASE WHEN event_id % 13 > 0 THEN event_id // 3 % 3000 END AS st, value * 30 - 600 AS h

@@ -2,7 +2,7 @@
 
 Planning reads headers only. A file that declares traces of one length is cut by arithmetic; any other is walked header by header,
 with a seek from one to the next, also across whole records that follow one another in one file (each with its own text and binary
-header, byte order and sample format). Ranges end between traces and hold about ``splitBytes`` each, so a file of any size is read
+header, byte order and sample format) and block by block through a tape image. Ranges end between traces and hold about ``splitBytes`` each, so a file of any size is read
 by many tasks, and a task reads its range in pieces of PIECE bytes. Every task checks the lengths of its own traces again.
 
     register(spark)  # also lets Spark hand filters to Python sources in this session
@@ -27,6 +27,7 @@ from pyspark.sql.types import StructType
 
 from .files import length, listed, opened
 from .segy import BINARY, HEADER, TEXT, WIDTHS, WORDS, header_words, samples_of, scan
+from .tape import is_tape, kind_of, walk
 
 SPLIT_BYTES, PIECE, HEAD = 64 << 20, 8 << 20, 64 << 10
 #: Headers of files that planning reads at a time.
@@ -108,48 +109,66 @@ def _new_record(f, at: int, size: int) -> tuple[Layout, int] | None:
     return (layout, start) if layout.samples and _trace(f, start, size, layout) else None
 
 
-def plan(path: str, split_bytes: int = SPLIT_BYTES) -> list[Range]:
-    """The ranges of a file, from its headers."""
-    with opened(path) as f:
-        size, out, record, first = length(f), [], 0, 0
-        try:
-            layout, at = _head(f, 0, size)
-        except ValueError as problem:
-            return [Range(path, 0, 0, 0, 0, 0, None, str(problem))]
-        begin, begin_first = at, 0
-
-        def cut(end: int, then: int) -> None:
-            nonlocal begin, begin_first
-            if end > begin:
-                out.append(Range(path, record, begin_first, then - 1, begin, end, layout))
-            begin, begin_first = end, then
-
-        while True:
-            n = _trace(f, at, size, layout)
-            if n and layout.fixed and layout.samples in (0, n):
-                # Traces of one length up to the file's end, unless another record begins on the way and puts the rest out of step.
-                step = layout.size(n)
-                count = (size - at) // step
-                if all(_says(f, at + k * step, layout) == n for k in {count - 1, *range(0, count, max(1, count // PROBES))}):
-                    per = max(1, split_bytes // step)
-                    for k in range(0, count, per):
-                        cut(at + min(count, k + per) * step, first + min(count, k + per))
-                    at, first = at + count * step, first + count
-                    break
-            if n:
-                at, first = at + layout.size(n), first + 1
-                if at - begin >= split_bytes:
-                    cut(at, first)
-                continue
-            found = _new_record(f, at, size)
-            if found is None:
+def _window(f, path: str, begin: int, size: int, split_bytes: int, record: int = 0, first: int = 0) -> list[Range]:
+    """The ranges of the bytes from begin to size."""
+    out: list[Range] = []
+    try:
+        layout, at = _head(f, begin, size)
+    except ValueError as problem:
+        return [Range(path, record, first, first, begin, begin, None, str(problem))]
+    begin, begin_first = at, first
+
+    def cut(end: int, then: int) -> None:
+        nonlocal begin, begin_first
+        if end > begin:
+            out.append(Range(path, record, begin_first, then - 1, begin, end, layout))
+        begin, begin_first = end, then
+
+    while True:
+        n = _trace(f, at, size, layout)
+        if n and layout.fixed and layout.samples in (0, n):
+            # Traces of one length up to the end, unless another record begins on the way and puts the rest out of step.
+            step = layout.size(n)
+            count = (size - at) // step
+            if all(_says(f, at + k * step, layout) == n for k in {count - 1, *range(0, count, max(1, count // PROBES))}):
+                per = max(1, split_bytes // step)
+                for k in range(0, count, per):
+                    cut(at + min(count, k + per) * step, first + min(count, k + per))
+                at, first = at + count * step, first + count
                 break
-            cut(at, first)
-            layout, at = found
-            begin, record = at, record + 1
+        if n:
+            at, first = at + layout.size(n), first + 1
+            if at - begin >= split_bytes:
+                cut(at, first)
+            continue
+        found = _new_record(f, at, size)
+        if found is None:
+            break
         cut(at, first)
-        if at < size:
-            out.append(Range(path, record, first, first, at, at, None, f"{size - at} bytes after the last whole trace"))
+        layout, at = found
+        begin, record = at, record + 1
+    cut(at, first)
+    if at < size:
+        out.append(Range(path, record, first, first, at, at, None, f"{size - at} bytes after the last whole trace"))
+    return out
+
+
+def plan(path: str, split_bytes: int = SPLIT_BYTES) -> list[Range]:
+    """The ranges of a file, from its headers; of a tape image those of all its blocks, numbered on."""
+    with opened(path) as f:
+        size = length(f)
+        f.seek(0)
+        if not is_tape(f.read(min(size, HEAD)), size):
+            return _window(f, path, 0, size, split_bytes)
+        out: list[Range] = []
+        for _, begin, n, whole in walk(f):
+            record, first = (out[-1].record + 1, out[-1].last + (out[-1].error is None)) if out else (0, 0)
+            f.seek(begin)
+            kind = kind_of(f.read(min(n, HEAD)), n) if whole else None
+            if kind == "segy":
+                out += _window(f, path, begin, begin + n, split_bytes, record, first)
+            else:
+                out.append(Range(path, record, first, first, begin, begin, None, f"a block of {n} bytes is {'cut off' if kind is None else 'no SEG-Y'}"))
         return out
 
 
