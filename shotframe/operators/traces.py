@@ -225,7 +225,9 @@ def neighbour_levels(xs: np.ndarray, half: int, kind: str) -> np.ndarray:
     if not n:
         return xs
     if kind != "median":
-        near = np.convolve(xs * xs if kind == "rms" else np.abs(xs), np.ones(2 * half + 1))[half : half + n] / count
+        sums = np.concatenate([[0.0], np.cumsum(xs * xs if kind == "rms" else np.abs(xs))])
+        at = np.arange(n)
+        near = np.maximum(sums[np.minimum(n, at + half + 1)] - sums[np.maximum(0, at - half)], 0.0) / count
         return np.sqrt(near) if kind == "rms" else near
     wide = np.full(n + 2 * half, np.inf)  # what lies outside sorts last
     wide[half : half + n] = np.abs(xs)
@@ -238,29 +240,55 @@ def neighbour_levels(xs: np.ndarray, half: int, kind: str) -> np.ndarray:
     return out
 
 
+def gained(rows: list[np.ndarray], half: int, kind: str = "rms") -> list[np.ndarray]:
+    """Each trace over its neighbours' levels; traces of one length at once."""
+    if len({len(x) for x in rows}) == 1 and len(rows[0]) and kind != "median":
+        x = np.stack(rows)
+        n, at = x.shape[1], np.arange(x.shape[1])
+        sums = np.concatenate([np.zeros((len(x), 1)), np.cumsum(x * x if kind == "rms" else np.abs(x), axis=1)], axis=1)
+        lo, hi = np.maximum(0, at - half), np.minimum(n, at + half + 1)
+        level = np.maximum(sums[:, hi] - sums[:, lo], 0.0) / (hi - lo)
+        level = np.sqrt(level) if kind == "rms" else level
+        return list(np.where(level > 1e-10, x / np.where(level > 1e-10, level, 1.0), 0.0))
+    out = []
+    for x in rows:
+        level = neighbour_levels(x, half, kind)
+        out.append(np.where(level > 1e-10, x / np.where(level > 1e-10, level, 1.0), 0.0))
+    return out
+
+
 def automatic_gain(traces: DataFrame, id_col: str, samples_col: str, half: int, kind: str = "rms") -> DataFrame:
     """(id, i, x, gained): each sample over the rms, mean or upper-median magnitude of its neighbours within half."""
 
-    def levels(parts: pd.Series) -> pd.Series:
-        return parts.map(lambda xs: None if xs is None else neighbour_levels(np.asarray(xs, float), half, kind))
+    def run(parts: pd.Series) -> pd.Series:
+        at = [k for k, xs in enumerate(parts) if xs is not None]
+        out: list = [None] * len(parts)
+        for k, g in zip(at, gained([np.asarray(parts.iloc[k], float) for k in at], half, kind) if at else (), strict=True):
+            out[k] = g
+        return pd.Series(out, dtype=object)
 
     rows = traces.select(F.col(id_col), as_doubles(F.col(samples_col)).alias("x"))
-    rows = rows.withColumn("level", F.pandas_udf(levels, "array<double>")("x"))
-    long = rows.select(id_col, F.posexplode(F.arrays_zip("x", "level")).alias("i", "s"))
-    return long.select(id_col, "i", F.col("s.x").alias("x"), F.when(F.col("s.level") > 1e-10, F.col("s.x") / F.col("s.level")).otherwise(0.0).alias("gained"))
+    rows = rows.withColumn("gained", F.pandas_udf(run, "array<double>")("x"))
+    return rows.select(id_col, F.posexplode(F.arrays_zip("x", "gained")).alias("i", "s")).select(id_col, "i", "s.x", "s.gained")
 
 
-def first_pick(xs: np.ndarray, sta: int, lta: int, threshold: float, start: int) -> int | None:
+def first_pick(xs: np.ndarray, sta: int, lta: int, threshold: float, start: int, end: int | None = None) -> int | None:
+    """The first sample from start to before end whose short window's mean energy reaches the threshold over that of the long window before it.
+
+    None for traces that don't hold both windows. The long window is shorter near the trace's begin."""
     n = len(xs)
-    if not n:
+    if sta + lta >= n:
+        return None
+    sums = np.concatenate([[0.0], np.cumsum(np.nan_to_num(xs, posinf=0.0, neginf=0.0) ** 2)])
+    mean = sums[-1] / n
+    at = np.arange(max(start, sta), n if end is None else min(n, end))
+    if not len(at):
         return None
-    e, at = xs * xs, np.arange(n)
-    least = max(1e-4 * e.mean(), 1e-12)
-    short = np.convolve(e, np.ones(sta))[:n] / np.minimum(at + 1, sta)
-    before = np.maximum(at - sta + 1, 0)  # samples that lie before the short window
-    long = np.concatenate([np.zeros(min(sta, n)), np.convolve(e, np.ones(lta))[: max(0, n - sta)]]) / np.clip(before, 1, lta)
-    hit = np.flatnonzero((at >= start) & (short / np.maximum(long, least) >= threshold))
-    return int(hit[0]) if len(hit) else None
+    before = at - sta + 1  # end of the long window
+    begin = np.maximum(0, before - lta)
+    short, long = (sums[at + 1] - sums[before]) / sta, (sums[before] - sums[begin]) / (before - begin)
+    hit = np.flatnonzero(short / np.maximum(long, 1e-4 * mean if mean > 0 else 1e-12) >= threshold)
+    return int(at[hit[0]]) if len(hit) else None
 
 
 def sta_lta(traces: DataFrame, id_col: str, samples_col: str, sta: int, lta: int, threshold: float, first: int | None = None) -> DataFrame:

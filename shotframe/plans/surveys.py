@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shotframe.operators import geometry
+from shotframe.operators import firstbreak, geometry
 
 from .portfolio import query, table
 
@@ -76,3 +76,40 @@ SELECT trace, coalesce(CAST(floor(ax * 100 + 0.5) AS BIGINT), sx0) AS source_x,
 def geometry_load(spark, d):
     out = geometry.load(_traces(spark, d), *_survey(spark, d))
     return out.select("trace", "source_x", "source_y", "receiver_x", "receiver_y", "source_elevation", "receiver_elevation", "offset", "midpoint_x", "coordinate_scalar")
+
+
+#: Traces of a gather, and microseconds between samples.
+GATHER, INTERVAL = 100, 2000
+
+
+def _gathers(spark, d):
+    """The tables' traces in gathers with an onset that moves out, and every thirtieth trace seeded at it; some traces are dead, some gathers have one seed."""
+    e = table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / GATHER).alias("gather"), F.col("vec_id").alias("trace"), "embedding")
+    k = F.col("trace") % GATHER
+    onset = (F.lit(24) + F.floor(k / 5)).cast("int")
+    x = F.transform("embedding", lambda v, i: F.when(k % 41 == 7, 0.0).when(i < onset, v.cast("double") * 0.01).otherwise(v.cast("double")))
+    rows = e.select("gather", "trace", F.when(F.col("gather") % 3 > 0, (k * 25.0 + 10) * F.when(k % 2 == 0, -1).otherwise(1)).alias("offset"), x.alias("samples"), onset.alias("onset"))
+    seeds = rows.where((k % 30 == 0) & ((F.col("gather") % 4 > 0) | (k == 0))).select("gather", "trace", (F.col("onset") * INTERVAL / 1000.0).alias("ms"))
+    return rows, seeds
+
+
+@query(f"""WITH t AS (SELECT vec_id // {GATHER} AS gather, vec_id AS trace, vec_id % {GATHER} AS k, 24 + vec_id % {GATHER} // 5 AS onset, embedding FROM embeddings),
+l AS (SELECT gather, trace, k, onset, i, CASE WHEN k % 41 = 7 THEN 0 WHEN i - 1 < onset THEN CAST(embedding[i] AS DOUBLE) * 0.01::DOUBLE ELSE CAST(embedding[i] AS DOUBLE) END AS x FROM t, generate_series(1, 64) g(i)),
+r AS (SELECT gather, trace, any_value(k) AS k, any_value(onset) AS onset, sqrt(sum(x * x) / count(*)) AS rms FROM l GROUP BY gather, trace),
+m AS (SELECT *, median(CASE WHEN rms > 0 THEN rms END) OVER (PARTITION BY gather) AS level, CASE WHEN gather % 3 > 0 THEN k * 25.0::DOUBLE + 10 ELSE CAST(trace AS DOUBLE) END AS key FROM r),
+s AS (SELECT gather, key, onset * 2.0::DOUBLE AS ms, lead(key) OVER w AS key2, lead(onset * 2.0::DOUBLE) OVER w AS ms2, row_number() OVER w AS nth, count(*) OVER (PARTITION BY gather) AS n FROM m WHERE k % 30 = 0 AND (gather % 4 > 0 OR k = 0) WINDOW w AS (PARTITION BY gather ORDER BY key)),
+p AS (SELECT *, nth = 1 AS head, nth = n - 1 AS tail FROM s WHERE key2 IS NOT NULL)
+SELECT m.gather, trace, round(rms, 6) AS rms, rms <= 0 OR coalesce(rms < 0.02 * level, false) AS dead, m.key, round(p.ms + (p.ms2 - p.ms) / (p.key2 - p.key) * (m.key - p.key), 6) AS guide
+FROM m LEFT JOIN p ON m.gather = p.gather AND (m.key > p.key OR head) AND (m.key <= p.key2 OR tail)""")
+def first_break_guide(spark, d):
+    rows, seeds = _gathers(spark, d)
+    out = firstbreak.guided(rows.drop("onset"), seeds, firstbreak.Options(sta_ms=6, lta_ms=40), INTERVAL)
+    return out.select("gather", "trace", F.round("rms", 6).alias("rms"), "dead", "key", F.round("guide", 6).alias("guide"))
+
+
+@query()
+def first_breaks(spark, d):
+    """Tests hold the picks against a plain reading of the rules."""
+    rows, seeds = _gathers(spark, d)
+    out = firstbreak.assist(rows.drop("onset"), seeds, INTERVAL, firstbreak.Options(sta_ms=6, lta_ms=40, wavelet_ms=12, gain_ms=60))
+    return out.withColumns({c: F.round(c, 6) for c in ("ms", "confidence", "deviation", "guide")})
