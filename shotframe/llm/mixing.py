@@ -8,7 +8,8 @@ other side holds no token are not coded. Three predictors give the log-odds of e
 all training tokens on either side, and counts under two hashed contexts (the word's cell before or the two before, or the last bytes
 spelled; and the place in the tree). A gate (how well the contexts are known, and whether a byte is coded) selects a set of weights; the weighted sum is squashed,
 and an adaptive table (by gate and squashed probability) refines it. While a text is scored, its copy of the weights goes
-on learning after each SEGMENT symbols. What is left of a known token's bits, below its cell, has the exact counts as its only predictor; their
+on learning after each SEGMENT symbols, and so does its belief in the mix of contexts against the exact counts alone: the
+probability of a segment's words is the believed mean of both, so that contexts that don't help a text cost it next to nothing. What is left of a known token's bits, below its cell, has the exact counts as its only predictor; their
 product is n / (occurrences in the cell). ``score`` is the text's log10 probability; ``bits_per_byte`` follows from it.
 
 What is learned grows with the input: every token's count (no token is left out, and counts meet the texts by a join), the tree's depth
@@ -41,8 +42,12 @@ from pyspark.sql import functions as F
 from .common import release, releasing, small_batches, small_side, written
 
 PRIOR, RATE, DOC_RATE, SEGMENT, BUCKETS = 0.4, 0.5, 0.02, 512, 33
+#: The most (as log-odds) that a text may believe in the mix or in the counts alone; segments begin even.
+BELIEF = 5.0
 #: Bytes of text in a chunk, of texts coded at once, symbols of one numpy batch, and tables that one task adds up.
 CHUNK, CODED, BATCH, FAN_IN = 18 << 20, 1 << 20, 4096, 32
+#: Rows of a chunk, for tables of very short texts.
+CHUNK_ROWS = 1 << 18
 #: Bits of a table of contexts beyond the tree's depth, and at most.
 MORE_BITS, MOST_BITS = 9, 24
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -100,6 +105,10 @@ class Tree:
         self.bit = np.concatenate([b[o] for (_, b), o in zip(paths, open_, strict=True)]).astype(np.int8)
         self.length = np.concatenate([o.sum(axis=1) for o in open_])
         self.first = np.cumsum(self.length) - self.length
+        # log10 of each known symbol's (and the unknown mark's) bits by the exact counts alone.
+        chance = np.where(self.bit == 1, 1, -1) * self.path_odds.astype(np.float64)
+        by_bit = np.append(0, np.cumsum(-np.logaddexp(0, -chance) / math.log(10)))
+        self.alone = (by_bit[self.first + self.length] - by_bit[self.first])[: self.byte]
 
     def bits_of(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(symbol's place, place among all paths) of the symbols' bits, in order."""
@@ -267,18 +276,18 @@ class Model:
         table = table.reshape(GATES, BUCKETS, 2)
         self.refine = ((table[..., 1] + 32 * middle) / (table.sum(axis=2) + 32)).ravel().astype(np.float32)
 
-    def log10(self, texts: list[np.ndarray]) -> np.ndarray:
-        """log10 probability of each text's symbols; its copy of the weights goes on learning after each segment."""
-        total = np.zeros(len(texts))
+    def log10(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """log10 probability of each text's symbols, and by the exact counts alone (of its words); its copy of the weights goes on learning after each segment."""
+        total = np.zeros((2, len(texts)))
         size = np.array([len(x) for x in texts], np.int64)
         at = 0
         while at < len(texts):
             end = max(at + 1, int(np.searchsorted(np.cumsum(size[at:]), 8 * BATCH, side="right")) + at)
-            total[at:end] = self._scored(texts[at:end])
+            total[:, at:end] = self._scored(texts[at:end])
             at = end
-        return total
+        return total[0], total[1]
 
-    def _scored(self, texts: list[np.ndarray]) -> np.ndarray:
+    def _scored(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         size = np.array([len(x) for x in texts], np.int64)
         symbols = np.concatenate(texts)
         starts = (np.cumsum(size) - size)[size > 0]
@@ -288,7 +297,7 @@ class Model:
         by = np.argsort(segment, kind="stable")
         cut = np.searchsorted(segment[by], np.arange(int(segment.max(initial=0)) + 2))
         moved = np.zeros((len(texts), INPUTS), np.float32)  # what each text has learned so far
-        total = np.zeros(len(texts))
+        total, alone, belief = np.zeros(len(texts)), np.zeros(len(texts)), np.zeros(len(texts))
         for i in range(len(cut) - 1):
             part = by[cut[i] : cut[i + 1]]
             some = symbols[part]
@@ -311,14 +320,24 @@ class Model:
             p = 1 / (1 + np.exp(-odds))
             mixed = np.float32(0.5) * (p + self.refine[_bucket(odds, gate)])
             mixed = np.clip(np.where(bit == 1, mixed, 1 - mixed), 1e-6, 1)
-            total += np.bincount(ds, np.log10(mixed), len(texts))
+            by_bit = np.log10(mixed)
+            by_mix = np.bincount(ds, by_bit, len(texts))
+            spelt = np.flatnonzero(gate >> np.uint8(4))
+            spelling = np.bincount(ds[spelt], by_bit[spelt], len(texts))
+            word = some < self.tree.byte
+            by_counts = np.bincount(doc[part][word], self.tree.alone[some[word]], len(texts)) + spelling
+            # log of (e^b * mix + counts) / (e^b + 1), b the belief in the mix.
+            ahead = (by_mix - by_counts) * math.log(10)
+            total += by_counts + (np.logaddexp(belief + ahead, 0) - np.logaddexp(belief, 0)) / math.log(10)
+            alone += by_counts
+            belief = np.clip(belief + ahead, -BELIEF, BELIEF)
             if i < len(cut) - 2:
                 wrong = bit - p
                 first = np.flatnonzero(np.append(True, ds[1:] != ds[:-1]))
                 n = np.sqrt(np.diff(np.append(first, len(ds))))
                 for k in range(INPUTS):
                     moved[ds[first], k] += DOC_RATE * np.add.reduceat(wrong * x[k], first) / n
-        return total
+        return total, alone
 
 
 def trained(rows: DataFrame, tree: Tree, bits: int, chunks: int) -> Model:
@@ -399,7 +418,7 @@ def _coder(tree: Tree, bits: int, masses: np.ndarray, n_all: int, distinct: int)
 
 
 def score_documents(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) for every row; training: the predicate of rows that train."""
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, counts_score, bits_per_byte) for every row; counts_score: with words by the exact counts alone; training: the predicate of rows that train."""
     spark = docs.sparkSession
     small_batches(spark)
     base = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.coalesce(training, F.lit(False)).alias("train"))
@@ -417,8 +436,8 @@ def score_documents(docs: DataFrame, training: Column, id_col: str = "doc_id", t
     tree = Tree(depth, cells, whole["singles"], letters)
     masses = np.ones(1 << depth)
     masses[list(cells)] = list(cells.values())
-    size = base.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    chunks = int(size // CHUNK) + 1
+    size = base.agg(F.sum(F.octet_length("text")).alias("n"), F.count(F.lit(1)).alias("rows")).first()
+    chunks = int(max((size["n"] or 0) // CHUNK, size["rows"] // CHUNK_ROWS)) + 1
     place = F.xxhash64("doc_id", "text")
     dealt = base.select("doc_id", "text", "train", place.alias("place"), F.pmod(place, F.lit(chunks)).cast("int").alias("chunk"))
 
@@ -439,10 +458,11 @@ def score_documents(docs: DataFrame, training: Column, id_col: str = "doc_id", t
         for part in parts:
             if not len(part):
                 continue
-            part["score"] = handed.value.log10(list(part["symbols"])) + part["within"]
+            mixed, alone = handed.value.log10(list(part["symbols"]))
+            part["score"], part["counts_score"] = mixed + part["within"], alone + part["within"]
             part["bits_per_byte"] = -part["score"] / math.log10(2) / (part["n_bytes"] + 1)
-            yield part.drop(columns=["symbols", "within", "n_bytes"])
+            yield part.drop(columns=["symbols", "within", "n_bytes"])[["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "counts_score", "bits_per_byte"]]
 
     rows = coded.where("k = -2").select("doc_id", "held_out", "n_tokens", "n_known", "base_score", "within", "n_bytes", "symbols")
-    out = rows.mapInPandas(releasing(scored), "doc_id string, held_out boolean, n_tokens long, n_known long, base_score double, score double, bits_per_byte double")
-    return out.select(F.col("doc_id").cast(kind).alias("doc_id"), "held_out", "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"), "base_score", "score", "bits_per_byte")
+    out = rows.mapInPandas(releasing(scored), "doc_id string, held_out boolean, n_tokens long, n_known long, base_score double, score double, counts_score double, bits_per_byte double")
+    return out.select(F.col("doc_id").cast(kind).alias("doc_id"), "held_out", "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"), "base_score", "score", "counts_score", "bits_per_byte")
