@@ -4,7 +4,7 @@ Rows have a 60-bit hash of their key (id and text). A directory starts with as m
 asks for; only buckets over the byte limit split on another bit, until each fits. Sizes are first summed by cells of a
 fixed number of further bits, so that splitting reads a small table; cells that are still too large are summed again
 with more bits, from their own rows only. Rows whose whole hash is equal (repeated rows) can't be told apart by bits:
-such a bucket is paged by running size.
+such a bucket is paged by counts.
 
 Defined results: a null text has no bytes (a row counts ROW_BYTES besides its text); null ids hash as empty; a single row
 over the limit is a shard of its own; repeated rows are placed one by one; an empty table gives no rows; other columns
@@ -81,10 +81,16 @@ def shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limi
     placed = placed.withColumn("shard", name)
     if not levels[-1][1].where("depth IS NULL").isEmpty():  # equal hashes beyond the limit
         stuck = depth.isNull()
-        running = F.sum("bytes").over(Window.partitionBy(F.when(stuck, F.col("h"))).orderBy("bytes").rowsBetween(Window.unboundedPreceding, -1))
-        # Equal rows have equal sizes, so as many as fit make a page.
-        paged = placed.where(stuck).withColumn("shard", F.concat("shard", F.lit("-"), F.floor(F.coalesce(running, F.lit(0)) / F.greatest(F.col("bytes"), F.floor(F.lit(limit) / F.col("bytes")) * F.col("bytes"))).cast("string")))
-        placed = placed.where(~stuck).unionByName(paged)
+        # Equal rows, so of equal sizes: as many as fit make a page, and any numbering will do. They are numbered within their input
+        # partition and each partition after those before it, so that no task takes all rows of a hash.
+        equal = written(placed.where(stuck).withColumn("part", F.spark_partition_id()), "equal-rows")
+        counts = equal.groupBy("h", "part").agg(F.count(F.lit(1)).alias("n"))
+        before = counts.select("h", "part", (F.sum("n").over(Window.partitionBy("h").orderBy("part")) - F.col("n")).alias("before"))
+        nth = F.row_number().over(Window.partitionBy("h", "part").orderBy("bytes")) - 1
+        per_page = F.greatest(F.lit(1).cast("long"), F.floor(F.lit(limit) / F.col("bytes")))
+        numbered = equal.withColumn("nth", nth).join(small_side(written(before, "equal-counts")), ["h", "part"])
+        paged = numbered.withColumn("shard", F.concat("shard", F.lit("-"), F.floor((F.col("before") + F.col("nth")) / per_page).cast("string")))
+        placed = placed.where(~stuck).unionByName(paged.select(*placed.columns))
     return placed.select(*[F.col("row").getField(c).alias(c) for c in docs.columns], F.col("bytes").alias(bytes_col), F.col("depth").alias(depth_col), F.col("shard").alias(shard_col))
 
 

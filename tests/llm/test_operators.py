@@ -342,6 +342,15 @@ def test_shards(spark, odd, rows, empty):
     assert sum(x.n_rows for x in pages) == 50 and max(x.n_bytes for x in pages) <= 1000
 
 
+def test_shards_of_many_equal_rows(spark):
+    """A third of the rows are equal: their pages are full but for the last, and no page is too large."""
+    rows = spark.range(0, 150_000, 1, 11).select(F.when(F.col("id") % 3 == 0, F.lit(None)).otherwise(F.col("id")).alias("doc_id"), F.when(F.col("id") % 3 == 0, F.lit(None)).otherwise(F.lit("z" * 20)).cast("string").alias("text"))
+    pages = sharding.directory(sharding.shards(rows, limit=16_000)).collect()
+    assert sum(x.n_rows for x in pages) == 150_000 and max(x.n_bytes for x in pages) <= 16_000
+    equal = sorted(x.n_rows for x in pages if "-" in x.shard)
+    assert sum(equal) == 50_000 and equal == [1000] * 50
+
+
 # 9
 def test_mixing(spark, odd, rows, empty):
     import math
