@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shotframe.operators import firstbreak, geometry
+from shotframe.sources import sps
 
 from .portfolio import query, table
 
@@ -113,3 +114,59 @@ def first_breaks(spark, d):
     rows, seeds = _gathers(spark, d)
     out = firstbreak.assist(rows.drop("onset"), seeds, INTERVAL, firstbreak.Options(sta_ms=6, lta_ms=40, wavelet_ms=12, gain_ms=60))
     return out.withColumns({c: F.round(c, 6) for c in ("ms", "confidence", "deviation", "guide")})
+
+
+def _station_lines(spark, d):
+    """(file, ord, kind, raw): customers as station lines, in the layout of their file or, some, in another; some dead, some without place."""
+    c = table(spark, d, "customer")
+    k = F.col("c_custkey")
+    e, n = (k % 90_000) * 7 + 400_000.5, (k % 70_000) * 9 + 4_000_000.2
+    pad = lambda v, w, places: F.lpad(F.format_string(f"%.{places}f", v), w, " ")
+    line, point = F.lpad((k % 40).cast("string"), 6, " "), F.lpad((k % 9999 + 1).cast("string"), 4, " ")
+    code = F.when(k % 31 == 0, "KL").otherwise(F.when(k % 2 == 0, "G1").otherwise("  "))
+    new = F.concat(F.lit("S"), F.rpad((k % 40).cast("string"), 10, " "), F.lpad(F.format_string("%.2f", (k % 9999 + 1).cast("double")), 10, " "), F.lit("  "), F.lit("1"), code, F.lit(" " * 20), F.when(k % 31 == 0, F.lit(" " * 19)).otherwise(F.concat(pad(e, 9, 1), pad(n, 10, 1))), F.when(k % 31 == 0, F.lit("")).otherwise(pad(k % 300 / 2, 6, 1)))
+    a = F.concat(F.lit("R"), line, point, F.lit("   "), pad(e, 10, 1), pad(n, 10, 1), pad(k % 300 / 2, 6, 1))
+    b = F.concat(F.lit("R"), line, point, F.lit("   "), pad(e, 12, 3), pad(n, 12, 3), pad(k % 300 / 2, 6, 1))
+    cc = F.concat(F.lit("r"), line, point, F.lit("  "), pad(e, 10, 1), pad(n, 10, 1))
+    free = F.concat(F.lit("S "), (k % 9).cast("string"), F.lit("\t"), (k % 7).cast("string"), F.lit("  "), F.format_string("%.2f", e), F.lit(" "), F.format_string("%.2f", n))
+    shapes = F.array(new, a, b, cc, free, F.lit("S  x"))
+    kind = F.when(k % 17 == 0, k % 6).otherwise(k % 5)
+    raw = F.element_at(shapes, (F.when(F.col("c_custkey") % 17 == 0, kind).otherwise(F.floor(k / 50) % 5) + 1).cast("int"))
+    # Exploded, so that a line is a column like one that was read, not an expression that every field repeats.
+    lines = c.select(F.floor(k / 50).cast("string").alias("file"), k.alias("ord"), F.explode(F.array(raw)).alias("raw"))
+    return lines.select("file", "ord", F.substring("raw", 1, 1).alias("kind"), "raw")
+
+
+def _num(a: int, b: int) -> str:
+    return f"TRY_CAST(nullif(regexp_extract(trim(substr(raw, {a + 1}, {b - a})), '^[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?'), '') AS DOUBLE)"
+
+
+def _place(name: str, a: int, b: int, c: int, d: int, least: int, z: str = "NULL") -> str:
+    return f"WHEN abs({_num(a, b)}) > {least} AND {_num(c, d)} IS NOT NULL OR abs({_num(c, d)}) > {least} AND {_num(a, b)} IS NOT NULL THEN {{'layout': '{name}', 'e': {_num(a, b)}, 'n': {_num(c, d)}, 'z': CAST({z} AS DOUBLE)}}"
+
+
+_FORMAT = "lpad(printf('%.{p}f', CAST({v} AS DOUBLE)), {w}, ' ')"
+_E, _N = "(c_custkey % 90000 * 7 + 400000.5)", "(c_custkey % 70000 * 9 + 4000000.2)"
+_PAD = lambda v, w, p: _FORMAT.format(v=v, w=w, p=p)
+_LINES = f"""k AS (SELECT c_custkey, CAST(c_custkey // 50 AS VARCHAR) AS file, CASE WHEN c_custkey % 17 = 0 THEN c_custkey % 6 ELSE c_custkey // 50 % 5 END AS shape FROM customer),
+l AS (SELECT file, c_custkey AS ord, CASE shape
+  WHEN 0 THEN 'S' || rpad(CAST(c_custkey % 40 AS VARCHAR), 10, ' ') || {_PAD('c_custkey % 9999 + 1', 10, 2)} || '  1' || CASE WHEN c_custkey % 31 = 0 THEN 'KL' WHEN c_custkey % 2 = 0 THEN 'G1' ELSE '  ' END || repeat(' ', 20)
+    || CASE WHEN c_custkey % 31 = 0 THEN repeat(' ', 19) ELSE {_PAD(_E, 9, 1)} || {_PAD(_N, 10, 1)} || {_PAD('c_custkey % 300 / 2', 6, 1)} END
+  WHEN 1 THEN 'R' || lpad(CAST(c_custkey % 40 AS VARCHAR), 6, ' ') || lpad(CAST(c_custkey % 9999 + 1 AS VARCHAR), 4, ' ') || '   ' || {_PAD(_E, 10, 1)} || {_PAD(_N, 10, 1)} || {_PAD('c_custkey % 300 / 2', 6, 1)}
+  WHEN 2 THEN 'R' || lpad(CAST(c_custkey % 40 AS VARCHAR), 6, ' ') || lpad(CAST(c_custkey % 9999 + 1 AS VARCHAR), 4, ' ') || '   ' || {_PAD(_E, 12, 3)} || {_PAD(_N, 12, 3)} || {_PAD('c_custkey % 300 / 2', 6, 1)}
+  WHEN 3 THEN 'r' || lpad(CAST(c_custkey % 40 AS VARCHAR), 6, ' ') || lpad(CAST(c_custkey % 9999 + 1 AS VARCHAR), 4, ' ') || '  ' || {_PAD(_E, 10, 1)} || {_PAD(_N, 10, 1)}
+  WHEN 4 THEN 'S ' || c_custkey % 9 || chr(9) || c_custkey % 7 || '  ' || printf('%.2f', {_E}::DOUBLE) || ' ' || printf('%.2f', {_N}::DOUBLE) ELSE 'S  x' END AS line0 FROM k),
+w AS (SELECT file, ord, upper(line0[1]) AS kind, CASE WHEN length(line0) < 80 THEN rpad(line0, 80, ' ') ELSE line0 END AS raw FROM l),
+c AS (SELECT *, CASE WHEN NOT regexp_matches(substr(raw, 47, 19), '[0-9]') AND {_num(11, 21)} IS NOT NULL AND regexp_matches(substr(raw, 24, 1), '^[0-9 ]?$') AND regexp_matches(trim(substr(raw, 25, 2)), '^[A-Za-z]{{1,2}}$') THEN trim(substr(raw, 25, 2)) END AS code,
+  list_filter(list_transform(list_slice(regexp_split_to_array(trim(raw), '\\s+'), 2, 1000), lambda x: TRY_CAST(nullif(regexp_extract(x, '^[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?'), '') AS DOUBLE)), lambda x: abs(x) > 10) AS big FROM w),
+p AS (SELECT *, CASE WHEN code IS NOT NULL THEN NULL {_place('SPS2.1', 46, 55, 55, 65, 1, _num(65, 71))} {_place('A', 14, 24, 24, 34, 0)} {_place('B', 14, 26, 26, 38, 0)} {_place('C', 13, 23, 23, 33, 0)}
+  WHEN len(big) >= 2 THEN {{'layout': 'D', 'e': big[1], 'n': big[2], 'z': CAST(NULL AS DOUBLE)}} END AS pl FROM c),
+y AS (SELECT *, CASE WHEN code IS NOT NULL THEN 'SPS2.1' ELSE pl.layout END AS layout FROM p),
+v AS (SELECT file, arg_max(layout, (n, -first)) AS file_layout FROM (SELECT file, layout, count(*) AS n, min(ord) AS first FROM y WHERE layout IS NOT NULL GROUP BY file, layout) GROUP BY file)"""
+
+
+@query(f"""WITH {_LINES} SELECT y.file, ord, kind, CASE WHEN layout = 'SPS2.1' THEN trim(substr(raw, 2, 10)) ELSE trim(substr(raw, 2, 6)) END AS line,
+  coalesce(CASE WHEN layout = 'SPS2.1' THEN {_num(11, 21)} ELSE coalesce(nullif({_num(7, 15)}, 0), nullif({_num(7, 11)}, 0)) END, 0) AS point, nullif(trim(CASE WHEN layout = 'SPS2.1' THEN substr(raw, 24, 1) ELSE substr(raw, 16, 1) END), '') AS idx,
+  pl.e AS easting, pl.n AS northing, coalesce(pl.z, CASE WHEN code IS NULL THEN coalesce(nullif({_num(34, 40)}, 0), {_num(38, 44)}) END) AS elevation, code, layout, file_layout, CASE WHEN layout IS NULL THEN 'no place' END AS error FROM y LEFT JOIN v ON y.file = v.file""")
+def sps_layouts(spark, d):
+    return sps.any_stations(_station_lines(spark, d))
