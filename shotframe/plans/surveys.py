@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shotframe.operators import firstbreak, geometry
+from shotframe.operators import firstbreak, geometry, sweeps
 from shotframe.sources import sps
 
 from .portfolio import query, table
@@ -170,3 +170,41 @@ v AS (SELECT file, arg_max(layout, (n, -first)) AS file_layout FROM (SELECT file
   pl.e AS easting, pl.n AS northing, coalesce(pl.z, CASE WHEN code IS NULL THEN coalesce(nullif({_num(34, 40)}, 0), {_num(38, 44)}) END) AS elevation, code, layout, file_layout, CASE WHEN layout IS NULL THEN 'no place' END AS error FROM y LEFT JOIN v ON y.file = v.file""")
 def sps_layouts(spark, d):
     return sps.any_stations(_station_lines(spark, d))
+
+
+def _designs(spark, d):
+    """Suppliers as sweep designs of every kind, some with faults, at 1000 samples a second."""
+    k = F.col("s_suppkey")
+    kinds = F.element_at(F.array(*[F.lit(x) for x in ("linear", "dbhz", "dboct", "tpower", "sine")]), (k % 21 % 5 + 1).cast("int"))
+    return table(spark, d, "supplier").select(
+        k.alias("sweep"), kinds.alias("kind"), (k % 7 + 5.0).alias("f0"), (k % 90 + 20.0).alias("f1"), F.lit(300.0).alias("ms"), F.when(k % 2 == 0, (k % 5 + 0.5) / 10).alias("slope"), (k % 4 * 30.0).alias("taper_in_ms"),
+        (k % 3 * 40.0).alias("taper_out_ms"), F.when(k % 3 == 0, "blackman").otherwise("cosine").alias("taper"), (k % 4 * 90.0).alias("phase_deg"), F.when(k % 19 == 0, 1.5).otherwise(0.5).alias("amplitude"))
+
+
+_SWEEPS = """k AS (SELECT s_suppkey AS sweep, s_suppkey AS k, ['linear', 'dbhz', 'dboct', 'tpower', 'sine'][s_suppkey % 21 % 5 + 1] AS kind, s_suppkey % 7 + 5.0::DOUBLE AS f0, s_suppkey % 90 + 20.0::DOUBLE AS f1, s_suppkey % 4 * 30.0::DOUBLE AS ti,
+  s_suppkey % 3 * 40.0::DOUBLE AS tx, s_suppkey % 3 = 0 AS bm, s_suppkey % 4 * 90.0::DOUBLE AS ph, CASE WHEN s_suppkey % 19 = 0 THEN 1.5::DOUBLE ELSE 0.5::DOUBLE END AS am FROM supplier),
+g AS (SELECT *, CASE WHEN k % 2 = 0 THEN (k % 5 + 0.5::DOUBLE) / 10 ELSE CASE kind WHEN 'dbhz' THEN 0.1::DOUBLE WHEN 'dboct' THEN 3 WHEN 'tpower' THEN 2 ELSE 0 END END AS sl FROM k WHERE kind <> 'sine' AND am <= 1),
+s AS (SELECT g.*, i, i * 1.0::DOUBLE AS t, i / 300.0::DOUBLE AS x FROM g, range(0, 301) r(i)),
+f AS (SELECT *, CASE kind WHEN 'dbhz' THEN f0 + ln(1 + x * (exp(sl * ln(10::DOUBLE) / 10 * (f1 - f0)) - 1)) / (sl * ln(10::DOUBLE) / 10)
+  WHEN 'dboct' THEN (f0 ** (sl * log2(10::DOUBLE) / 10 + 1) + x * (f1 ** (sl * log2(10::DOUBLE) / 10 + 1) - f0 ** (sl * log2(10::DOUBLE) / 10 + 1))) ** (1 / (sl * log2(10::DOUBLE) / 10 + 1))
+  WHEN 'tpower' THEN f0 + (f1 - f0) * x ** (sl + 1) ELSE f0 + (f1 - f0) * x END AS f, CASE WHEN ti > 0 AND t < ti THEN t / ti ELSE 1 END AS a, CASE WHEN tx > 0 AND t > 300 - tx THEN (300 - t) / tx ELSE 1 END AS b FROM s),
+e AS (SELECT *, am * (CASE WHEN bm THEN 0.42::DOUBLE - 0.5::DOUBLE * cos(pi() * a) + 0.08::DOUBLE * cos(2 * pi() * a) ELSE 0.5::DOUBLE - 0.5::DOUBLE * cos(pi() * a) END) * (CASE WHEN bm THEN 0.42::DOUBLE - 0.5::DOUBLE * cos(pi() * b) + 0.08::DOUBLE * cos(2 * pi() * b) ELSE 0.5::DOUBLE - 0.5::DOUBLE * cos(pi() * b) END) AS env,
+  radians(ph) + coalesce(sum(pi() * (f + before) / 1000) OVER (PARTITION BY sweep ORDER BY i), 0) AS phase FROM (SELECT *, lag(f) OVER (PARTITION BY sweep ORDER BY i) AS before FROM f) q),
+y AS (SELECT *, env * cos(phase) AS v FROM e)"""
+
+
+@query(f"""WITH {_SWEEPS} SELECT sweep, CAST(i AS INTEGER) AS i, round(f, 6) AS frequency, round(greatest(env, 0), 6) AS envelope, round(phase, 6) AS phase, round(v, 6) AS sample FROM y""")
+def sweep_designs(spark, d):
+    made = sweeps.designs(_designs(spark, d), 1000.0).where(F.size("faults") == 0)
+    long = made.select("sweep", F.posexplode(F.arrays_zip("frequency", "envelope", "designed_phase", "samples")).alias("i", "s"))
+    return long.select("sweep", "i", (F.round("s.frequency", 6) + 0.0).alias("frequency"), (F.round("s.envelope", 6) + 0.0).alias("envelope"), (F.round(F.radians("s.designed_phase"), 6) + 0.0).alias("phase"), (F.round("s.samples", 6) + 0.0).alias("sample"))
+
+
+@query(f"""WITH {_SWEEPS}, w AS (SELECT a.sweep, b.i - a.i AS lag, sum(a.v * b.v) AS r FROM y a JOIN y b ON a.sweep = b.sweep AND b.i BETWEEN a.i AND a.i + 100 GROUP BY a.sweep, b.i - a.i),
+n AS (SELECT sweep, lag, r / max(CASE WHEN lag = 0 THEN r END) OVER (PARTITION BY sweep) AS r FROM w), c AS (SELECT *, lag(r) OVER (PARTITION BY sweep ORDER BY lag) AS before FROM n),
+z AS (SELECT sweep, min(lag) AS turn FROM c WHERE (r > 0) <> (before > 0) GROUP BY sweep)
+SELECT n.sweep, round(min(120, -20 * log10(max(abs(r)))), 4) AS sidelobe_db, 2.0::DOUBLE * any_value(turn) AS main_lobe_ms FROM n JOIN z ON n.sweep = z.sweep AND lag >= turn GROUP BY n.sweep""".replace("min(120, -20 * log10(max(abs(r))))", "least(120, -20 * log10(max(abs(r))))"))
+def sweep_klauder(spark, d):
+    made = sweeps.designs(_designs(spark, d), 1000.0).where(F.size("faults") == 0)
+    found = made.select("sweep", sweeps.klauder(F.col("samples"), 1000.0, 100.0).alias("k"))
+    return found.select("sweep", F.round("k.sidelobe_db", 4).alias("sidelobe_db"), F.col("k.main_lobe_ms").alias("main_lobe_ms")).where("main_lobe_ms > 0")

@@ -7,13 +7,13 @@ import time
 from shotframe.streaming import triggers as live
 
 
-def settle(q, files, limit=40.0):
+def settle(q, files, limit=20.0):
     """Wait until the query has taken so many files and has nothing more to do (event-time timeouts may need a batch without data)."""
     began, still = time.time(), 0
-    while still < 4 and time.time() - began < limit:
+    while still < 8 and time.time() - began < limit:
         assert q.exception() is None, q.exception()
         taken = sum(p["numInputRows"] > 0 for p in q.recentProgress)
-        still = still + 1 if taken >= files and not q.status["isTriggerActive"] else 0
+        still = still + 1 if taken >= files and not q.status["isDataAvailable"] else 0
         time.sleep(0.25)
 
 
@@ -75,7 +75,7 @@ def test_landings_settle(spark, tmp_path):
     assert sorted(told[1]) == [("a", 10, 2)] and ("b", 20, 3) in told[2]
     flat = [x for b in told for x in b]
     assert sorted(x for x in flat if x[0] != "z") == [("a", 10, 2), ("a", 15, 13), ("b", 20, 3), ("d", 5, 9)]
-    assert not any(f == "c" for f, *_ in flat) and ("z", 1, 1) in flat
+    assert not any(f in "cz" for f, *_ in flat)  # c is empty, z had another size each time it was seen
     assert state[-1]["numRowsTotal"] < max(s["numRowsTotal"] for s in state)
 
 
