@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import nearby
+
 
 def duplicates(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The rows after the first of each key."""
@@ -93,18 +95,8 @@ def skid_summary(rows: DataFrame) -> DataFrame:
 
 
 def nearest(points: DataFrame, targets: DataFrame, point_id: str, target_id: str, x: str, y: str, within: float) -> DataFrame:
-    """(point, target, distance): the nearest target within a distance, the smaller id of equals.
-
-    Both sides are dealt into square cells of that size; a point looks into its own and the eight around it."""
-    cell = lambda c: F.floor(F.col(c) / within).cast("long")
-    near = F.array(*[F.lit(d) for d in (-1, 0, 1)])
-    p = points.select(F.col(point_id), F.col(x).alias("px"), F.col(y).alias("py"), cell(x).alias("__x"), cell(y).alias("__y"))
-    p = p.withColumn("__dx", F.explode(near)).withColumn("__dy", F.explode(near)).withColumns({"cx": F.col("__x") + F.col("__dx"), "cy": F.col("__y") + F.col("__dy")})
-    t = targets.select(F.col(target_id), F.col(x).alias("tx"), F.col(y).alias("ty"), cell(x).alias("cx"), cell(y).alias("cy"))
-    d = F.sqrt(F.pow(F.col("px") - F.col("tx"), F.lit(2.0)) + F.pow(F.col("py") - F.col("ty"), F.lit(2.0)))
-    rows = p.join(t, ["cx", "cy"]).withColumn("distance", d).where(F.col("distance") <= within)
-    best = rows.groupBy(point_id).agg(F.min(F.struct("distance", target_id)).alias("b"))
-    return best.select(point_id, F.col(f"b.{target_id}").alias(target_id), F.col("b.distance").alias("distance"))
+    """(point, target, distance): the nearest target within a distance, the smaller id of equals."""
+    return nearby.nearest(points, targets, point_id, target_id, x, y, within)
 
 
 def merge_distinct(first: DataFrame, second: DataFrame, keys: list[str], order: str) -> DataFrame:
