@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import nearby
+
 
 def counts(points: DataFrame, x: str, y: str, x0: float, y0: float, size: float, nx: int, ny: int) -> DataFrame:
     """(ix, iy, n) of every cell of the grid; 0 is a value. The dense side is made of ranges, not of data."""
@@ -41,10 +43,4 @@ def inverse_distance(points: DataFrame, point_id: str, x: str, y: str, value: st
 
 def nearest_spacing(points: DataFrame, point_id: str, x: str, y: str, within: float) -> DataFrame:
     """(id, gap): each point's distance to its nearest other point within a distance."""
-    square = lambda c: F.floor(F.col(c) / within).cast("long")
-    near = F.array(*[F.lit(d) for d in (-1, 0, 1)])
-    a = points.select(F.col(point_id), F.col(x).alias("ax"), F.col(y).alias("ay"), square(x).alias("sx"), square(y).alias("sy")).withColumn("dx", F.explode(near)).withColumn("dy", F.explode(near))
-    a = a.withColumns({"sx": F.col("sx") + F.col("dx"), "sy": F.col("sy") + F.col("dy")})
-    b = points.select(F.col(point_id).alias("other"), F.col(x).alias("bx"), F.col(y).alias("by"), square(x).alias("sx"), square(y).alias("sy"))
-    d = F.sqrt(F.pow(F.col("ax") - F.col("bx"), F.lit(2.0)) + F.pow(F.col("ay") - F.col("by"), F.lit(2.0)))
-    return a.join(b, ["sx", "sy"]).where(F.col(point_id) != F.col("other")).withColumn("d", d).where(F.col("d") <= within).groupBy(point_id).agg(F.min("d").alias("gap"))
+    return nearby.spacing(points, point_id, x, y, within)

@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from shotframe.operators import nearby, survey
+from shotframe.operators import nearby, raster, survey
 
 
 def crowded() -> list[tuple[int, float, float]]:
@@ -35,7 +35,19 @@ def test_nearest_against_all_pairs(spark):
     assert all(got[p][0] == pytest.approx(want[p][0], abs=1e-9) for p in want)
 
 
-@pytest.mark.parametrize("apart", [False])
+def test_spacing_against_all_pairs(spark):
+    rows = [*crowded(), (705, 3000.0, 0.0), (705, 3001.0, 0.0), (706, 3010.0, 0.0), (None, 3002.0, 0.0)]  # an id at two places is no neighbour of its own
+    got = {row.p: row.gap for row in raster.nearest_spacing(spark.createDataFrame(rows, "p long, x double, y double"), "p", "x", "y", 400.0).collect()}
+    want = {}
+    known = [row for row in given(rows) if row[0] is not None]
+    for p, x, y in known:
+        gaps = [g for q, a, b in known if q != p and (g := math.sqrt((x - a) ** 2 + (y - b) ** 2)) <= 400]
+        if gaps:
+            want[p] = min([*gaps, want.get(p, math.inf)])
+    assert got.keys() == want.keys() and all(got[p] == pytest.approx(want[p], abs=1e-9) for p in want)
+
+
+@pytest.mark.parametrize("apart", [False, True])
 def test_pairs_don_t_grow_with_density(spark, apart):
     """Sixteen times the targets and points on the same ground, which one cell held: a point is held against no more targets than before."""
     pairs = []
@@ -49,4 +61,4 @@ def test_pairs_don_t_grow_with_density(spark, apart):
 def test_no_targets(spark):
     none = spark.createDataFrame([], "t long, x double, y double")
     points = spark.createDataFrame([(1, 0.0, 0.0)], "p long, x double, y double")
-    assert survey.nearest(points, none, "p", "t", "x", "y", 400.0).count() == 0
+    assert survey.nearest(points, none, "p", "t", "x", "y", 400.0).count() == 0 and raster.nearest_spacing(points, "p", "x", "y", 400.0).count() == 0
