@@ -1,9 +1,9 @@
 """Trace headers against a survey's stations: check and load, as a cascade of joins in which only unmatched rows go on.
 
 Tables: ``traces`` (trace, ffid, source_point, source_x, source_y, receiver_x, receiver_y, coordinate_scalar), places as in the headers;
-``stations`` (line, point, x, y, elevation), one frame of sources and one of receivers. Places are matched by cells as wide as the
-tolerance, a query in nine of them, so that every join is by equality; equal places are looked up once, however many traces share
-them. A place counts as given if it is finite and not (0, 0). Of stations at the same distance the one of smaller line and point is taken.
+``stations`` (line, point, x, y, elevation), one frame of sources and one of receivers. Places are matched by cells of WIDTH tolerances,
+a query in those that the tolerance reaches (mostly one), so that every join is by equality; equal places are looked up once, however
+many traces share them. Traces are written once and read from there, as are shots and places, so that no step computes another's rows again. A place counts as given if it is finite and not (0, 0). Of stations at the same distance the one of smaller line and point is taken.
 """
 
 from __future__ import annotations
@@ -12,8 +12,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shotframe.functions import scalars
+from shotframe.shared import written
 
 TOLERANCE, COLLAPSED_WITHIN, COLLAPSED_SHARE = 2.0, 1.0, 0.9
+#: Tolerances in a cell's width.
+WIDTH = 4
 #: Trace sorting codes of stacked data.
 STACKED = (4, 8, 9)
 
@@ -51,11 +54,12 @@ def _distance(ax, ay, bx, by) -> Column:
 
 def nearest(places: DataFrame, stations: DataFrame, tolerance: float) -> DataFrame:
     """(x, y, dist, line, point) of the distinct places that have a station within the tolerance: the nearest one."""
-    cell = max(tolerance, 1e-6)
-    of = lambda c: F.floor(F.col(c) / cell).cast("long")
-    near = F.array(*[F.lit(d) for d in (-1, 0, 1)])
-    queries = places.select("x", "y").distinct().withColumn("cx", F.explode(F.transform(near, lambda d: of("x") + d))).withColumn("cy", F.explode(F.transform(near, lambda d: of("y") + d)))
-    known = stations.where(_given(F.col("x"), F.col("y")) | ((F.col("x") == 0) & (F.col("y") == 0))).select("line", "point", F.col("x").alias("px"), F.col("y").alias("py"), of("x").alias("cx"), of("y").alias("cy"))
+    cell = WIDTH * max(tolerance, 1e-6)
+    of = lambda c: F.floor(c / cell).cast("long")
+    reach = lambda c: tolerance + F.abs(c) * 1e-12
+    reached = lambda c: F.explode(F.array_distinct(F.array(of(F.col(c) - reach(F.col(c))), of(F.col(c) + reach(F.col(c))))))
+    queries = places.select("x", "y").distinct().withColumn("cx", reached("x")).withColumn("cy", reached("y"))
+    known = stations.where(_given(F.col("x"), F.col("y")) | ((F.col("x") == 0) & (F.col("y") == 0))).select("line", "point", F.col("x").alias("px"), F.col("y").alias("py"), of(F.col("x")).alias("cx"), of(F.col("y")).alias("cy"))
     pairs = queries.join(known, ["cx", "cy"]).withColumn("dist", _distance(F.col("x"), F.col("y"), F.col("px"), F.col("py"))).where(F.col("dist") <= tolerance)
     best = pairs.groupBy("x", "y").agg(F.min(F.struct("dist", "line", "point")).alias("b"))
     return best.select("x", "y", "b.dist", "b.line", "b.point")
@@ -72,16 +76,16 @@ def match_sources(rows: DataFrame, sources: DataFrame, tolerance: float = TOLERA
 
     A shot whose point the survey numbers is held against the nearest station of that number: matched, swapped (east and north
     exchanged) or off. Any other is looked up by place: numbering (found, so only its number differs), swapped or off."""
-    shots = _shots(rows)
+    shots = written(_shots(rows), "shots")
     known = sources.select(F.col("point").alias("source_point"), "line", "x", "y").where("source_point IS NOT NULL")
     pairs = shots.join(known, "source_point")
     straight, crossed = _distance(F.col("sx"), F.col("sy"), F.col("x"), F.col("y")), _distance(F.col("sx"), F.col("sy"), F.col("y"), F.col("x"))
     by_number = pairs.groupBy("ffid", "source_point").agg(F.min(F.struct(straight.alias("dist"), "line")).alias("b"), F.min(crossed).alias("crossed"))
     outcome = F.when(F.col("b.dist") <= tolerance, "matched").when(F.col("crossed") <= tolerance, "swapped").otherwise("off")
     numbered = by_number.select("ffid", outcome.alias("outcome"), "b.line", F.col("source_point").alias("point"), "b.dist")
-    rest = shots.join(known.select("source_point").distinct(), "source_point", "left_anti")
+    rest = written(shots.join(known.select("source_point").distinct(), "source_point", "left_anti"), "unnumbered")
     found = nearest(rest.select(F.col("sx").alias("x"), F.col("sy").alias("y")), sources, tolerance)
-    placed_ = rest.join(found.withColumnsRenamed({"x": "sx", "y": "sy"}), ["sx", "sy"], "left")
+    placed_ = written(rest.join(found.withColumnsRenamed({"x": "sx", "y": "sy"}), ["sx", "sy"], "left"), "by-place")
     by_place = placed_.where("dist IS NOT NULL").select("ffid", F.lit("numbering").alias("outcome"), "line", "point", "dist")
     left = placed_.where("dist IS NULL").select("ffid", "sx", "sy")
     turned = nearest(left.select(F.col("sy").alias("x"), F.col("sx").alias("y")), sources, tolerance).select(F.col("y").alias("sx"), F.col("x").alias("sy"), F.lit(True).alias("turned"))
@@ -91,14 +95,14 @@ def match_sources(rows: DataFrame, sources: DataFrame, tolerance: float = TOLERA
 
 def match_receivers(rows: DataFrame, receivers: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     """(x, y, n, dist, line, point): the distinct receiver places of placed rows, how many traces have them, and their station if there is one."""
-    places = rows.where("receiver_given").groupBy(F.col("rx").alias("x"), F.col("ry").alias("y")).agg(F.count("*").alias("n"))
+    places = written(rows.where("receiver_given").groupBy(F.col("rx").alias("x"), F.col("ry").alias("y")).agg(F.count("*").alias("n")), "receiver-places")
     return places.join(nearest(places, receivers, tolerance), ["x", "y"], "left")
 
 
 def check(traces: DataFrame, sources: DataFrame, receivers: DataFrame, tolerance: float = TOLERANCE, sorting: int = 0) -> DataFrame:
     """(category, severity, n): the findings that occur. Sides with places on under 1 % of the traces are told of and not checked."""
-    rows = placed(traces)
-    seen = inventory(rows, sorting)
+    rows = written(placed(traces).select("trace", "ffid", "source_point", "coordinate_scalar", "sx", "sy", "rx", "ry", "source_given", "receiver_given"), "placed")
+    seen = written(inventory(rows, sorting), "inventory")
     one = seen.first()  # one row of sums
     out = [
         ("Coverage", "info", seen.where("n = 0").select(F.lit(0).cast("long").alias("n"))),
@@ -110,10 +114,10 @@ def check(traces: DataFrame, sources: DataFrame, receivers: DataFrame, tolerance
         if percent < 1:
             out.append((f"{side.capitalize()}Coverage", "info", rows.agg(F.count_if(f"{side}_given").alias("n"))))
         elif side == "source":
-            count = match_sources(rows, stations, tolerance).groupBy("outcome").agg(F.count("*").alias("n"))
+            count = written(match_sources(rows, stations, tolerance).groupBy("outcome").agg(F.count("*").alias("n")), "outcomes")
             out += [(name, severity, count.where(F.col("outcome") == o).select("n")) for o, name, severity in (("swapped", "SourceSwap", "error"), ("off", "SourcePos", "error"), ("numbering", "SourceNumbering", "info"))]
         else:
-            found = match_receivers(rows, stations, tolerance)
+            found = written(match_receivers(rows, stations, tolerance), "receivers")
             out.append(("ReceiverPos", "error", found.where("dist IS NULL").agg(F.sum("n").alias("n"))))
             used = found.where("dist IS NOT NULL").select("line", "point").distinct()
             out.append(("MissingStation", "warn", stations.join(used, [stations["line"].eqNullSafe(used["line"]), stations["point"].eqNullSafe(used["point"])], "left_anti").agg(F.count("*").alias("n"))))
