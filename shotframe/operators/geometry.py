@@ -133,15 +133,15 @@ def load(traces: DataFrame, sources: DataFrame, receivers: DataFrame, tolerance:
 
     A shot's source is that of its first trace: by its number if it has no place or the station of that number is within the
     tolerance, else by place. The scalar is weakened until the largest coordinate fits 32 bits."""
-    rows = placed(traces)
+    rows = written(placed(traces), "placed")
     most = sources.select("x", "y", "elevation").unionByName(receivers.select("x", "y", "elevation")).agg(F.max(F.greatest(F.abs("x"), F.abs("y"), F.abs("elevation"))).alias("m")).first()["m"]
     fitted = sources.sparkSession.range(1).select(scalars.fit_scalar(F.lit(most).cast("double"), scalar).alias("s")).first()["s"]
-    first = rows.groupBy("ffid").agg(F.min_by(F.struct("source_point", "sx", "sy"), "trace").alias("s")).select("ffid", "s.source_point", "s.sx", "s.sy")
+    first = written(rows.groupBy("ffid").agg(F.min_by(F.struct("source_point", "sx", "sy"), "trace").alias("s")).select("ffid", "s.source_point", "s.sx", "s.sy"), "shots")
     station = F.struct(F.col("x").alias("x"), F.col("y").alias("y"), F.col("elevation").alias("z"))
     known = sources.where("point IS NOT NULL").select(F.col("point").alias("source_point"), "line", station.alias("at"))
     dist = F.when(F.col("sx").isNull(), F.lit(0.0)).otherwise(_distance(F.col("sx"), F.col("sy"), F.col("at.x"), F.col("at.y")))
-    numbered = first.join(known, "source_point").withColumn("dist", dist).where(F.col("dist") <= tolerance).groupBy("ffid").agg(F.min(F.struct("dist", "line", "at")).alias("b")).select("ffid", F.col("b.at").alias("source"))
-    rest = first.where("sx IS NOT NULL").join(numbered, "ffid", "left_anti")
+    numbered = written(first.join(known, "source_point").withColumn("dist", dist).where(F.col("dist") <= tolerance).groupBy("ffid").agg(F.min(F.struct("dist", "line", "at")).alias("b")).select("ffid", F.col("b.at").alias("source")), "numbered")
+    rest = written(first.where("sx IS NOT NULL").join(numbered, "ffid", "left_anti"), "unnumbered")
     at = lambda stations, name: stations.select("line", "point", station.alias(name)).dropDuplicates(["line", "point"])
     by_place = nearest(rest.select(F.col("sx").alias("x"), F.col("sy").alias("y")), sources, tolerance).join(at(sources, "source"), ["line", "point"]).select(F.col("x").alias("sx"), F.col("y").alias("sy"), "source")
     shots = numbered.unionByName(rest.join(by_place, ["sx", "sy"]).select("ffid", "source"))

@@ -33,6 +33,13 @@ def test_check_computes_traces_once(spark):
     assert n.value == rows
 
 
+def test_load_computes_traces_once(spark):
+    traces, n, rows = counted(spark)
+    stations = spark.createDataFrame(STATIONS, "line int, point long, x double, y double, elevation double")
+    got = {r.trace: (r.source_x, r.receiver_x) for r in geometry.load(traces, stations, stations).collect()}
+    assert got[11] == (2000, 2000) and got[22] == (4000, 4000) and got[33] == (100, 6000) and n.value == rows
+
+
 @pytest.mark.parametrize("tolerance", [2.0, 0.3])
 def test_places_against_all_pairs(spark, tolerance):
     r = random.Random(3)
