@@ -22,7 +22,7 @@ def counted(spark):
         n.add(1)
         return v
 
-    return spark.createDataFrame(rows, KIND).withColumn("trace", F.udf(seen, "long")("trace")), n, len(rows)
+    return spark.createDataFrame(rows, KIND).withColumn("source_x", F.udf(seen, "long")("source_x")), n, len(rows)
 
 
 def test_check_computes_traces_once(spark):
