@@ -32,6 +32,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -59,7 +60,8 @@ LEVELS = 4
 CONTEXTS, INPUTS, GATES = 2, 3, 2 * LEVELS**2
 _TOP = (1 << 16) - 1
 _LOG = np.log(np.arange(_TOP + 1) + PRIOR).astype(np.float32)
-_LEVEL = np.where(np.arange(17) > 15, 3, np.where(np.arange(17) > 2, 2, np.arange(17) > 0)).astype(np.uint8)
+#: The log-odds that a packed slot holds.
+_ODDS = (np.arange(_TOP + 1, dtype=np.uint16) & np.uint16(0xFFFC)).view(np.float16).astype(np.float32)
 _NODE = np.uint64(0x9E3779B1)
 PIECES = 32
 
@@ -111,11 +113,11 @@ class Tree:
         self.alone = (by_bit[self.first + self.length] - by_bit[self.first])[: self.byte]
 
     def bits_of(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(symbol's place, place among all paths) of the symbols' bits, in order."""
+        """(number of bits of each symbol, place among all paths of each bit), in order."""
         count = self.length[symbols]
-        of = np.repeat(np.arange(len(symbols), dtype=np.int32), count)
-        at = np.arange(len(of)) + np.repeat(self.first[symbols] - (np.cumsum(count) - count), count)
-        return of, at
+        at = np.repeat(self.first[symbols] - (np.cumsum(count) - count), count)
+        at += np.arange(len(at))
+        return count, at
 
     def contexts(self, symbols: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
         """A hash of each symbol's two contexts: of the word before and of the two before; of a byte, what was spelled of its
@@ -142,11 +144,11 @@ class Tree:
         return list(((hashes ^ (hashes >> np.uint64(29))) >> np.uint64(16)).astype(np.uint32))
 
 
-def symbols_of(words: list[bytes], cell: np.ndarray, known: np.ndarray, tree: Tree) -> tuple[np.ndarray, np.ndarray]:
-    """(symbols, place of each word's first): known words are their cells, unknown ones are spelled."""
-    size = np.ones(len(words), np.int64)
+def symbols_of(words: list[bytes], cell: np.ndarray, known: np.ndarray, tree: Tree, keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(symbols, place of each word's first): known words are their cells, unknown ones are spelled. keep: the words meant, if not all."""
+    size = np.ones(len(known), np.int64)
     odd = np.flatnonzero(~known)
-    spelt = [words[i] for i in odd]
+    spelt = [words[i] for i in (odd if keep is None else keep[odd]).tolist()]
     size[odd] += np.fromiter(map(len, spelt), np.int64, len(spelt)) + 1
     first = np.cumsum(size) - size
     out = np.empty(int(size.sum()), np.int32)
@@ -186,24 +188,48 @@ def _unpack(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
+def _level(n: np.ndarray) -> np.ndarray:
+    return (n > 0).view(np.uint8) + (n > 2).view(np.uint8) + (n > 15).view(np.uint8)
+
+
 def packed_odds(counts: np.ndarray) -> np.ndarray:
     """Log-odds as half floats whose two lowest bits hold the level; large pairs of counts are scaled down together."""
     scale = np.maximum(1, counts.max(axis=1, keepdims=True) / _TOP)
     counts = np.minimum(_TOP, np.ceil(counts / scale)).astype(np.int64)
-    level = _LEVEL[np.minimum(counts.sum(axis=1), 16)]
+    level = _level(counts.sum(axis=1))
     return ((_LOG[counts[:, 1]] - _LOG[counts[:, 0]]).astype(np.float16).view(np.uint16) & np.uint16(0xFFFC)) | level
 
 
+def _slots(context: np.ndarray, count: np.ndarray, hashed: np.ndarray, mask: np.uint32) -> np.ndarray:
+    """The slot of each bit, from its symbol's context and its node's hash."""
+    slots = np.repeat(context, count)
+    slots += hashed
+    slots &= mask
+    return slots.astype(np.int64)
+
+
 def _mixed(weights: np.ndarray, gate: np.ndarray, x: np.ndarray) -> np.ndarray:
     odds = np.zeros(x.shape[1], np.float32)
     for k in range(len(x)):
-        odds += weights[:, k].take(gate) * x[k]
+        part = weights[:, k].take(gate, mode="clip")
+        part *= x[k]
+        odds += part
     return np.clip(odds, -12, 12, out=odds)
 
 
 def _bucket(odds: np.ndarray, gate: np.ndarray) -> np.ndarray:
-    at = (np.clip(odds, -8, 8) * np.float32((BUCKETS - 1) / 16) + np.float32((BUCKETS - 1) / 2 + 0.5)).astype(np.int32)
-    return gate.astype(np.int32) * BUCKETS + at
+    at = np.clip(odds, -8, 8)
+    at *= np.float32((BUCKETS - 1) / 16)
+    at += np.float32((BUCKETS - 1) / 2 + 0.5)
+    at = at.astype(np.int64)
+    at += gate * BUCKETS
+    return at
+
+
+def _squashed(odds: np.ndarray) -> np.ndarray:
+    p = np.exp(-odds)
+    p += 1
+    return np.divide(1, p, out=p)
 
 
 def _first_weights() -> np.ndarray:
@@ -223,29 +249,32 @@ class Learner:
 
     def learn(self, symbols: np.ndarray, starts: np.ndarray) -> None:
         """symbols of texts, one after another, that begin at starts."""
-        context = self.tree.contexts(symbols, starts)
+        tree, context = self.tree, self.tree.contexts(symbols, starts)
         for a in range(0, len(symbols), BATCH):
             some = symbols[a : a + BATCH]
-            of, at = self.tree.bits_of(some)
-            bit, hashed = self.tree.bit[at], self.tree.path_hash[at]
-            slots = [((c[a : a + BATCH][of] + hashed) & self.mask).astype(np.int64) for c in context]
-            gate = (some >= self.tree.byte).astype(np.uint8)[of] << np.uint8(4)
+            count, at = tree.bits_of(some)
+            bit, hashed = tree.bit.take(at, mode="clip"), tree.path_hash.take(at, mode="clip")
+            gate = np.repeat((some >= tree.byte).view(np.uint8) << np.uint8(4), count)
             x = np.empty((INPUTS, len(bit)), np.float32)
-            x[0] = self.tree.path_odds[at]
+            tree.path_odds.take(at, out=x[0], mode="clip")
+            slots = [_slots(c[a : a + BATCH], count, hashed, self.mask) for c in context]
             for k, s in enumerate(slots):
-                pair = self.tables[k].view(np.int64)[s]  # both counts at once, that of 0 below
-                zero, one = pair & 0xFFFFFFFF, pair >> 32
-                gate |= _LEVEL[np.minimum(zero + one, 16)] << np.uint8(2 * k)
-                x[k + 1] = _LOG[np.minimum(one, _TOP)] - _LOG[np.minimum(zero, _TOP)]
+                pair = self.tables[k].view(np.int64).take(s, mode="clip").view(np.int32)  # the counts of 0 and 1 in turn
+                gate |= _level(pair[::2] + pair[1::2]) << np.uint8(2 * k)
+                logs = _LOG.take(pair, mode="clip")
+                np.subtract(logs[1::2], logs[::2], out=x[k + 1])
+            gate = gate.astype(np.int64)
             odds = _mixed(self.weights, gate, x)
             self.table += np.bincount(_bucket(odds, gate) * 2 + bit, minlength=len(self.table))
-            wrong = bit - 1 / (1 + np.exp(-odds))
+            wrong = bit - _squashed(odds)
             n = np.bincount(gate, minlength=GATES)
             self.seen += n
             for k in range(INPUTS):
                 self.weights[:, k] += RATE * np.bincount(gate, wrong * x[k], GATES) / np.maximum(256, n)
             for k, s in enumerate(slots):
-                np.add.at(self.tables[k], 2 * s + bit, np.int32(1))
+                s *= 2
+                s += bit
+                np.add.at(self.tables[k], s, np.int32(1))
 
     def sums(self) -> np.ndarray:
         return np.concatenate([(self.weights * self.seen[:, None]).ravel(), self.seen, self.table])
@@ -282,7 +311,7 @@ class Model:
         size = np.array([len(x) for x in texts], np.int64)
         at = 0
         while at < len(texts):
-            end = max(at + 1, int(np.searchsorted(np.cumsum(size[at:]), 8 * BATCH, side="right")) + at)
+            end = max(at + 1, int(np.searchsorted(np.cumsum(size[at:]), 32 * BATCH, side="right")) + at)
             total[:, at:end] = self._scored(texts[at:end])
             at = end
         return total[0], total[1]
@@ -295,50 +324,69 @@ class Model:
         doc = np.repeat(np.arange(len(texts), dtype=np.int32), size)
         segment = (np.arange(len(symbols)) - np.repeat(np.cumsum(size) - size, size)) // SEGMENT
         by = np.argsort(segment, kind="stable")
-        cut = np.searchsorted(segment[by], np.arange(int(segment.max(initial=0)) + 2))
         moved = np.zeros((len(texts), INPUTS), np.float32)  # what each text has learned so far
         total, alone, belief = np.zeros(len(texts)), np.zeros(len(texts)), np.zeros(len(texts))
-        for i in range(len(cut) - 1):
-            part = by[cut[i] : cut[i + 1]]
-            some = symbols[part]
-            of, at = self.tree.bits_of(some)
-            if not len(of):
-                continue
-            bit, hashed = self.tree.bit[at], self.tree.path_hash[at]
-            gate = (some >= self.tree.byte).astype(np.uint8)[of] << np.uint8(4)
-            x = np.empty((INPUTS, len(of)), np.float32)
-            x[0] = self.tree.path_odds[at]
-            for k, c in enumerate(context):
-                both = self.tables[k].take(((c[part][of] + hashed) & self.mask).astype(np.int64))
-                gate |= (both & np.uint16(3)).astype(np.uint8) << np.uint8(2 * k)
-                x[k + 1] = (both & np.uint16(0xFFFC)).view(np.float16)
-            ds = doc[part][of]
-            odds = _mixed(self.weights, gate, x)
-            if i:
-                for k in range(INPUTS):
-                    odds += moved[:, k].take(ds) * x[k]
-            p = 1 / (1 + np.exp(-odds))
-            mixed = np.float32(0.5) * (p + self.refine[_bucket(odds, gate)])
-            mixed = np.clip(np.where(bit == 1, mixed, 1 - mixed), 1e-6, 1)
-            by_bit = np.log10(mixed)
-            by_mix = np.bincount(ds, by_bit, len(texts))
-            spelt = np.flatnonzero(gate >> np.uint8(4))
-            spelling = np.bincount(ds[spelt], by_bit[spelt], len(texts))
-            word = some < self.tree.byte
-            by_counts = np.bincount(doc[part][word], self.tree.alone[some[word]], len(texts)) + spelling
-            # log of (e^b * mix + counts) / (e^b + 1), b the belief in the mix.
-            ahead = (by_mix - by_counts) * math.log(10)
-            total += by_counts + (np.logaddexp(belief + ahead, 0) - np.logaddexp(belief, 0)) / math.log(10)
-            alone += by_counts
-            belief = np.clip(belief + ahead, -BELIEF, BELIEF)
-            if i < len(cut) - 2:
-                wrong = bit - p
-                first = np.flatnonzero(np.append(True, ds[1:] != ds[:-1]))
-                n = np.sqrt(np.diff(np.append(first, len(ds))))
-                for k in range(INPUTS):
-                    moved[ds[first], k] += DOC_RATE * np.add.reduceat(wrong * x[k], first) / n
+        # Parts of texts, segment by segment; some at a time, so that a processor's cache holds their bits.
+        doc, segment = doc[by], segment[by]
+        begin = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (segment[1:] != segment[:-1]))) if len(by) else np.empty(0, np.int64)
+        end = np.append(begin[1:], len(by))
+        first = 0
+        while first < len(begin):
+            last = max(first + 1, min(int(np.searchsorted(end, begin[first] + BATCH, side="right")), int(np.searchsorted(segment[begin], segment[begin[first]], side="right"))))
+            a, z, text = begin[first], end[last - 1], doc[begin[first:last]]
+            some = symbols[by[a:z]]
+            self._part(some, [c[by[a:z]] for c in context], begin[first:last] - a, text, size[text] > (segment[a] + 1) * SEGMENT, moved, total, alone, belief)
+            first = last
         return total, alone
 
+    def _part(self, some: np.ndarray, context: list[np.ndarray], begin: np.ndarray, text: np.ndarray, on: np.ndarray, moved: np.ndarray, total: np.ndarray, alone: np.ndarray, belief: np.ndarray) -> None:
+        """Score a segment of each of some texts: their symbols begin at begin; on: whether a text goes on after it."""
+        tree = self.tree
+        count, at = tree.bits_of(some)
+        bits = np.add.reduceat(count, begin)
+        if not bits.all():  # a text all of whose bits here are certain
+            held = bits > 0
+            begin, text, on, bits = begin[held], text[held], on[held], bits[held]
+        if not len(text):
+            return
+        first = np.cumsum(bits) - bits
+        bit, hashed = tree.bit.take(at, mode="clip"), tree.path_hash.take(at, mode="clip")
+        spelt = some >= tree.byte
+        gate = np.repeat(spelt.view(np.uint8) << np.uint8(4), count)
+        x = np.empty((INPUTS, len(at)), np.float32)
+        tree.path_odds.take(at, out=x[0], mode="clip")
+        for k, c in enumerate(context):
+            both = self.tables[k].take(_slots(c, count, hashed, self.mask), mode="clip")
+            gate |= (both.astype(np.uint8) & np.uint8(3)) << np.uint8(2 * k)
+            _ODDS.take(both, out=x[k + 1], mode="clip")
+        gate = gate.astype(np.int64)
+        odds = _mixed(self.weights, gate, x)
+        for k in range(INPUTS):
+            if moved[text, k].any():
+                odds += np.repeat(moved[text, k], bits) * x[k]
+        p = _squashed(odds)
+        mixed = self.refine.take(_bucket(odds, gate), mode="clip")
+        mixed += p
+        mixed *= np.float32(0.5)
+        mixed += bit - np.float32(1)  # the chance of 1, or that of 0 below zero
+        np.abs(mixed, out=mixed)
+        by_bit = np.log(np.clip(mixed, 1e-6, 1, out=mixed), out=mixed).astype(np.float64)
+        by_mix = np.add.reduceat(by_bit, first)
+        by_counts = np.add.reduceat(np.where(spelt, 0, tree.alone.take(some, mode="clip")), begin) * math.log(10)
+        if spelt.any():
+            by_bit *= gate > 15
+            by_counts += np.add.reduceat(by_bit, first)
+        # log of (e^b * mix + counts) / (e^b + 1), b the belief in the mix.
+        ahead, b = by_mix - by_counts, belief[text]
+        total[text] += (by_counts + np.logaddexp(b + ahead, 0) - np.logaddexp(b, 0)) / math.log(10)
+        alone[text] += by_counts / math.log(10)
+        belief[text] = np.clip(b + ahead, -BELIEF, BELIEF)
+        if on.any():
+            wrong = bit - p
+            n = np.sqrt(bits)
+            for k in range(INPUTS):
+                moved[text, k] += DOC_RATE * np.add.reduceat(wrong * x[k], first) / n
+
 
 def trained(rows: DataFrame, tree: Tree, bits: int, chunks: int) -> Model:
     """The model of all chunks' tables (pid, k, piece, counts), which are added up in rounds."""
@@ -392,7 +440,7 @@ def _coder(tree: Tree, bits: int, masses: np.ndarray, n_all: int, distinct: int)
                 per.append(len(found) + 1)
                 words += found
                 words.append(END_TOKEN)
-            of = np.fromiter((row.get(w, -1) for w in words), np.int64, len(words))
+            of = np.fromiter(map(row.get, words, repeat(-1)), np.int64, len(words))
             per = np.array(per)
             doc = np.repeat(np.arange(end - at), per)
             symbols, first = symbols_of(words, cell[of], of >= 0, tree)
@@ -405,7 +453,7 @@ def _coder(tree: Tree, bits: int, masses: np.ndarray, n_all: int, distinct: int)
             use = train[at:end]
             if use.any():
                 keep = np.flatnonzero(use[doc])
-                symbols, first = symbols_of([words[i] for i in keep], cell[of[keep]], n[of[keep]] > 1, tree)
+                symbols, first = symbols_of(words, cell[of[keep]], n[of[keep]] > 1, tree, keep)
                 learner.learn(symbols, first[np.cumsum(per[use]) - per[use]])
             at = end
         if train.any():
