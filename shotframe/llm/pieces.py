@@ -18,6 +18,7 @@ import math
 import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -32,6 +33,8 @@ MAX_MODEL_BYTES = 16 << 20
 SPACE = "▁"
 #: Bytes of distinct units that one suffix array indexes, and units whose pieces a worker remembers.
 INDEX_BYTES, REMEMBER = 256 << 10, 400_000
+#: Ids whose bytes are gathered at once.
+GATHERED = 1 << 16
 #: Bytes of a suffix that the binary search compares at first.
 KEY = 16
 _UNIT = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
@@ -67,9 +70,17 @@ class PairTable:
         return at
 
     def add(self, keys: np.ndarray, answers: list[bool]) -> None:
-        for k, a in zip(keys, answers, strict=True):
-            at = self.places(np.array([k], np.int64))[0]
-            self.keys[at], self.answers[at] = k, a
+        """Insert distinct new keys, all at once: of those that meet at a free slot one takes it, the others try the next."""
+        answers = np.array(answers, bool)
+        at = self.places(keys)
+        left = np.arange(len(keys))
+        while len(left):
+            free = left[self.keys[at[left]] == -1]
+            self.keys[at[free]] = keys[free]
+            done = self.keys[at[left]] == keys[left]
+            self.answers[at[left[done]]] = answers[left[done]]
+            left = left[~done]
+            at[left] = (at[left] + 1) & int(self.mask)
         self.n += len(keys)
 
 
@@ -101,7 +112,11 @@ class Pieces:
         self.strange_at: dict[str, int] = {}
         self.pairs = PairTable()
         self._forget()
-        self.bytes_of = {i: x.replace(SPACE, " ").encode() for i, x in self.names.items()} | {i: bytes([b]) for b, i in self.byte_ids.items()} | {self.unknown: " ⁇ ".encode()}
+        bytes_of = {i: x.replace(SPACE, " ").encode() for i, x in self.names.items()} | {i: bytes([b]) for b, i in self.byte_ids.items()} | {self.unknown: " ⁇ ".encode()}
+        spelt = [bytes_of.get(i, b"") for i in range(n)]
+        # The pieces' bytes, one piece after another; the last one stands for ids outside the vocabulary.
+        self.spelt, self.spelt_size = np.frombuffer(b"".join(spelt), np.uint8), np.array([*map(len, spelt), 0], np.int64)
+        self.spelt_first = np.cumsum(self.spelt_size) - self.spelt_size
 
     def _forget(self) -> None:
         """Empty the store: unit -> row, and the rows' ids, one after another."""
@@ -263,16 +278,18 @@ class Pieces:
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         units = [_UNIT.findall(SPACE + x.replace(" ", SPACE)) if x else [] for x in texts]
         flat = [u for us in units for u in us]
-        new = list(dict.fromkeys(u for u in flat if u not in self.known))
+        row = np.fromiter(map(self.known.get, flat, repeat(-1)), np.int64, len(flat))
+        missed = np.flatnonzero(row < 0)
+        new = list(dict.fromkeys([flat[i] for i in missed.tolist()]))
         if len(self.known) + len(new) > REMEMBER:
             self._forget()
-            new = list(dict.fromkeys(flat))
+            missed, new = np.arange(len(flat)), list(dict.fromkeys(flat))
         if len(self.strange) > 100_000:
             self.strange, self.strange_at = [], {}
             self.pairs.clear()
         if new:
             self._remember(new)
-        row = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
+            row[missed] = [self.known[flat[i]] for i in missed.tolist()]
         count = self.counts[row]
         before = np.cumsum(count) - count
         ids = self.stored[0][np.arange(count.sum()) + np.repeat(self.firsts[row] - before, count)] if len(row) else np.empty(0, np.int32)
@@ -280,8 +297,25 @@ class Pieces:
         return [ids[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
     def decode(self, ids) -> str:
-        out = b"".join([self.bytes_of.get(i, b"") for i in (ids.tolist() if isinstance(ids, np.ndarray) else ids)]).decode("utf-8", "replace")
-        return out[1:] if out[:1] == " " else out
+        return self.decode_all([np.asarray(ids, np.int64)])[0]
+
+    def decode_all(self, texts: list[np.ndarray]) -> list[str]:
+        """The text of each array of ids; the bytes of many ids are gathered at once."""
+        if not texts:
+            return []
+        ids = np.concatenate(texts)
+        ids = np.where((ids < 0) | (ids >= self.size), self.size, ids)
+        size = self.spelt_size[ids]
+        raw = []
+        for a in range(0, len(ids), GATHERED):
+            some = size[a : a + GATHERED]
+            at = np.repeat(self.spelt_first[ids[a : a + GATHERED]] - (np.cumsum(some) - some), some)
+            at += np.arange(len(at))
+            raw.append(self.spelt[at].tobytes())
+        raw = b"".join(raw)
+        stops = np.append(0, np.cumsum(size))[np.cumsum([len(x) for x in texts])].tolist()
+        out = [raw[a:b].decode("utf-8", "replace") for a, b in zip([0, *stops[:-1]], stops, strict=True)]
+        return [x[1:] if x[:1] == " " else x for x in out]
 
 
 _LOADED: dict[bytes, Pieces] = {}
@@ -304,7 +338,7 @@ def _coder(model: bytes):
                 some = list(texts.iloc[at : at + 256])
                 found = pieces.encode(some)
                 ids += found
-                back += [pieces.decode(i) == (x or "") for i, x in zip(found, some, strict=True)]
+                back += [y == (x or "") for y, x in zip(pieces.decode_all(found), some, strict=True)]
             yield pd.DataFrame({"ids": ids, "round_trip": back})
         pieces._forget()  # the worker may wait for other stages' tasks; the pairs' table stays
 
