@@ -160,6 +160,11 @@ def symbols_of(words: list[bytes], cell: np.ndarray, known: np.ndarray, tree: Tr
     return out, first
 
 
+def _column(values, kind: type = object) -> np.ndarray:
+    """values as an array; pandas would look through a list for a type of its elements."""
+    return np.fromiter(values, kind, len(values))
+
+
 def counted(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """(kind, token, n): tokens (kind 0) and bytes (kind 1; a blank for each word) of training texts."""
     words: Counter = Counter()
@@ -171,10 +176,10 @@ def counted(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             letters += np.bincount(np.frombuffer(b" ".join(found) + b" ", np.uint8), minlength=256)
             words[END_TOKEN] += 1
         if len(words) > 400_000:
-            yield pd.DataFrame({"kind": 0, "token": list(words.keys()), "n": list(words.values())})
+            yield pd.DataFrame({"kind": np.zeros(len(words), np.int32), "token": _column(words.keys()), "n": _column(words.values(), np.int64)})
             words = Counter()
     if words:
-        yield pd.DataFrame({"kind": 0, "token": list(words.keys()), "n": list(words.values())})
+        yield pd.DataFrame({"kind": np.zeros(len(words), np.int32), "token": _column(words.keys()), "n": _column(words.values(), np.int64)})
     at = np.flatnonzero(letters)
     yield pd.DataFrame({"kind": 1, "token": [int(x).to_bytes(2, "big") for x in at], "n": letters[at]})
 
@@ -424,7 +429,7 @@ def _coder(tree: Tree, bits: int, masses: np.ndarray, n_all: int, distinct: int)
 
     def coded(rows: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["place", "doc_id"], kind="stable", na_position="first", ignore_index=True)
-        row = dict(zip(known["token"], range(len(known)), strict=True))
+        row = dict(zip(known["token"].tolist(), range(len(known)), strict=True))
         n, cell = np.append(known["n"].to_numpy(np.int64), 0), np.append(known["cell"].to_numpy(np.int32), 0)
         with np.errstate(divide="ignore"):
             inside = np.log10(n) - np.log10(masses[cell])
@@ -493,7 +498,7 @@ def score_documents(docs: DataFrame, training: Column, id_col: str = "doc_id", t
         found = {END_TOKEN}
         for text in rows["text"]:
             found.update(lowered(text).split())
-        return pd.DataFrame({"chunk": np.full(len(found), rows["chunk"].iloc[0], np.int32), "token": list(found)})
+        return pd.DataFrame({"chunk": np.full(len(found), rows["chunk"].iloc[0], np.int32), "token": _column(found)})
 
     asked = dealt.groupBy("chunk").applyInPandas(tokens, "chunk int, token binary")
     answered = asked.join(vocabulary, "token").select("chunk", "token", "n", "cell")
