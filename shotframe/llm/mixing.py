@@ -30,12 +30,12 @@ rows; other columns are ignored.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -47,11 +47,12 @@ PRIOR, RATE, DOC_RATE, SEGMENT, BUCKETS = 0.4, 0.5, 0.02, 512, 33
 BELIEF = 5.0
 #: Bytes of text in a chunk, of texts coded at once, symbols of one numpy batch, and tables that one task adds up.
 CHUNK, CODED, BATCH, FAN_IN = 18 << 20, 1 << 20, 4096, 32
+#: Bytes of text whose words are counted, or found among a chunk's tokens, at once.
+SPLIT = 32 << 20
 #: Rows of a chunk, for tables of very short texts.
 CHUNK_ROWS = 1 << 18
 #: Bits of a table of contexts beyond the tree's depth, and at most.
 MORE_BITS, MOST_BITS = 9, 24
-_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 END_TOKEN = b""  # no word is empty
 #: Bytes of a spelled word that its next byte's contexts take.
 SPELT = (2, 3)
@@ -66,8 +67,12 @@ _NODE = np.uint64(0x9E3779B1)
 PIECES = 32
 
 
-def lowered(text: str | None) -> bytes:
-    return (text or "").encode("utf-8", "surrogatepass").translate(_LOWER)
+def tokens_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(the tokens of all texts in order, each text's end mark included; number of tokens of each text): A-Z lower-cased."""
+    bare = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    # A blank behind the last word makes the empty string that ends a text; a text without words is that string already.
+    lists = pc.ascii_split_whitespace(pc.binary_join_element_wise(bare, pc.if_else(pc.equal(bare, ""), "", " "), ""))
+    return lists.flatten().cast(pa.binary()), np.diff(lists.offsets.to_numpy())
 
 
 def depth_of(n_all: int) -> int:
@@ -144,11 +149,12 @@ class Tree:
         return list(((hashes ^ (hashes >> np.uint64(29))) >> np.uint64(16)).astype(np.uint32))
 
 
-def symbols_of(words: list[bytes], cell: np.ndarray, known: np.ndarray, tree: Tree, keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def symbols_of(words: list[bytes] | pa.Array, cell: np.ndarray, known: np.ndarray, tree: Tree, keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(symbols, place of each word's first): known words are their cells, unknown ones are spelled. keep: the words meant, if not all."""
     size = np.ones(len(known), np.int64)
     odd = np.flatnonzero(~known)
-    spelt = [words[i] for i in (odd if keep is None else keep[odd]).tolist()]
+    at = odd if keep is None else keep[odd]
+    spelt = words.take(pa.array(at)).to_pylist() if isinstance(words, pa.Array) else [words[i] for i in at.tolist()]
     size[odd] += np.fromiter(map(len, spelt), np.int64, len(spelt)) + 1
     first = np.cumsum(size) - size
     out = np.empty(int(size.sum()), np.int32)
@@ -160,28 +166,34 @@ def symbols_of(words: list[bytes], cell: np.ndarray, known: np.ndarray, tree: Tr
     return out, first
 
 
-def _column(values, kind: type = object) -> np.ndarray:
-    """values as an array; pandas would look through a list for a type of its elements."""
-    return np.fromiter(values, kind, len(values))
+def counted(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(kind, token, n): tokens (kind 0) and bytes (kind 1; a blank for each word) of training texts."""
+    letters, held, size = np.zeros(256, np.int64), [], 0
 
+    def sums(kind: int, token: pa.Array, n: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(token), kind, np.int32)), token, n], ["kind", "token", "n"])
+
+    def summed() -> pa.RecordBatch:
+        found = pc.value_counts(pa.chunked_array(held, pa.binary()))
+        return sums(0, *found.flatten())
 
-def counted(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(kind, token, n): tokens (kind 0) and bytes (kind 1; a blank for each word) of training texts."""
-    words: Counter = Counter()
-    letters = np.zeros(256, np.int64)
     for part in parts:
-        for text in part["text"]:
-            found = lowered(text).split()
-            words.update(found)
-            letters += np.bincount(np.frombuffer(b" ".join(found) + b" ", np.uint8), minlength=256)
-            words[END_TOKEN] += 1
-        if len(words) > 400_000:
-            yield pd.DataFrame({"kind": np.zeros(len(words), np.int32), "token": _column(words.keys()), "n": _column(words.values(), np.int64)})
-            words = Counter()
-    if words:
-        yield pd.DataFrame({"kind": np.zeros(len(words), np.int32), "token": _column(words.keys()), "n": _column(words.values(), np.int64)})
+        if not part.num_rows:
+            continue
+        tokens, per = tokens_of(part.column(0))
+        bounds = np.frombuffer(tokens.buffers()[1], np.int32)[[tokens.offset, tokens.offset + len(tokens)]]
+        if bounds[1] > bounds[0]:
+            letters += np.bincount(np.frombuffer(tokens.buffers()[2], np.uint8)[bounds[0] : bounds[1]], minlength=256)
+        letters[32] += np.maximum(1, per - 1).sum()
+        held.append(tokens)
+        size += int(bounds[1] - bounds[0])
+        if size > SPLIT:
+            yield summed()
+            held, size = [], 0
+    if held:
+        yield summed()
     at = np.flatnonzero(letters)
-    yield pd.DataFrame({"kind": 1, "token": [int(x).to_bytes(2, "big") for x in at], "n": letters[at]})
+    yield sums(1, pa.array([int(x).to_bytes(2, "big") for x in at], pa.binary()), pa.array(letters[at]))
 
 
 def _pack(counts: np.ndarray) -> bytes:
@@ -247,7 +259,7 @@ class Learner:
 
     def __init__(self, tree: Tree, bits: int):
         self.tree, self.mask = tree, np.uint32((1 << bits) - 1)
-        self.tables = [np.zeros(2 << bits, np.int32) for _ in range(CONTEXTS)]
+        self.tables = [np.full(2 << bits, 0, np.int32) for _ in range(CONTEXTS)]  # filled, as np.zeros would not ask for large pages
         self.weights = _first_weights()
         self.seen = np.zeros(GATES)
         self.table = np.zeros(GATES * BUCKETS * 2)
@@ -423,49 +435,62 @@ def placed(vocabulary: DataFrame, n_all: int, depth: int) -> DataFrame:
     return vocabulary.join(small_side(steps), "n").select("token", "n", F.least(cell, F.lit((1 << depth) - 1)).cast("int").alias("cell"))
 
 
+#: A text's row (k -2) or a piece of a chunk's tables.
+CODED_ROWS = pa.schema(
+    [("doc_id", pa.string()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("within", pa.float64()),
+     ("n_bytes", pa.int64()), ("symbols", pa.list_(pa.int32())), ("pid", pa.int64()), ("k", pa.int32()), ("piece", pa.int32()), ("counts", pa.binary())])
+
+
+def _coded_rows(*columns) -> pa.Table:
+    return pa.table([x.cast(f.type) if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x, f.type) for x, f in zip(columns, CODED_ROWS, strict=True)], schema=CODED_ROWS)
+
+
 def _coder(tree: Tree, bits: int, masses: np.ndarray, n_all: int, distinct: int):
     """Codes a chunk's rows and learns its training rows."""
     unit = math.log10(n_all + distinct + 1)
 
-    def coded(rows: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["place", "doc_id"], kind="stable", na_position="first", ignore_index=True)
-        row = dict(zip(known["token"].tolist(), range(len(known)), strict=True))
-        n, cell = np.append(known["n"].to_numpy(np.int64), 0), np.append(known["cell"].to_numpy(np.int32), 0)
+    def coded(rows: pa.Table, known: pa.Table) -> pa.Table:
+        rows = rows.take(pc.sort_indices(rows.select(["place", "doc_id"]), [("place", "ascending"), ("doc_id", "ascending")], null_placement="at_start"))
+        vocabulary = known["token"].combine_chunks()
+        n, cell = np.append(known["n"].to_numpy(), 0), np.append(known["cell"].to_numpy(), np.int32(0))
         with np.errstate(divide="ignore"):
             inside = np.log10(n) - np.log10(masses[cell])
         base = np.log10(n + 1) - unit
-        train, learner, out = rows["train"].to_numpy(bool), Learner(tree, bits), []
-        size = rows["text"].map(lambda x: len(x or "")).to_numpy().cumsum()
-        at = 0
+        train, learner, out = rows["train"].to_numpy(), Learner(tree, bits), []
+        length = pc.fill_null(pc.utf8_length(rows["text"]), 0).to_numpy().astype(np.int64)
+        size = length.cumsum()
+
+        def until(at: int, most: int) -> int:
+            return max(at + 1, int(np.searchsorted(size, size[at] - length[at] + most, side="right")))
+
+        at = read = 0
         while at < len(rows):
-            end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + CODED, side="right")))
-            per, words = [], []
-            for text in rows["text"].iloc[at:end]:
-                found = lowered(text).split()
-                per.append(len(found) + 1)
-                words += found
-                words.append(END_TOKEN)
-            of = np.fromiter(map(row.get, words, repeat(-1)), np.int64, len(words))
-            per = np.array(per)
+            if at == read:
+                read = until(at, SPLIT)
+                words, per_text = tokens_of(rows["text"][at:read].combine_chunks())
+                places = pc.fill_null(pc.index_in(words, value_set=vocabulary), -1).to_numpy()
+                begin, since = np.append(0, np.cumsum(per_text)), at
+            end = min(read, until(at, CODED))
+            per, part = per_text[at - since : end - since].astype(np.int64), slice(begin[at - since], begin[end - since])
+            of = places[part].astype(np.int64)
             doc = np.repeat(np.arange(end - at), per)
-            symbols, first = symbols_of(words, cell[of], of >= 0, tree)
+            symbols, first = symbols_of(words[part], cell[of], of >= 0, tree)
             begins = first[np.cumsum(per) - per]
             within = np.bincount(doc[of >= 0], inside[of[of >= 0]], end - at)
             summed = np.bincount(doc, base[of], end - at)
             hit = np.bincount(doc, of >= 0, end - at).astype(np.int64)
-            for i, s in enumerate(np.split(symbols, begins[1:])):
-                out.append((rows["doc_id"].iloc[at + i], not train[at + i], int(per[i]), int(hit[i]), summed[i], within[i], size[at + i] - (size[at + i - 1] if at + i else 0), s, 0, -2, 0, b""))
+            out.append(_coded_rows(rows["doc_id"][at:end], ~train[at:end], per, hit, summed, within, length[at:end], pa.ListArray.from_arrays(np.append(begins, len(symbols)).astype(np.int32), symbols), *([x] * (end - at) for x in (0, -2, 0, b""))))
             use = train[at:end]
             if use.any():
                 keep = np.flatnonzero(use[doc])
-                symbols, first = symbols_of(words, cell[of[keep]], n[of[keep]] > 1, tree, keep)
+                symbols, first = symbols_of(words[part], cell[of[keep]], n[of[keep]] > 1, tree, keep)
                 learner.learn(symbols, first[np.cumsum(per[use]) - per[use]])
             at = end
         if train.any():
-            pid = int(rows["chunk"].iloc[0])
+            pid, found = rows["chunk"][0].as_py(), learner.rows()
             release()
-            out += [(None, False, 0, 0, 0.0, 0.0, 0, np.empty(0, np.int32), pid, *r) for r in learner.rows()]
-        return pd.DataFrame(out, columns=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "within", "n_bytes", "symbols", "pid", "k", "piece", "counts"])
+            out.append(_coded_rows(*([x] * len(found) for x in (None, False, 0, 0, 0.0, 0.0, 0, [], pid)), *zip(*found, strict=True)))
+        return pa.concat_tables(out) if out else CODED_ROWS.empty_table()
 
     return coded
 
@@ -477,7 +502,7 @@ def score_documents(docs: DataFrame, training: Column, id_col: str = "doc_id", t
     base = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.coalesce(training, F.lit(False)).alias("train"))
     kind = dict(base.dtypes)["doc_id"]
     base = base.withColumn("doc_id", F.col("doc_id").cast("string"))
-    counts = written(base.where("train").select("text").mapInPandas(releasing(counted), "kind int, token binary, n long").groupBy("kind", "token").agg(F.sum("n").alias("n")), "token-counts")
+    counts = written(base.where("train").select("text").mapInArrow(releasing(counted), "kind int, token binary, n long").groupBy("kind", "token").agg(F.sum("n").alias("n")), "token-counts")
     letters = {int.from_bytes(r["token"], "big"): r["n"] for r in counts.where("kind = 1").collect()}  # 256 rows at most
     vocabulary = counts.where("kind = 0").select("token", "n")
     whole = vocabulary.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v"), F.count_if(F.col("n") == 1).alias("singles")).first()
@@ -494,28 +519,28 @@ def score_documents(docs: DataFrame, training: Column, id_col: str = "doc_id", t
     place = F.xxhash64("doc_id", "text")
     dealt = base.select("doc_id", "text", "train", place.alias("place"), F.pmod(place, F.lit(chunks)).cast("int").alias("chunk"))
 
-    def tokens(rows: pd.DataFrame) -> pd.DataFrame:
-        found = {END_TOKEN}
-        for text in rows["text"]:
-            found.update(lowered(text).split())
-        return pd.DataFrame({"chunk": np.full(len(found), rows["chunk"].iloc[0], np.int32), "token": _column(found)})
+    def tokens(rows: pa.Table) -> pa.Table:
+        found = pc.unique(pa.chunked_array([tokens_of(x)[0] for x in rows["text"].chunks] + [pa.array([END_TOKEN], pa.binary())]))
+        return pa.table({"chunk": np.full(len(found), rows["chunk"][0].as_py(), np.int32), "token": found})
 
-    asked = dealt.groupBy("chunk").applyInPandas(tokens, "chunk int, token binary")
+    asked = dealt.groupBy("chunk").applyInArrow(tokens, "chunk int, token binary")
     answered = asked.join(vocabulary, "token").select("chunk", "token", "n", "cell")
     schema = "doc_id string, held_out boolean, n_tokens long, n_known long, base_score double, within double, n_bytes long, symbols array<int>, pid long, k int, piece int, counts binary"
     coder = _coder(tree, bits, masses, n_all, distinct)
-    coded = written(dealt.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInPandas(coder, schema), "coded")
+    coded = written(dealt.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(coder, schema), "coded")
     handed = spark.sparkContext.broadcast(trained(coded.where("k > -2").select("pid", "k", "piece", "counts"), tree, bits, chunks))
 
-    def scored(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scored(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            if not len(part):
+            if not part.num_rows:
                 continue
-            mixed, alone = handed.value.log10(list(part["symbols"]))
-            part["score"], part["counts_score"] = mixed + part["within"], alone + part["within"]
-            part["bits_per_byte"] = -part["score"] / math.log10(2) / (part["n_bytes"] + 1)
-            yield part.drop(columns=["symbols", "within", "n_bytes"])[["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "counts_score", "bits_per_byte"]]
+            symbols = part["symbols"]
+            texts = np.split(symbols.flatten().to_numpy(), np.cumsum(symbols.value_lengths().to_numpy())[:-1])
+            score, alone = (x + part["within"].to_numpy() for x in handed.value.log10(texts))
+            bits = -score / math.log10(2) / (part["n_bytes"].to_numpy() + 1)
+            kept = ["doc_id", "held_out", "n_tokens", "n_known", "base_score"]
+            yield pa.RecordBatch.from_arrays([*(part[c] for c in kept), *map(pa.array, (score, alone, bits))], [*kept, "score", "counts_score", "bits_per_byte"])
 
     rows = coded.where("k = -2").select("doc_id", "held_out", "n_tokens", "n_known", "base_score", "within", "n_bytes", "symbols")
-    out = rows.mapInPandas(releasing(scored), "doc_id string, held_out boolean, n_tokens long, n_known long, base_score double, score double, counts_score double, bits_per_byte double")
+    out = rows.mapInArrow(releasing(scored), "doc_id string, held_out boolean, n_tokens long, n_known long, base_score double, score double, counts_score double, bits_per_byte double")
     return out.select(F.col("doc_id").cast(kind).alias("doc_id"), "held_out", "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"), "base_score", "score", "counts_score", "bits_per_byte")
